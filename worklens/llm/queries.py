@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, decontaminate, minhash, quality, secrets
+from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -32,6 +36,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"), minhash.Settings(words=2)).drop("text_hash")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,12 +48,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_neighbours": op2_neighbours,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
+    "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
+    "op7_lm_score": lm.ORACLE,
 }
