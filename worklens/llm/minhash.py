@@ -5,12 +5,11 @@ coordinate: one spreads the shingles once, the other, shifted circularly by k pl
 Bands of coordinates are hashed into buckets; documents that share a bucket are candidates, and each
 candidate is confirmed by the exact Jaccard similarity of the two full sets.
 
-Work on copies stays linear. Documents with equal sets form one class, and only classes are compared.
-Within a bucket of at most ``small`` classes all pairs are confirmed. In a larger bucket the classes are
-compared with one leader first; as only reachability is asked for, later rounds compare further leaders
-(eight times as many each round) just with classes that are not yet connected to them, until no untested
-pair could join two components. So no link of a bucket is lost, and a group of thousands of copies
-costs one comparison each.
+Documents with equal sets form one class, and only classes are compared. Within a bucket of at most
+``small`` classes all pairs are confirmed. In a larger bucket every class is compared with a leader, the
+one that meets most others. As only reachability is asked for, classes now connected with their leader
+need no comparison among themselves; the few that are not are compared with the whole bucket. So no
+link of a bucket is lost, and a group of thousands of copies costs about one comparison each.
 
 With 40 bands of 5 coordinates a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 
@@ -162,11 +161,15 @@ def _near_in_size(s: Settings):
     return 100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b")
 
 
-def _links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame | None:
-    """(node, label) of the classes that have a link, or None."""
+def _links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """(node, label) of the classes that have a link."""
     rows = classes.select("cid", "n", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n")).alias("lead")).filter("size > 1")
-    members = stage(rows.join(shared, "bucket"), "members")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    reach = F.sum("size").over(Window.partitionBy("cid"))  # at most one row a band
+    members = stage(rows.join(shared, "bucket").withColumn("reach", reach), "members")
+    # the class that shares most buckets with most others is the likeliest original of a bucket's copies
+    leads = members.groupBy("bucket").agg(F.max(F.struct("reach", F.negative("cid").alias("order"), "cid", "n")).alias("lead"))
+    members = stage(members.join(leads.select("bucket", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("n_lead")), "bucket"), "members")
     small = (
         members.filter(F.col("size") <= s.small)
         .groupBy("bucket")
@@ -178,27 +181,27 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame | None
         .select("y", F.explode(F.expr("slice(m, 1, i)")).alias("x"))
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
     )
-    large = members.filter(F.col("size") > s.small)
-    stars = large.filter("cid <> lead.cid").select(F.col("lead.cid").alias("a"), F.col("cid").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
+    stars = members.filter((F.col("size") > s.small) & (F.col("cid") != F.col("lead")))
+    stars = stars.select(F.col("lead").alias("a"), F.col("cid").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"))
     pairs = stage(small.union(stars).filter(_near_in_size(s)).select("a", "b").distinct(), "pairs")
     edges = _edges(docs, classes, pairs, s)
     labels = components(edges)
-    tested, leaders = large.filter("cid = lead.cid").select("bucket", "cid"), 8
-    while True:
-        left = large.join(tested, ["bucket", "cid"], "left_anti").join(labels, F.col("cid") == F.col("node"), "left")
-        left = left.select("bucket", "cid", "n", F.coalesce("label", "cid").alias("label"))
-        split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        left = stage(left.join(split, "bucket", "left_semi"), "left")
-        if left.isEmpty():
-            return labels
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("cid"), "cid")
-        chosen = left.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= leaders)
-        lead = chosen.select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        more = left.withColumnsRenamed({"cid": "b", "n": "n_b"}).join(lead, "bucket").filter("label <> label_a").filter(_near_in_size(s))
-        more = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        edges = stage(edges.union(_edges(docs, classes, more, s)), "edges")
-        labels = components(edges)
-        tested, leaders = stage(tested.union(chosen.select("bucket", "cid")), "tested"), leaders * 8
+    named = members.join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "size", "lead", F.coalesce("label", "cid").alias("label"))
+    named = stage(named, "named")
+    large = named.filter(F.col("size") > s.small)
+    goal = large.filter("cid = lead").select("bucket", F.col("label").alias("goal"))
+    apart = stage(large.join(goal, "bucket").filter("label <> goal").select("bucket", "cid", "n", "label"), "apart")
+    if apart.isEmpty():
+        return labels
+    # all that is left to test: classes not connected to their leader, against the rest of the bucket;
+    # a pair is made in the first of the buckets it shares (those of small buckets have been tested)
+    own = classes.select("cid", "buckets")
+    one = apart.join(own, "cid").withColumnsRenamed({"cid": "a", "n": "n_a", "label": "label_a", "buckets": "buckets_a"})
+    two = large.filter("cid <> lead").join(apart.select("bucket").distinct(), "bucket", "left_semi").join(own, "cid")
+    two = two.select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), "label", "buckets")
+    more = one.join(two, "bucket").filter("label <> label_a").filter(_near_in_size(s)).filter(F.array_min(F.array_intersect("buckets", "buckets_a")) == F.col("bucket"))
+    more = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return components(stage(edges.union(_edges(docs, classes, more, s)), "edges"))
 
 
 def _edges(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
