@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, quality, secrets
+from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, pieces, quality, secrets
+
+PIECES = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.sample(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_neighbours": op2_neighbours,
@@ -54,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op6_minhash": op6_minhash,
     "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
 ORACLES: dict[str, str] = {
