@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, pieces, quality, secrets
+from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, pieces, quality, secrets, url_filter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -25,6 +25,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages"))).drop("block")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -48,6 +52,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.evaluate(url_filter.dated_captures(pages), url_filter.intervals(url_filter.lists_from(pages)))
+
+
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,15 +66,19 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_neighbours": op2_neighbours,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
     "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filter": op9_url_filter,
     "op10_sampled_pieces": op10_sampled_pieces,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op7_lm_score": lm.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
 }
