@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ class Settings:
     bands: int = 40
     rows: int = 5
     small: int = 24
+    block: int = 256
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,29 +192,69 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     named = stage(named, "named")
     large = named.filter(F.col("size") > s.small)
     goal = large.filter("cid = lead").select("bucket", F.col("label").alias("goal"))
-    apart = stage(large.join(goal, "bucket").filter("label <> goal").select("bucket", "cid", "n", "label"), "apart")
+    apart = stage(large.join(goal, "bucket").filter("label <> goal").select("lead", "cid").distinct(), "apart")
     if apart.isEmpty():
         return labels
-    # all that is left to test: classes not connected to their leader, against the rest of the bucket;
-    # a pair is made in the first of the buckets it shares (those of small buckets have been tested)
-    own = classes.select("cid", "buckets")
-    one = apart.join(own, "cid").withColumnsRenamed({"cid": "a", "n": "n_a", "label": "label_a", "buckets": "buckets_a"})
-    two = large.filter("cid <> lead").join(apart.select("bucket").distinct(), "bucket", "left_semi").join(own, "cid")
-    two = two.select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), "label", "buckets")
-    more = one.join(two, "bucket").filter("label <> label_a").filter(_near_in_size(s)).filter(F.array_min(F.array_intersect("buckets", "buckets_a")) == F.col("bucket"))
-    more = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return components(stage(edges.union(_edges(docs, classes, more, s)), "edges"))
+    rest = large.filter("cid <> lead").join(apart.select("lead").distinct(), "lead", "left_semi").select("lead", "cid").distinct()
+    return components(stage(edges.union(_within_families(docs, classes, apart, stage(rest, "rest"), s)), "edges"))
+
+
+def _within_families(docs: DataFrame, classes: DataFrame, apart: DataFrame, rest: DataFrame, s: Settings) -> DataFrame:
+    """Links between the classes ``apart`` from their leader and the ``rest`` of the leader's buckets, both as
+    (lead, cid). Both sides are cut into blocks, and the sets of two blocks are compared as a product of
+    0/1 matrices, so pairs are never made, only the links that are found."""
+    texts = _texts(docs, classes, rest.select("cid").distinct())
+
+    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}"))
+        return df.join(n, "lead").withColumn(name, F.pmod(F.xxhash64("cid"), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), n
+
+    few, n_few = blocks(apart, s.block, "i")
+    many, n_many = blocks(rest, 2 * s.block, "j")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    few = few.join(n_many, "lead").join(texts, "cid").select("lead", "i", every("n_j", "j"), "cid", "text")
+    many = many.join(n_few, "lead").join(texts, "cid").select("lead", every("n_i", "i"), "j", "cid", "text")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        (d1, h1), (d2, h2) = (shingles(*flat.bytes_of(pa.array(df["text"].tolist(), pa.large_string())), s.words) for df in (left, right))
+        n1, n2 = np.bincount(d1, minlength=len(left)), np.bincount(d2, minlength=len(right))
+        common = np.intersect1d(h1, h2)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(common), 4096):
+            part = common[at : at + 4096]
+            sides = []
+            for d, h, n in ((d1, h1, len(left)), (d2, h2, len(right))):
+                place = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                hit = part[place] == h
+                m = np.zeros((n, len(part)), np.float32)
+                m[d[hit], place[hit]] = 1
+                sides.append(m)
+            shared += sides[0] @ sides[1].T
+        union = n1[:, None] + n2[None, :] - shared
+        i, j = np.nonzero((100 * shared >= s.percent * union) & (union > 0))
+        a, b = left["cid"].to_numpy()[i], right["cid"].to_numpy()[j]
+        other = a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]})
+
+    key = ["lead", "i", "j"]
+    return few.groupBy(*key).cogroup(many.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+
+
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the wanted classes, staged. Only their texts are read and moved."""
+    wanted = stage(classes.join(wanted, "cid", "left_semi").select("cid", "doc_id", "text_hash"), "wanted")
+    own = docs.selectExpr("cast(doc_id as bigint) id", "xxhash64(text) th", "cast(text as string) text")
+    wanted = broadcast_if(wanted, wanted.count(), 500_000)
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("text_hash")))
+    return stage(texts.select("cid", "text").dropDuplicates(["cid"]), "texts")
 
 
 def _edges(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed pairs, staged. Only the texts of classes in a pair are read and moved."""
+    """Confirmed pairs, staged."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stage(classes.join(wanted, "cid", "left_semi").select("cid", "doc_id", "text_hash"), "wanted")
-    own = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) text_hash", "cast(text as string) text").withColumnsRenamed({"doc_id": "id", "text_hash": "th"})
-    wanted = broadcast_if(wanted, wanted.count(), 500_000)
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("text_hash")))
-    texts = stage(texts.select("cid", "text").dropDuplicates(["cid"]), "texts")
-    return stage(_confirmed(pairs, texts, s), "edges")
+    return stage(_confirmed(pairs, _texts(docs, classes, wanted), s), "edges")
 
 
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
