@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 _POWERS = 1 << 16
 
 U64 = np.uint64
