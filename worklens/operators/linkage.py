@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from worklens.config import DEFAULT, Config
 from worklens.functions import similarity as S
 from worklens.functions import text as T
+from worklens.sources.staging import stage
 
 ENTITY = ("state_norm_key", "constituency_canonical_key", "mp_canonical_key")
 EVIDENCE = ("description_similarity", "mp_similarity", "constituency_similarity", "state_similarity", "ida_similarity", "category_similarity", "amount_similarity", "timeline_match_score", "project_token_overlap")
@@ -223,8 +224,10 @@ def _fallback(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
 def match_records(recommendations: DataFrame, completions: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The match of every recommendation, in the ten columns of RESULT and the columns of EVIDENCE (null
     where there was no candidate)."""
-    rec, comp = recommendations_side(recommendations), completions_side(completions)
-    best = tiered(ranked(scored(candidates(rec, comp, config), config), config), config)
+    # several branches read each of these, so they are written once
+    rec, comp = stage(recommendations_side(recommendations), "recommendations"), stage(completions_side(completions), "completions")
+    pairs = stage(candidates(rec, comp, config), "candidates")
+    best = stage(tiered(ranked(scored(pairs, config), config), config), "best")
     accepted = F.col("match_tier") != "Unmatched"
     detail = F.concat(F.col("source"), *(F.format_string(f"; {s}=%.1f", F.col(n)) for s, n in zip(SHORT, EVIDENCE)), F.when(F.size("warnings") > 0, F.concat(F.lit("; warnings="), F.array_join("warnings", ", "))).otherwise(F.lit("")))
     found = best.select(
