@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return found.rstrip("/")
-
+from worklens.sources.staging import shared_dir, stage
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: this cuts the lineage, fixes
-    generated ids, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if", "shared_dir", "stage"]
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
