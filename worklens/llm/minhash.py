@@ -212,8 +212,8 @@ def _within_families(docs: DataFrame, classes: DataFrame, apart: DataFrame, rest
     few, n_few = blocks(apart, s.block, "i")
     many, n_many = blocks(rest, 2 * s.block, "j")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    few = few.join(n_many, "lead").join(texts, "cid").select("lead", "i", every("n_j", "j"), "cid", "text")
-    many = many.join(n_few, "lead").join(texts, "cid").select("lead", every("n_i", "i"), "j", "cid", "text")
+    few = few.join(n_many, "lead").join(texts, "cid").select("lead", "i", every("n_j", "j"), "cid", "text").toDF("lead", "i", "j", "cid", "text")
+    many = many.join(n_few, "lead").join(texts, "cid").select("lead", every("n_i", "i"), "j", "cid", "text").toDF("lead", "i", "j", "cid", "text")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
