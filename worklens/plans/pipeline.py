@@ -65,7 +65,7 @@ def run_pipeline(spark: SparkSession, paths: dict[str, str], out: str, limit: in
 
     tiers = matches.agg(F.count(F.lit(1)).alias("recommendations"), *(F.count_if(F.col("match_tier") == t).alias(n) for t, n in (("Tier 1", "tier1_matches"), ("Tier 2", "tier2_matches"), ("Unmatched", "unmatched_recommendations")))).first()
     levels = projects.agg(F.count(F.lit(1)).alias("projects"), *(F.count_if(F.col("risk_level") == v).alias(f"{v.lower()}_risk_projects") for v in ("HIGH", "MEDIUM", "LOW"))).first()
-    reviews = sheet.agg(F.count(F.lit(1)).alias("review_rows"), F.count_if("match_tier = 'Tier 1'").alias("tier1_review_rows"), F.count_if("match_tier = 'Tier 2'").alias("tier2_review_rows"), F.count_if("review_type = 'unmatched'").alias("unmatched_review_rows")).first()
+    reviews = sheet.agg(F.count(F.lit(1)).alias("review_rows"), F.count_if(F.col("match_tier") == "Tier 1").alias("tier1_review_rows"), F.count_if(F.col("match_tier") == "Tier 2").alias("tier2_review_rows"), F.count_if(F.col("review_type") == "unmatched").alias("unmatched_review_rows")).first()
     summary = tiers.asDict() | levels.asDict() | reviews.asDict() | {"members": members.count(), "runtime_seconds": round(time.time() - began, 2), "notes": "Scores are assessments for review, not findings."}
     inputs = [r.asDict() for r in files.input_manifest(spark, *(paths[k] for k in INPUTS)).collect()]
     files.write_text(spark, files.as_json(summary), f"{out}/pipeline_summary.json")
