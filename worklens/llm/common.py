@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 from worklens.sources.staging import shared_dir, stage
 
-__all__ = ["broadcast_if", "shared_dir", "stage"]
+__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches"]
+
+
+#: Rows that Spark hands to a Python worker at once; texts are long, so the default of 10,000 fills memory.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session handing texts to Python workers in batches of BATCH_ROWS at most."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.llm import flat
-from worklens.llm.common import broadcast_if, stage
+from worklens.llm.common import broadcast_if, stage, text_batches
 from worklens.llm.graph import components
 
 SPACE = flat.word_table(breaks=bytes([0x20, *range(0x09, 0x0E)]))
@@ -130,7 +130,7 @@ def _described(docs: DataFrame, s: Settings) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * s.bands + 1, s.bands, dtype=np.int32)), pa.array(bucket.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, digests), lists], names=names)
 
-    source = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) text_hash", "cast(text as string) text")
+    source = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) text_hash", "cast(text as string) text")
     return source.mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, buckets array<long>")
 
 
