@@ -77,8 +77,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_neighbours": neighbours.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op6_minhash": minhash.ORACLE,
     "op7_lm_score": lm.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
