@@ -20,15 +20,17 @@ STOP_WORDS = (
 ).split()
 
 #: Capitalised words of descriptions that are not place names.
-GENERIC_WORDS = sorted(set(STOP_WORDS) | set(
+GENERIC_WORDS = (
+    "construction providing development improvement work works road roads village at of to from in the and for near under with gp mandal district building "
+    "installation community public facility street system provision creation developmental strengthening ward house "
     "cc rcc internal external approach main side north south east west bore borewell motor pump tank drain drainage wall compound slab pipe pipeline lights light "
     "fixture fixtures power electrical solar renovation repair repairs urgent colony sc st bc oc nagar hall centre center activity multipurpose platform meeting room "
     "open cover culvert bridge retaining protection boundary gate fencing gravel cement concrete precast interlock pavement footpath pathway drinking water plant "
     "mineral overhead ohsr reservoir sump tap toilet bathroom parking space stadium ground burial cemetery park school hospital library church temple mosque shrine "
     "gurudwara anganwadi sachivalayam panchayat grama gram sabha bhavan bhawan phase part reach section km meters ltr liter capacity no number plot survey block "
     "sector door flat unit formation laying excavation fixing supply purchase municipal municipality corporation town city area region layout extension junction "
-    "cross circle bus shelter stop access entry exit link bypass flyover overbridge mr dr sri smt shri".split()
-))
+    "cross circle bus shelter stop access entry exit link bypass flyover overbridge mr dr sri smt shri"
+).split()
 
 #: Terms that name the same type of work; a text may belong to several types.
 WORK_TYPES = (

@@ -156,8 +156,7 @@ def _by_work_id(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
 
 
 def _in_block(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
-    """The most similar of the entity's completions. A bound that needs no alignment of letters spares
-    Python the pairs that cannot reach the cutoff."""
+    """The most similar of the entity's completions."""
     pairs = rec.join(comp, [F.col(f"r_{k}") == F.col(f"c_{k}") for k in ENTITY])
     similar = S.token_set(F.col("r_work_norm"), F.col("c_work_norm"))
     ranked = pairs.withColumn("similar", similar).filter(F.col("similar") >= config.similarity_cutoff)
