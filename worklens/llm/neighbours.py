@@ -12,9 +12,8 @@ window merges the tasks' heaps. The bounds are strict, so nothing is lost: the a
 The work is (stated queries) x (candidates), in blocks of bounded size; blocks are dealt by row number,
 so a vector that many rows share fills no block by itself.
 
-Defined results: vectors that are null, empty, all zero, of another length than most queries' tile can
-compare (lengths are compared only with equal lengths), or that hold null or non-finite components take
-no part, nor do rows without an id. Rows with the query's own id are its own and no candidates; other
+Defined results: vectors that are null, empty, all zero, or that hold null or non-finite components take
+no part, nor do rows without an id; vectors are compared with those of their own length only. Rows with the query's own id are its own and no candidates; other
 repeated rows each take a rank. A query id on several rows counts once, with its smallest vector in
 array order. Ties go to the smaller id. Fewer than k candidates: all of them. Other columns are ignored.
 """
