@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from worklens.llm.common import text_batches
+from worklens.llm.common import text_batches, tidied
 
 #: Fixed value: the pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

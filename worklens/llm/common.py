@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.sources.staging import shared_dir, stage
 
-__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches"]
+__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches", "tidied"]
 
 
 #: Rows that Spark hands to a Python worker at once; texts are long, so the default of 10,000 fills memory.
@@ -22,6 +27,21 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run: Callable) -> Callable:
+    """A function for mapInArrow that, when its partition ends, gives freed memory back to the system: Spark
+    keeps Python workers for later stages, where what they hold would count against the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint when the counted ``rows`` are within ``limit``; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

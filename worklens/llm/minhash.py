@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.llm import flat
-from worklens.llm.common import broadcast_if, stage, text_batches
+from worklens.llm.common import broadcast_if, stage, text_batches, tidied
 from worklens.llm.graph import components
 
 SPACE = flat.word_table(breaks=bytes([0x20, *range(0x09, 0x0E)]))
@@ -131,7 +131,7 @@ def _described(docs: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, digests), lists], names=names)
 
     source = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) text_hash", "cast(text as string) text")
-    return source.mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, buckets array<long>")
+    return source.mapInArrow(tidied(run), "doc_id long, text_hash long, n long, d1 long, d2 long, buckets array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -156,7 +156,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _near_in_size(s: Settings):

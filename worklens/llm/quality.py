@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm import flat
-from worklens.llm.common import text_batches
+from worklens.llm.common import text_batches, tidied
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
 _LETTERS = flat.word_table(bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
@@ -138,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
             got = scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", f"coalesce({HELD_OUT}, false) held_out", "cast(text as string) text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", f"coalesce({HELD_OUT}, false) held_out", "cast(text as string) text").mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
@@ -152,4 +152,4 @@ def keep_good(docs: DataFrame, weights: np.ndarray, settings: Settings = Setting
             good = pa.array(scores(batch.column(at).cast(pa.string())) >= threshold)
             yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns], names=batch.schema.names)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(tidied(run), docs.schema)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from worklens.llm.common import text_batches
+from worklens.llm.common import text_batches, tidied
 
 KINDS = ("assign", "access", "hex")
 MAX_INFLATE = 32 << 20
@@ -262,7 +262,7 @@ def scan(docs: DataFrame, max_inflate: int = MAX_INFLATE) -> DataFrame:
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_oversize"]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], names=names)
 
-    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCAN_SCHEMA)
+    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(run), SCAN_SCHEMA)
 
 
 def redacted(text: str | None, mask: str = "[SECRET]", max_inflate: int = MAX_INFLATE) -> str | None:
@@ -298,4 +298,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", max_inflate: int = MAX_INFLA
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(tidied(run), docs.schema)
