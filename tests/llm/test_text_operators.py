@@ -60,6 +60,18 @@ def test_layers_end_and_bounds_are_reported():
     assert secrets.scan_text("%41" * 3 + "%zz%")[2] == 1
 
 
+def test_repeated_blobs_are_found_and_masked_everywhere():
+    plain = base64.b64encode(b"password=abcdefgh1 and more").decode()
+    packed = base64.b64encode(gzip.compress(b"token: abcdefgh12345", mtime=0)).decode()
+    nested = base64.b64encode(f"see {plain} here".encode()).decode()
+    for blob in (plain, packed, nested):
+        text = f"{blob} middle {blob} end {blob}"
+        spans = secrets.scan_text(text)[1]
+        assert len(spans) == 3 and {b - a for a, _, b in spans} == {spans[0][2] - spans[0][0]}
+        masked = secrets.redacted(text)
+        assert masked.count("[SECRET]") == 3 and secrets.scan_text(masked)[1] == []
+
+
 def test_scan_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "password=abcdefgh1 x"), (3, "password=abcdefgh1 x"), (None, "plain"), (5, "z" * 200_000)]
     got = {(r.doc_id, r.n_assign, r.spans) for r in secrets.scan(docs_of(spark, rows)).collect()}

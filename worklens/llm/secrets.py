@@ -2,8 +2,9 @@
 
 A worklist starts with the text itself. Each layer is scanned for secrets, then unwrapped: percent
 escapes, Unicode escapes, base64 runs, and compressed payloads (gzip, zlib, bzip2, xz, zstd) inside
-those runs give further layers, until no layer is new. A layer whose content was met before in the
-same document is skipped (cycle detection). Every layer carries, for each of its characters, the
+those runs give further layers, until no layer is new. A layer of the same content from the same
+original ranges as one met before is skipped (cycle detection); the same content elsewhere in the
+document is scanned there too, and ``n_layers`` counts distinct contents. Every layer carries, for each of its characters, the
 range of the original text it came from, so spans found at any depth are reported as code point
 ranges of the original text; inside a compressed payload the range is the whole encoded run.
 
@@ -214,18 +215,20 @@ def scan_text(text: str | None, max_inflate: int = MAX_INFLATE, max_total: int =
     """(base spans, all spans, decoded layers, oversize payloads) of one text."""
     text = text or ""
     base = find_spans(text)
-    work, seen, spans = [Layer(text)], set(), set(base)
+    work, seen, met, spans = [Layer(text)], set(), set(), set(base)
     layers = oversize = total = 0
     while work:
         layer = work.pop()
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if mark in seen:
+        place = mark if layer.starts is None else hashlib.blake2b(mark + layer.starts.tobytes() + layer.ends.tobytes(), digest_size=16).digest()
+        if place in seen:
             continue
-        seen.add(mark)
+        seen.add(place)
         if layer.starts is not None:
-            layers += 1
+            layers += mark not in met
             total += len(layer.text)
             spans.update((*(r := layer.root(a, b))[:1], kind, r[1]) for a, kind, b in find_spans(layer.text))
+        met.add(mark)
         if total > max_total:
             oversize += 1
             continue
