@@ -193,6 +193,14 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.search(table.limit(0), s).count() == 0
 
 
+def test_production_scores_with_trigrams(spark):
+    texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
+    got = {r.doc_id: r.log_score for r in lm.score(frame(spark, enumerate(texts))).collect()}
+    start = math.log(3 / 15) + math.log(3 / 3)  # of a, then b after it
+    assert abs(got[0] - (start + math.log(2 / 3))) < 1e-4  # by bigrams: 2 / 5
+    assert abs(got[4] - (start + math.log(0.4) + math.log(3 / 5))) < 1e-4  # "a b d" was seen once
+
+
 @pytest.fixture(scope="module")
 def path():
     import public_tokenizers

@@ -16,7 +16,7 @@ each word of context, plus, for every n-gram g of the document that the table ha
 (an n-gram in the table has its parts there too). Each n-gram thus adds a number of its own, and one
 equi-join of the documents' n-grams with the table, followed by a sum per document, gives the score.
 
-Production uses bigrams: with trigrams the exploded rows alone pass four times the compressed input.
+Production uses trigrams; the exploded rows pass four times the compressed input, which the README lists.
 
 Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. Words are known by a 64-bit
 hash and n-grams by the packed numbers of their words. Sums are kept in units of 1e-9.
@@ -45,7 +45,7 @@ UNIT = 1e9
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
+    order: int = 3
     floor: float = 5e-6
     least: int = 2
     alpha: float = 0.4
@@ -191,11 +191,17 @@ unk AS (SELECT greatest(max(total) - coalesce(sum(c), 0), 1) AS c FROM n LEFT JO
 k AS (SELECT doc_id, i, p.w, v.c, v.w IS NOT NULL AS known FROM p LEFT JOIN v ON p.w = v.w),
 g2 AS (SELECT b.doc_id, b.i, a.w AS w1, b.w AS w2, a.c AS c1, b.c AS c2 FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.known AND b.known),
 t2 AS (SELECT w1, w2, count(*) AS c FROM g2 GROUP BY 1, 2 HAVING count(*) >= 2),
+g3 AS (SELECT b.doc_id, b.i, a.w1, a.w2, b.w2 AS w3 FROM g2 a JOIN g2 b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+t3 AS (SELECT w1, w2, w3, count(*) AS c FROM g3 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 s AS (
   SELECT k.doc_id, k.known,
-    CASE WHEN t2.c IS NOT NULL THEN ln(t2.c) - ln(g2.c1) ELSE ln(coalesce(k.c, unk.c)) - ln(total) + ln(0.4) * least(k.i - 1, 1) END AS x
+    CASE WHEN t3.c IS NOT NULL THEN ln(t3.c) - ln(h.c)
+         WHEN t2.c IS NOT NULL THEN ln(t2.c) - ln(g2.c1) + (CASE WHEN k.i > 2 THEN ln(0.4) ELSE 0 END)
+         ELSE ln(coalesce(k.c, unk.c)) - ln(total) + ln(0.4) * least(k.i - 1, 2) END AS x
   FROM k CROSS JOIN unk CROSS JOIN n
-    LEFT JOIN g2 ON k.doc_id = g2.doc_id AND k.i = g2.i LEFT JOIN t2 ON g2.w1 = t2.w1 AND g2.w2 = t2.w2),
+    LEFT JOIN g2 ON k.doc_id = g2.doc_id AND k.i = g2.i LEFT JOIN t2 ON g2.w1 = t2.w1 AND g2.w2 = t2.w2
+    LEFT JOIN g3 ON k.doc_id = g3.doc_id AND k.i = g3.i LEFT JOIN t3 ON g3.w1 = t3.w1 AND g3.w2 = t3.w2 AND g3.w3 = t3.w3
+    LEFT JOIN t2 h ON g3.w1 = h.w1 AND g3.w2 = h.w2),
 a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT known) AS n_unknown, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown, round(x, 4) AS log_score, round(x / n_words, 6) AS log_score_per_word
 FROM t LEFT JOIN a USING (doc_id)
