@@ -233,6 +233,20 @@ def test_fast_paths_equal_lattices(path):
         assert m.words[w][0] == lattice.best and abs(m.words[w][1] - lattice.log_best) < 1e-9
 
 
+def test_unlikely_segmentations_are_not_lost(spark, path):
+    rows = frame(spark, enumerate(["hello world", "children"]))
+    found = pieces.sample(rows, path).collect()
+    assert len(found) == 4 and len({(r.doc_id, r.ids_sha256) for r in found}) == 4 and all(r.decoded_ok for r in found)
+    for alpha in (0.3, 8.0, 32.0):
+        m = pieces.Model(path, alpha)
+        everything = m.samples("children", b"k", 10_000)
+        assert len({s[3] for s in everything}) == len(everything) == len(list(m.lattice("▁children").likeliest())) > 100
+        m.learn({"▁children"})
+        lattice = m.lattice("▁children")
+        others = [s[1] for s in everything if s[3] != lattice.best]
+        assert math.isclose(m.words["▁children"][2], pieces.log_sum(others), rel_tol=1e-9, abs_tol=1e-9) and abs(lattice.log_other - m.words["▁children"][2]) < 1e-8
+
+
 def test_sampling_round_trip(spark, path):
     texts = ["Hello there, the weather.\nNext  line", None, "", "日本 😀 \x00\t é", "x" * 3000, "Hello there, the weather.\nNext  line"]
     rows = frame(spark, [(i % 5, t) for i, t in enumerate(texts)])

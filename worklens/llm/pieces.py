@@ -26,9 +26,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
-from math import exp, expm1, inf, log, log1p
+from math import exp, expm1, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -66,96 +66,118 @@ def truncated_gumbel(rng: np.random.Generator, location: float, bound: float) ->
     return location - log(exp(location - bound) - log(rng.random() or 5e-324)) if location - bound < 700 else bound
 
 
+def log_sum(terms: list[float]) -> float:
+    top = max(terms, default=-inf)
+    return top if top == -inf else top + log(sum(exp(t - top) for t in terms))
+
+
 class Lattice:
-    """The lattice of one word: for each reachable offset its edges (probability, next offset, ids)."""
+    """The lattice of one word: for each reachable offset its edges (log probability, next offset, ids).
+    ``log_other``: log probability of all segmentations but the best, -inf only where there is no other."""
 
-    __slots__ = ("edges", "best", "log_best")
+    __slots__ = ("edges", "best", "log_best", "log_other")
 
-    def __init__(self, edges: list, best: bytes, log_best: float):
-        self.edges, self.best, self.log_best = edges, best, log_best
+    def __init__(self, edges: list, best: bytes, log_best: float, log_other: float):
+        self.edges, self.best, self.log_best, self.log_other = edges, best, log_best, log_other
 
     def drawn(self, rng: np.random.Generator, at: int = 0) -> bytes:
         """Ids of a segmentation of what follows an offset."""
         out = []
         while at < len(self.edges):
-            u = rng.random()
-            for p, till, ids in self.edges[at]:
-                u -= p
-                if u < 0:
-                    break
+            edge = self._chosen(rng, [e[0] for e in self.edges[at]])
+            _, at, ids = self.edges[at][edge]
             out.append(ids)
-            at = till
         return b"".join(out)
 
-    def drawn_other(self, rng: np.random.Generator) -> bytes:
-        """Ids of a segmentation that is not the best-first path, by the first edge at which it leaves it."""
-        at, kept, places = 0, 1.0, []
-        while at < len(self.edges):
-            p, till, ids = self.edges[at][0]
-            places.append((kept * (1.0 - p), at))
-            kept *= p
-            at = till
-        possible = [i for i, (m, at) in enumerate(places) if m > 0 and len(self.edges[at]) > 1]
-        if not possible:
-            return self.best
-        u = rng.random() * sum(places[i][0] for i in possible)
-        for i in possible:
-            u -= places[i][0]
-            if u < 0:
-                break
-        out = [self.edges[at][0][2] for _, at in places[:i]]
-        rest = self.edges[places[i][1]][1:]
-        u = rng.random() * sum(p for p, _, _ in rest)
-        for p, till, ids in rest:
-            u -= p
-            if u < 0:
-                break
-        return b"".join(out) + ids + self.drawn(rng, till)
+    @staticmethod
+    def _chosen(rng: np.random.Generator, terms: list[float]) -> int:
+        """An index, drawn by log weights of which one at least is finite."""
+        if len(terms) == 1:
+            return 0
+        top = max(terms)
+        weights = [exp(t - top) for t in terms]
+        u, last = rng.random() * sum(weights), 0
+        for i, w in enumerate(weights):
+            if w > 0:
+                u, last = u - w, i
+                if u < 0:
+                    break
+        return last
 
     def likeliest(self) -> Iterator[tuple[float, bytes]]:
         """(probability, ids) of all segmentations, likeliest first: A-star with exact bounds, all equal to the
         probability of the part so far, since edges carry conditional probabilities."""
-        heap = [(-1.0, 0, b"")]
+        heap = [(0.0, 0, b"")]
         while heap:
             p, at, ids = heapq.heappop(heap)
             if at == len(self.edges):
-                yield -p, ids
+                yield exp(-p), ids
             else:
                 for q, till, more in self.edges[at]:
-                    heapq.heappush(heap, (p * q, till, ids + more))
+                    heapq.heappush(heap, (p - q, till, ids + more))
 
-    def log_probability(self, ids: bytes, lengths: dict[bytes, int]) -> float:
-        """Of a segmentation given by its ids."""
-        at, total, i = 0, 0.0, 0
+    def _path(self, ids: bytes, lengths: dict[bytes, int]) -> list[int]:
+        """The edges, by their number at each offset, of a segmentation given by its ids."""
+        at, i, path = 0, 0, []
         while at < len(self.edges):
-            for p, till, edge in self.edges[at]:
+            for n, (_, till, edge) in enumerate(self.edges[at]):
                 if ids.startswith(edge, i) and lengths.get(edge, 1) == till - at:
-                    total += log(p)
+                    path.append(n)
                     at, i = till, i + len(edge)
                     break
             else:
                 raise ValueError(f"no segmentation of this word: {list(array('H', ids))}")
+        return path
+
+    def log_probability(self, ids: bytes, lengths: dict[bytes, int]) -> float:
+        """Of a segmentation given by its ids."""
+        if ids == self.best:
+            return self.log_best
+        at, total = 0, 0.0
+        for n in self._path(ids, lengths):
+            p, at, _ = self.edges[at][n]
+            total += p
         return total
 
-    def drawn_without(self, rng: np.random.Generator, banned: tuple[bytes, ...]) -> bytes | None:
+    def _without(self, banned: Collection[bytes], lengths: dict[bytes, int]) -> dict:
+        """For each beginning of a banned segmentation (its edges' numbers): (offset, log weights of the edges that
+        follow, their sum), all without the banned ones. Nothing is subtracted, so small masses stay exact."""
+        paths = [self._path(ids, lengths) for ids in set(banned)]
+        nodes: dict = {}
+        for path in paths:
+            at = 0
+            for i, n in enumerate(path):
+                nodes[tuple(path[:i])] = at
+                at = self.edges[at][n][1]
+        ended = set(map(tuple, paths))
+        found: dict = {}
+        for node in sorted(nodes, key=len, reverse=True):
+            terms = []
+            for n, (p, _, _) in enumerate(self.edges[nodes[node]]):
+                further = (*node, n)
+                terms.append(-inf if further in ended else p + found[further][2] if further in found else p)
+            found[node] = (nodes[node], terms, log_sum(terms))
+        return found
+
+    def log_without(self, banned: Collection[bytes], lengths: dict[bytes, int]) -> float:
+        """Log probability of all segmentations but the banned ones; -inf only if there is no other."""
+        if len(banned) == 1 and self.best in banned:
+            return self.log_other
+        return self._without(banned, lengths)[()][2] if banned and self.edges else 0.0 if not banned else -inf
+
+    def drawn_without(self, rng: np.random.Generator, banned: Collection[bytes], lengths: dict[bytes, int]) -> bytes | None:
         """Ids of a segmentation other than the banned ones, or None if there is none."""
-        for _ in range(20):
-            ids = self.drawn_other(rng) if self.best in banned else self.drawn(rng)
-            if ids not in banned:
-                return ids
-        left, seen = [], 0.0
-        for p, ids in self.likeliest():
-            seen += p
-            if ids not in banned:
-                left.append((p, ids))
-                if len(left) >= 64 or seen > 1 - 1e-12:
-                    break
-        u = rng.random() * sum(p for p, _ in left)
-        for p, ids in left:
-            u -= p
-            if u < 0:
-                return ids
-        return left[-1][1] if left else None
+        found = self._without(banned, lengths)
+        if found[()][2] == -inf:
+            return None
+        node, out = (), []
+        while node in found:
+            at, terms, _ = found[node]
+            n = self._chosen(rng, terms)
+            _, at, ids = self.edges[at][n]
+            out.append(ids)
+            node = (*node, n)
+        return b"".join(out) + self.drawn(rng, at)
 
 
 class Model:
@@ -198,8 +220,8 @@ class Model:
         self.hash_ids = np.frombuffer(b"".join(self.id.values()), np.uint16)[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[hashes >> np.uint64(44)] = True
-        self.words: dict[str, tuple[bytes, float]] = {}
-        self.older: dict[str, tuple[bytes, float]] = {}
+        self.words: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
         self.recent: dict[str, Lattice] = {}
 
     def lattice(self, word: str, best: bytes | None = None) -> Lattice:
@@ -221,23 +243,23 @@ class Model:
                 found.append((self.byte_weight * len(data) + beta[i + 1], i + 1, b"".join(self.bytes_id[b] for b in data)))
             if len(found) == 1:
                 beta[i] = found[0][0]
-                edges[i] = ((1.0, found[0][1], found[0][2]),)
+                edges[i] = ((0.0, found[0][1], found[0][2]),)
             else:
                 found.sort(reverse=True)
                 top = found[0][0]
-                shares = [exp(f[0] - top) for f in found]
-                total = sum(shares)
-                beta[i] = top + log(total)
-                edges[i] = tuple((s / total, f[1], f[2]) for s, f in zip(shares, found))
-        at, path, lp, i = 0, [], 0.0, 0
+                total = log(sum(exp(f[0] - top) for f in found))
+                beta[i] = top + total
+                edges[i] = tuple((f[0] - top - total, f[1], f[2]) for f in found)
+        at, path, lp, i, other = 0, [], 0.0, 0, []
         while at < n:
             if best is not None:
                 edges[at] = tuple(sorted(edges[at], key=lambda e: not (best.startswith(e[2], i) and self.lengths.get(e[2], 1) == e[1] - at)))
+            other += [lp + e[0] for e in edges[at][1:]]
             p, at, ids = edges[at][0]
-            lp += log(p)
+            lp += p
             path.append(ids)
             i += len(ids)
-        return Lattice(edges, b"".join(path), lp)
+        return Lattice(edges, b"".join(path), lp, log_sum(other))
 
     def learn(self, words: set[str]) -> None:
         """Have the best paths of these words in ``self.words``."""
@@ -252,14 +274,14 @@ class Model:
         for w in new:
             if w not in self.words:
                 lattice = self.lattice(w)
-                self.words[w] = lattice.best, lattice.log_best
+                self.words[w] = lattice.best, lattice.log_best, lattice.log_other
 
     def forget(self) -> None:
         """Drop what was learned of words; a worker that Spark keeps should not hold it through other stages."""
         self.words, self.older = {}, {}
         self.recent.clear()
 
-    def _best_paths(self, words: list[str]) -> Iterator[tuple[bytes, float]]:
+    def _best_paths(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
         """As :meth:`lattice` finds them, for many words at once: substrings are looked up by rolling hashes,
         and the sums over the lattices run over all words together."""
         n, wide = len(words), max(map(len, words))
@@ -269,7 +291,7 @@ class Model:
         for i in range(wide):
             hashed[i + 1] = hashed[i] * _BASE + letters[i] + np.uint64(1)
         beta = np.zeros((wide + 1, n))
-        share, step, piece = np.zeros((wide, n)), np.ones((wide, n), np.int64), np.zeros((wide, n), np.uint16)
+        share, rest, step, piece = np.zeros((wide, n)), np.zeros((wide, n)), np.ones((wide, n), np.int64), np.zeros((wide, n), np.uint16)
         for i in range(wide - 1, -1, -1):
             reach = min(self.longest, wide - i)
             terms = np.full((reach, n), -np.inf)
@@ -290,7 +312,11 @@ class Model:
                 total = np.where(inside, np.exp(terms - top).sum(axis=0), 1.0)
             beta[i] = np.where(inside, top + np.log(total), 0.0)
             share[i], step[i], piece[i] = -np.log(total), best + 1, ids[best, np.arange(n)]
-        at, lp, count = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+            terms[best, np.arange(n)] = -np.inf
+            second = terms.max(axis=0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rest[i] = np.where(second > -np.inf, second - top + np.log(np.exp(terms - second).sum(axis=0)) - np.log(total), -np.inf)
+        at, lp, other, count = np.zeros(n, np.int64), np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
         paths = np.zeros((n, wide), np.uint16)
         rows = np.arange(n)
         for _ in range(wide):
@@ -298,13 +324,14 @@ class Model:
             if not len(on):
                 break
             here = at[on]
+            other[on] = np.logaddexp(other[on], lp[on] + rest[here, on])
             lp[on] += share[here, on]
             paths[on, count[on]] = piece[here, on]
             count[on] += 1
             at[on] += step[here, on]
             rows = on
         for i in range(n):
-            yield paths[i, : count[i]].tobytes(), float(lp[i])
+            yield paths[i, : count[i]].tobytes(), float(lp[i]), float(other[i])
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -327,9 +354,9 @@ class Model:
         if words is None:
             words = self.split(text or "")
             self.learn(set(words))
-        base, log_best = zip(*map(self.words.__getitem__, words))
-        log_best = np.array(log_best)
-        share = np.exp(log_best)
+        base, log_best, log_other = zip(*map(self.words.__getitem__, words))
+        log_best, log_other = np.array(log_best), np.array(log_other)
+        chance = np.exp(log_other)
         lattices: dict[int, Lattice] = {}
 
         def lattice(i: int) -> Lattice:
@@ -359,27 +386,24 @@ class Model:
             """Draw a path that keeps the prefix before word ``first``, where it avoids the banned; then divide."""
             path = {i: ids for i, ids in prefix.items() if i < first}
             if banned:
-                ids = lattice(first).drawn_without(rng, banned)
+                ids = lattice(first).drawn_without(rng, banned, self.lengths)
                 if ids is None:
                     return
                 if ids != base[first]:
                     path[first] = ids
             start = first + bool(banned)
-            for i in (np.flatnonzero(rng.random(len(words) - start) >= share[start:]) + start).tolist():
-                ids = lattice(i).drawn_other(rng)
-                path[i] = ids
-            each = log_best.copy()
+            for i in (np.flatnonzero(rng.random(len(words) - start) < chance[start:]) + start).tolist():
+                path[i] = lattice(i).drawn_without(rng, (base[i],), self.lengths)
+            each, other = log_best.copy(), log_other.copy()
             for i, ids in path.items():
                 each[i] = lattice(i).log_probability(ids, self.lengths)
+                if i >= first:
+                    other[i] = lattice(i).log_without((ids,), self.lengths)
             out.append((value, float(each.sum()), path))
             before = np.concatenate([[0.0], np.cumsum(each)[:-1]])
-            with np.errstate(divide="ignore"):
-                masses = before[first:] + np.log(np.maximum(-np.expm1(each[first:]), 0.0))
-            masses[each[first:] > -1e-12] = -inf
+            masses = before[first:] + other[first:]
             if banned:
-                lost = sum(exp(lattice(first).log_probability(b, self.lengths)) for b in banned)
-                left = 1.0 - lost - exp(each[first])
-                masses[0] = before[first] + log(left) if left > 1e-12 else -inf
+                masses[0] = before[first] + lattice(first).log_without((*banned, path.get(first, base[first])), self.lengths)
             divided(value, path, masses, first, banned)
 
         out: list = []
@@ -416,7 +440,7 @@ def model(path: str, alpha: float) -> Model:
     return Model(path, alpha)
 
 
-def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 32.0, seed: int = 0, ids: bool = True) -> DataFrame:
+def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 8.0, seed: int = 0, ids: bool = True) -> DataFrame:
     """A row per document and sampled segmentation: doc_id, rank (from 1), n_pieces, log_prob, perturbed,
     inclusion, ids_sha256, decoded_ok (the ids spell the text, space marks in it read as spaces), and the ids
     themselves unless ``ids`` is false. ``path``: of the model, readable on every executor."""
