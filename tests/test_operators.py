@@ -161,3 +161,11 @@ def test_readers(spark, tmp_path):
     assert cleaning.renamed(frame, "recommendations").columns == ["a", "b", "n"]
     with pytest.raises(ValueError):
         files.numbered(frame, "m", 0)
+
+
+def test_all_earlier_verdicts_are_carried_over(spark):
+    n = 120_000
+    rows = spark.range(n).selectExpr("'matched' review_type", "id recommendation_index", "id completion_index", "id best_candidate_index", "'' human_verdict", "'' human_notes")
+    known = rows.selectExpr("review_type", "recommendation_index", "completion_index", "best_candidate_index", "'ACCEPT' human_verdict", "'seen' human_notes")
+    found = review.carried_over(rows, known)
+    assert found.count() == n == found.filter("human_verdict = 'ACCEPT' and human_notes = 'seen'").count()

@@ -63,7 +63,7 @@ def review_rows(matches: DataFrame, recommendations: DataFrame, completions: Dat
 def carried_over(review: DataFrame, previous: DataFrame) -> DataFrame:
     """The review rows with the verdicts and notes that earlier rows of the same key have."""
     known = previous.select(*KEY, F.col("human_verdict").alias("_verdict"), F.col("human_notes").alias("_notes")).dropDuplicates(list(KEY))
-    out = review.drop("human_verdict", "human_notes").join(F.broadcast(known.limit(100_000)), list(KEY), "left")
+    out = review.drop("human_verdict", "human_notes").join(known, list(KEY), "left")
     return out.withColumns({"human_verdict": F.coalesce("_verdict", F.lit("")), "human_notes": F.coalesce("_notes", F.lit(""))}).drop("_verdict", "_notes")
 
 
