@@ -72,6 +72,31 @@ def test_repeated_blobs_are_found_and_masked_everywhere():
         assert masked.count("[SECRET]") == 3 and secrets.scan_text(masked)[1] == []
 
 
+def test_payloads_are_read_whole():
+    import bz2
+    import io
+    import lzma
+    import tarfile
+
+    import zstandard
+
+    secret, plain = b"password=abcdefgh1\n", b"nothing here\n"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        members = base64.b64encode(pack(plain) + pack(secret)).decode()
+        assert (2, 0, 2 + len(members)) in secrets.scan_text(f"a {members} b")[1], pack
+    file = io.BytesIO()
+    with tarfile.open(fileobj=file, mode="w") as tar:
+        entry = tarfile.TarInfo(".env")
+        entry.size = len(secret)
+        tar.addfile(entry, io.BytesIO(secret))
+    for data in (file.getvalue(), gzip.compress(file.getvalue()), b"\xff" + secret):
+        run = base64.b64encode(data).decode()
+        for text in (run, f"host/path/{run}", f"x/{run}", f"header-line-of-a-key\n{run}", "\n  ".join(run[i : i + 76] for i in range(0, len(run), 76))):
+            spans = secrets.scan_text(f"see {text} end")[1]
+            assert spans and "[SECRET]" in secrets.redacted(f"see {text} end"), text[:40]
+    assert secrets.scan_text("%ffpass%77ord=abcdefgh1")[1]
+
+
 def test_scan_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "password=abcdefgh1 x"), (3, "password=abcdefgh1 x"), (None, "plain"), (5, "z" * 200_000)]
     got = {(r.doc_id, r.n_assign, r.spans) for r in secrets.scan(docs_of(spark, rows)).collect()}

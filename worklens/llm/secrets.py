@@ -10,14 +10,15 @@ ranges of the original text; inside a compressed payload the range is the whole
 
 Defined results: null text counts as empty (no spans, hash of the empty string); a null doc_id is
 passed through; repeated rows are scanned and returned row by row; an empty table gives an empty
-result; other columns are ignored by :func:`scan` and kept by :func:`redact`. Payloads that inflate
-beyond ``max_inflate`` bytes (or documents whose layers together exceed ``max_total``) are not
-expanded further: they are counted in ``n_oversize``, so the bound never passes silently.
+result; other columns are ignored by :func:`scan` and kept by :func:`redact`. Base64 runs are decoded at
+their four alignments and across line ends; decoded bytes are scanned whole, printable or not (``n_layers``
+counts the readable ones), and searched for compressed payloads, of which all members are read. Content
+beyond ``max_inflate`` bytes is scanned in overlapping parts. Payloads of such content, and those that
+cannot be read to their end, count in ``n_oversize``; the latter :func:`redact` masks as a whole.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -35,7 +36,9 @@ from worklens.llm.common import text_batches, tidied
 
 KINDS = ("assign", "access", "hex")
 MAX_INFLATE = 32 << 20
-MAX_TOTAL = 128 << 20
+#: Bytes that are inflated at once, and the memory an xz payload may ask for.
+PIECE = 1 << 18
+MEMORY = 256 << 20
 
 # The patterns of the three kinds of secrets.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -46,7 +49,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+ZSTD = b"\x28\xb5\x2f\xfd"
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
+#: Bytes without any of these hold no secret and no encoding; runs of INSIDE bytes contain every match of the patterns.
+OF_NOTE = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{16}")
+INSIDE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}\r\n\t"
 TO_STANDARD = str.maketrans("-_", "+/")
 
 
@@ -63,75 +71,101 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-class Oversize(Exception):
-    """A payload inflates beyond the bound."""
+class Report:
+    """Payloads beyond the bound or not read to their end, and the original ranges of the latter."""
 
+    def __init__(self):
+        self.oversize, self.unread = 0, set()
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """The content of a compressed payload, or None if it is not one."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            job = zlib.decompressobj(47)
-            out = job.decompress(data, limit)
-            if job.unconsumed_tail:
-                raise Oversize
-            return out
-        if data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-            job = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
-            out = job.decompress(data, limit)
-            if not job.eof and not job.needs_input:
-                raise Oversize
-            return out
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(data)) as src:
-                out = src.read(limit + 1)
-            if len(out) > limit:
-                raise Oversize
-            return out
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    except Exception as e:
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    return None
 
+class Inflated:
+    """The content of the compressed payload that begins at an offset, through all its members, by pieces.
+    ``end``: where it ends; ``whole``: it was read to its end; ``sure``: it is compressed beyond doubt."""
 
-def _as_text(data: bytes) -> str | None:
-    """UTF-8 text that is mostly printable, else None."""
+    def __init__(self, data: bytes, at: int):
+        self.data, self.end, self.whole, self.sure = data, at, False, data[at : at + 1] != b"x"
+
+    def __iter__(self) -> Iterator[bytes]:
+        try:
+            yield from self._frames() if self.data.startswith(ZSTD, self.end) else self._members()
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
+            return
+        except Exception as e:
+            if type(e).__name__ != "ZstdError":
+                raise
+
+    def _frames(self) -> Iterator[bytes]:
+        import zstandard
+
+        source = io.BytesIO(memoryview(self.data)[self.end :])
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(source, read_across_frames=True) as src:
+            while piece := src.read(PIECE):
+                yield piece
+        self.whole = True
+
+    def _members(self) -> Iterator[bytes]:
+        kind = self.data[self.end : self.end + 1]
+        while self.data.startswith(kind, self.end) and PACKED.match(self.data, self.end):
+            job = zlib.decompressobj(47) if kind in b"\x1fx" else bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=MEMORY)
+            self.whole, at = False, self.end
+            while not job.eof and at < len(self.data):
+                fed = self.data[at : at + PIECE]
+                at += len(fed)
+                yield job.decompress(fed, PIECE)
+                if kind in b"\x1fx":
+                    while job.unconsumed_tail and not job.eof:
+                        yield job.decompress(job.unconsumed_tail, PIECE)
+                else:
+                    while not job.eof and not job.needs_input:
+                        yield job.decompress(b"", PIECE)
+            if not job.eof:
+                return
+            self.whole, self.end = True, at - len(job.unused_data)
+            while kind == b"\xfd" and self.data.startswith(bytes(4), self.end):  # padding between streams
+                self.end += 4
+
+
+def _readable(data: bytes) -> bool:
+    """UTF-8 text that is mostly printable: what ``n_layers`` counts. Other layers are scanned as well."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return False
     odd = sum(not c.isprintable() and c not in "\n\r\t" for c in text[:4096])
-    return text if text and odd * 10 <= min(len(text), 4096) else None
+    return bool(text) and odd * 10 <= min(len(text), 4096)
 
 
 class Layer:
-    """A decoded text; starts/ends: the original code point range behind each character (None: the text itself)."""
+    """A decoded text; starts/ends: the original code point range behind each character; whole: one range behind
+    all of them (neither: the text itself). data: the bytes that the text shows as Latin-1, if it was decoded,
+    and run: the range of the encoded run that they come from."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "whole", "data", "run", "counts")
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple | None = None, data: bytes | None = None, run: tuple | None = None, counts: bool = True):
+        self.text, self.starts, self.ends, self.whole, self.data, self.run, self.counts = text, starts, ends, whole, data, run or whole, counts
 
     def root(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         return (a, b) if self.starts is None else (int(self.starts[a:b].min()), int(self.ends[a:b].max()))
 
+    def place(self) -> bytes:
+        return str(self.whole).encode() if self.starts is None else self.starts.tobytes() + self.ends.tobytes()
+
 
 def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match of ``pattern`` decoded. ``decode`` gives (text, start, end) pieces of a match."""
     parts, starts, ends, last = [], [], [], 0
+    if layer.whole is not None:
+        text = pattern.sub(lambda m: "".join(p[0] for p in decode(m)), layer.text)
+        return Layer(text, whole=layer.whole) if text != layer.text else None
     n = len(layer.text)
     own_s = layer.starts if layer.starts is not None else np.arange(n)
     own_e = layer.ends if layer.ends is not None else np.arange(1, n + 1)
     changed = False
     for m in pattern.finditer(layer.text):
         pieces = decode(m)
-        if pieces is None:
-            continue
         changed = True
         parts.append(layer.text[last : m.start()])
         starts.append(own_s[last : m.start()])
@@ -149,12 +183,12 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
-def _percent(m: re.Match) -> list | None:
+def _percent(m: re.Match) -> list:
     data = binascii.unhexlify(m[0].replace("%", ""))
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return [(chr(c), m.start() + 3 * i, m.start() + 3 * i + 3) for i, c in enumerate(data)]
     out, at = [], m.start()
     for c in text:
         n = 3 * len(c.encode("utf-8"))
@@ -163,7 +197,7 @@ def _percent(m: re.Match) -> list | None:
     return out
 
 
-def _unicode(m: re.Match) -> list | None:
+def _unicode(m: re.Match) -> list:
     units = [(int(next(g for g in e.groups() if g), 16), m.start() + e.start(), m.start() + e.end()) for e in ESCAPE.finditer(m[0])]
     out, i = [], 0
     while i < len(units):
@@ -171,77 +205,106 @@ def _unicode(m: re.Match) -> list | None:
         if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
             code, b, i = 0x10000 + ((code - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2], i + 1
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
+            code = 0xFFFD
         out.append((chr(code), a, b))
         i += 1
     return out
 
 
-def _blobs(layer: Layer, limit: int) -> Iterator[Layer | None]:
-    """Layers in the base64 runs of a layer, through any compression; None for one that is oversize."""
+def _blobs(layer: Layer) -> Iterator[Layer]:
+    """The bytes of the base64 runs of a layer, each run at its four alignments, as it may follow other text."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate(TO_STANDARD) + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        packed = False
-        try:
-            while (inner := _inflate(data, limit)) is not None:
-                data, packed = inner, True
-        except Oversize:
-            yield None
-            continue
-        text = _as_text(data)
-        if text is None:
-            continue
-        a, b = layer.root(m.start(), m.end())
-        if packed:
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-            continue
-        width = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        width = 1 + (width > 0x7F) + (width > 0x7FF) + (width > 0xFFFF)
-        till = np.cumsum(width)
-        first, final = (till - width) * 4 // 3, -(-till * 4 // 3)
-        final = np.minimum(final, len(run))
-        own_s = layer.starts[m.start() : m.end()] if layer.starts is not None else np.arange(m.start(), m.end())
-        own_e = layer.ends[m.start() : m.end()] if layer.ends is not None else np.arange(m.start() + 1, m.end() + 1)
-        yield Layer(text, own_s[first], own_e[final - 1])
-
-
-def scan_text(text: str | None, max_inflate: int = MAX_INFLATE, max_total: int = MAX_TOTAL) -> tuple[list, list, int, int]:
-    """(base spans, all spans, decoded layers, oversize payloads) of one text."""
+        broken = "\n" in run
+        tight = "".join(run.split()) if broken else run
+        tight = tight.translate(TO_STANDARD)
+        for skip in range(4):
+            n = len(tight) - skip
+            n -= n % 4 == 1
+            data = binascii.a2b_base64(tight[skip : skip + n] + "=" * (-n % 4))
+            counts = _readable(data)
+            if not counts and not OF_NOTE.search(data) and not PACKED.search(data):
+                continue
+            if layer.whole is not None:
+                yield Layer(data.decode("latin-1"), whole=layer.whole, data=data, counts=counts)
+                continue
+            where = np.arange(m.start(), m.start() + len(run))
+            if broken:
+                where = where[[not c.isspace() for c in run]]
+            first = np.arange(len(data)) * 4 // 3 + skip
+            final = where[np.minimum(-(-np.arange(1, len(data) + 1) * 4 // 3) + skip, len(tight)) - 1]
+            first = where[first]
+            if layer.starts is not None:
+                first, final = layer.starts[first], layer.ends[final]
+            else:
+                final = final + 1
+            yield Layer(data.decode("latin-1"), first, final, data=data, run=layer.root(m.start(), m.end()), counts=counts)
+
+
+def _unpacked(layer: Layer, limit: int, report: Report) -> Iterator[Layer]:
+    """The content of the compressed payloads in a layer's bytes, wherever they begin. Content beyond ``limit``
+    bytes comes in parts, which overlap from the last character that no secret and no encoding contains."""
+    data, whole, at = layer.data, layer.run, 0
+    while m := PACKED.search(data, at):
+        source, held, got, big, unread = Inflated(data, m.start()), bytearray(), False, False, False
+        for piece in source:
+            held += piece
+            got = got or bool(piece)
+            if len(held) > limit:
+                big = True
+                yield Layer(held.decode("latin-1"), whole=whole, data=bytes(held), counts=_readable(bytes(held[:4096])))
+                cut = len(held.rstrip(INSIDE))
+                if len(held) - cut > limit // 2:
+                    cut, unread = len(held) - limit // 2, True
+                del held[:cut]
+        if held:
+            yield Layer(held.decode("latin-1"), whole=whole, data=bytes(held), counts=_readable(bytes(held)))
+        if not source.whole and (source.sure or got and layer.whole is not None):
+            unread = True
+        if unread:
+            report.unread.add(whole)
+        report.oversize += big or unread
+        at = max(source.end, m.start() + 2)
+
+
+def _deeper(layer: Layer, limit: int, report: Report) -> Iterator[Layer]:
+    if "%" in layer.text and (found := _spliced(layer, PERCENT, _percent)):
+        yield found
+    if "\\" in layer.text and (found := _spliced(layer, UNICODE, _unicode)):
+        yield found
+    yield from _blobs(layer)
+    if layer.data is not None:
+        yield from _unpacked(layer, limit, report)
+
+
+def _scanned(text: str | None, max_inflate: int) -> tuple[list, list, int, Report]:
     text = text or ""
     base = find_spans(text)
-    work, seen, met, spans = [Layer(text)], set(), set(), set(base)
-    layers = oversize = total = 0
+    report, seen, met, spans = Report(), set(), set(), set(base)
+    layers = 0
+    work: list[Iterator[Layer]] = [iter([Layer(text)])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        place = mark if layer.starts is None else hashlib.blake2b(mark + layer.starts.tobytes() + layer.ends.tobytes(), digest_size=16).digest()
+        place = hashlib.blake2b(mark + layer.place(), digest_size=16).digest()
         if place in seen:
             continue
         seen.add(place)
-        if layer.starts is not None:
-            layers += mark not in met
-            total += len(layer.text)
+        if len(seen) > 1:
+            layers += layer.counts and mark not in met
             spans.update((*(r := layer.root(a, b))[:1], kind, r[1]) for a, kind, b in find_spans(layer.text))
         met.add(mark)
-        if total > max_total:
-            oversize += 1
-            continue
-        if "%" in layer.text and (deeper := _spliced(layer, PERCENT, _percent)):
-            work.append(deeper)
-        if "\\" in layer.text and (deeper := _spliced(layer, UNICODE, _unicode)):
-            work.append(deeper)
-        for deeper in _blobs(layer, max_inflate):
-            if deeper is None:
-                oversize += 1
-            else:
-                work.append(deeper)
-    return base, sorted(spans), layers, oversize
+        work.append(_deeper(layer, max_inflate, report))
+    return base, sorted(spans), layers, report
+
+
+def scan_text(text: str | None, max_inflate: int = MAX_INFLATE) -> tuple[list, list, int, int]:
+    """(base spans, all spans, decoded layers, oversize payloads) of one text."""
+    base, spans, layers, report = _scanned(text, max_inflate)
+    return base, spans, layers, report.oversize
 
 
 def joined(spans: list) -> str:
@@ -269,12 +332,14 @@ def scan(docs: DataFrame, max_inflate: int = MAX_INFLATE) -> DataFrame:
 
 
 def redacted(text: str | None, mask: str = "[SECRET]", max_inflate: int = MAX_INFLATE) -> str | None:
-    """The text with every span, at whatever depth it was found, replaced by the mask."""
+    """The text with every span, at whatever depth it was found, and every encoded run that could not be read to
+    its end replaced by the mask."""
     if not text:
         return text
     out, last = [], 0
     merged: list[list[int]] = []
-    for a, _, b in scan_text(text, max_inflate)[1]:
+    _, spans, _, report = _scanned(text, max_inflate)
+    for a, b in sorted({(a, b) for a, _, b in spans} | report.unread):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
