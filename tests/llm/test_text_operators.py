@@ -97,6 +97,21 @@ def test_payloads_are_read_whole():
     assert secrets.scan_text("%ffpass%77ord=abcdefgh1")[1]
 
 
+def test_oversize_payloads_are_scanned_or_masked():
+    rng = random.Random(8)
+    filler = b"".join(b"some words, %d! " % rng.randrange(10**6) for _ in range(20_000))
+    for content in (b"token=abcdefgh12345 " + filler, filler + b"token=abcdefgh12345", filler + base64.b64encode(gzip.compress(b"token=abcdefgh12345")) + b"! " + filler):
+        run = base64.b64encode(gzip.compress(content)).decode()
+        _, spans, _, oversize = secrets.scan_text(f"a {run} b", max_inflate=1 << 16)
+        assert [s[1] for s in spans] == [0] and oversize == 1
+        assert secrets.redacted(f"a {run} b", max_inflate=1 << 16) == "a [SECRET] b"
+    clean = base64.b64encode(gzip.compress(filler)).decode()
+    assert secrets.redacted(clean, max_inflate=1 << 16) == clean
+    for data in (zlib.compress(b"a" * 5_000_000), gzip.compress(filler)[:-5000]):
+        text = f"a {base64.b64encode(data).decode()} b"
+        assert secrets.scan_text(text, max_inflate=1 << 20)[3] == 1 and secrets.redacted(text, max_inflate=1 << 20) == "a [SECRET] b"
+
+
 def test_scan_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "password=abcdefgh1 x"), (3, "password=abcdefgh1 x"), (None, "plain"), (5, "z" * 200_000)]
     got = {(r.doc_id, r.n_assign, r.spans) for r in secrets.scan(docs_of(spark, rows)).collect()}
