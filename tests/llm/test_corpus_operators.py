@@ -132,6 +132,21 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.match(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_rows_of_null_and_repeated_ids_are_judged_one_by_one(spark):
+    bad, item = "x one two three four five six seven eight nine ten y", "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, bad), (None, "clean a"), (None, None), (7, bad), (7, "clean b"), (8, "clean c")]
+    clean = decontaminate.keep_clean(frame(spark, rows), bench).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in clean) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    near = texts[0] + " end"
+    rows = [(None, texts[0]), (None, near), (None, texts[0]), (3, texts[1]), (3, texts[1]), (3, texts[1] + " end"), (2, texts[2]), (None, texts[2]), (3, texts[3]), (None, None), (None, "")]
+    kept = minhash.keep_one(frame(spark, rows)).collect()
+    found = Counter((r.doc_id, (r.text or "").removesuffix(" end")) for r in kept)
+    assert found == {(None, texts[0]): 1, (3, texts[1]): 1, (2, texts[2]): 1, (3, texts[3]): 1, (None, ""): 2}
+    assert kept[0].asDict().keys() == set(frame(spark, []).columns)
+
+
 def test_proximity_matches(spark):
     docs = frame(spark, [(1, "a b x c d e"), (2, "e d c b a"), (3, "a b c " + "z " * 40 + "d e"), (4, "a b c d")])
     items = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")

@@ -148,10 +148,12 @@ def match(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents without any hit, all columns kept. Rows that share a doc_id stay or go together."""
-    hit = stage(match(docs.select("doc_id", "text"), items, settings).filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated")
+    """The documents without any hit, all columns kept. A hit depends on the text alone, so rows go by the hash of
+    their text, whatever their doc_id: null and repeated ones are no special case."""
+    own = F.xxhash64(docs["text"].cast("string"))
+    hit = stage(match(docs.select(own.alias("doc_id"), "text"), items, settings).filter("contaminated").select(F.col("doc_id").alias("gone_hash")).distinct(), "contaminated")
     hit = broadcast_if(hit, hit.count(), 2_000_000)
-    return docs.join(hit, docs["doc_id"].cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(hit, own == F.col("gone_hash"), "left_anti")
 
 
 ORACLE = r"""

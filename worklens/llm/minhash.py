@@ -259,7 +259,11 @@ def _edges(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -
 
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and text_hash (which with doc_id names a row)."""
-    s = settings
+    return _grouped(docs, settings).drop("family")
+
+
+def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
+    """The rows of :func:`groups` with the number of the component, which ids, as they may repeat, do not name."""
     described = stage(_described(docs, s), "described")
     named = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep")
     classes = described.filter("n > 0").groupBy("d1", "d2").agg(named, F.first("n").alias("n"), F.first("buckets").alias("buckets"))
@@ -267,20 +271,28 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     labels = _links(docs, classes, s)
     linked = classes.join(labels, F.col("cid") == F.col("node")).select("cid", "doc_id", "label")
     firsts = linked.groupBy("label").agg(F.min("doc_id").alias("first_id"))
-    linked = linked.join(firsts, "label").select("cid", "first_id")
-    named = classes.join(linked, "cid", "left").select("d1", "d2", F.coalesce("first_id", "doc_id").alias("component"))
+    linked = linked.join(firsts, "label").select("cid", "first_id", "label")
+    named = classes.join(linked, "cid", "left").select("d1", "d2", F.coalesce("first_id", "doc_id").alias("component"), F.coalesce("label", "cid").alias("family"))
     whole = described.select("doc_id", "text_hash", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", F.when(F.col("n") > 0, F.col("family")).alias("family"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents without those of which the group has one of a smaller id; all columns kept."""
-    found = groups(docs, settings)
-    gone = stage(found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    gone = broadcast_if(gone, gone.count(), 2_000_000)
+    """One document of each group, all columns kept: of the smallest id (null ids last), then the smallest text
+    hash; of rows that share both, any one. Texts without shingles are in no group and stay."""
+    pair = ["family", "doc_id", "text_hash"]
+    pairs = stage(_grouped(docs, settings).filter("family is not null").groupBy(*pair).agg(F.count(F.lit(1)).alias("times")), "pairs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "times")).alias("first")
+    firsts = stage(pairs.groupBy("family").agg(first).select("first.doc_id", "first.text_hash", "first.times"), "firsts")
+    alone = firsts.filter("times = 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    gone = pairs.join(alone, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left_anti")
+    gone = stage(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "gone")
+    again = firsts.filter("times > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    kept = docs.join(broadcast_if(gone, gone.count(), 2_000_000), same, "left_anti")
+    copies = docs.join(broadcast_if(again, again.count(), 2_000_000), same).dropDuplicates(["gone_id", "gone_hash"])
+    return kept.union(copies.select(*(docs[c] for c in docs.columns)))
 
 
 ORACLE = r"""
