@@ -139,44 +139,50 @@ class Lattice:
             total += p
         return total
 
-    def _without(self, banned: Collection[bytes], lengths: dict[bytes, int]) -> dict:
-        """For each beginning of a banned segmentation (its edges' numbers): (offset, log weights of the edges that
-        follow, their sum), all without the banned ones. Nothing is subtracted, so small masses stay exact."""
-        paths = [self._path(ids, lengths) for ids in set(banned)]
-        nodes: dict = {}
-        for path in paths:
-            at = 0
-            for i, n in enumerate(path):
-                nodes[tuple(path[:i])] = at
+    def _without(self, banned: Collection[bytes], lengths: dict[bytes, int]) -> tuple[dict, list, list, list]:
+        """The beginnings of the banned segmentations as a tree: children by (node, edge), -1 where one ends; of each
+        node the offset, the log weights of the edges that follow, and their sum, all without the banned ones.
+        Nothing is subtracted, so small masses stay exact."""
+        child: dict = {}
+        where = [0]
+        for ids in set(banned):
+            node = at = 0
+            for n in self._path(ids, lengths):
                 at = self.edges[at][n][1]
-        ended = set(map(tuple, paths))
-        found: dict = {}
-        for node in sorted(nodes, key=len, reverse=True):
+                if at == len(self.edges):
+                    child[node, n] = -1
+                elif (node, n) in child:
+                    node = child[node, n]
+                else:
+                    child[node, n] = len(where)
+                    node = len(where)
+                    where.append(at)
+        weights, total = [()] * len(where), [-inf] * len(where)
+        for node in range(len(where) - 1, -1, -1):
             terms = []
-            for n, (p, _, _) in enumerate(self.edges[nodes[node]]):
-                further = (*node, n)
-                terms.append(-inf if further in ended else p + found[further][2] if further in found else p)
-            found[node] = (nodes[node], terms, log_sum(terms))
-        return found
+            for n, (p, _, _) in enumerate(self.edges[where[node]]):
+                further = child.get((node, n))
+                terms.append(p if further is None else -inf if further < 0 else p + total[further])
+            weights[node], total[node] = terms, log_sum(terms)
+        return child, where, weights, total
 
     def log_without(self, banned: Collection[bytes], lengths: dict[bytes, int]) -> float:
         """Log probability of all segmentations but the banned ones; -inf only if there is no other."""
         if len(banned) == 1 and self.best in banned:
             return self.log_other
-        return self._without(banned, lengths)[()][2] if banned and self.edges else 0.0 if not banned else -inf
+        return self._without(banned, lengths)[3][0]
 
     def drawn_without(self, rng: np.random.Generator, banned: Collection[bytes], lengths: dict[bytes, int]) -> bytes | None:
         """Ids of a segmentation other than the banned ones, or None if there is none."""
-        found = self._without(banned, lengths)
-        if found[()][2] == -inf:
+        child, where, weights, total = self._without(banned, lengths)
+        if total[0] == -inf:
             return None
-        node, out = (), []
-        while node in found:
-            at, terms, _ = found[node]
-            n = self._chosen(rng, terms)
-            _, at, ids = self.edges[at][n]
+        node, out = 0, []
+        while node is not None:
+            n = self._chosen(rng, weights[node])
+            _, at, ids = self.edges[where[node]][n]
             out.append(ids)
-            node = (*node, n)
+            node = child.get((node, n))
         return b"".join(out) + self.drawn(rng, at)
 
 
