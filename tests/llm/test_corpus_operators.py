@@ -159,29 +159,31 @@ def test_proximity_matches(spark):
     assert decontaminate.phrases(words, index).count() == 0
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_backoff_equals_brute_force(spark, order):
+@pytest.mark.parametrize("order, chunk", [(1, 1 << 20), (2, 500), (3, 1), (3, 3000), (4, 1 << 20)])
+def test_backoff_equals_brute_force(spark, order, chunk):
     rng = random.Random(6)
-    texts = texts_of(rng, 60) + [None, "", "rare once", "A a a A"]
-    s = lm.Settings(order=order, floor=0.01)
-    got = {r.doc_id: r for r in lm.score(frame(spark, enumerate(texts)), s).collect()}
+    texts = texts_of(rng, 60) + [None, "", "...", "rare once", "A a a A", "w1 " * 5000]
+    texts += [texts[0], texts[0]]
+    ids = [*range(len(texts) - 1), None]
+    s = lm.Settings(order=order, chunk=chunk, bucket=2000)
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r) for r in lm.score(frame(spark, zip(ids, texts)), s).collect()), key=lambda x: x[0])
     bodies = [words_of(t) for t in texts]
-    counts = Counter(w for b in bodies for w in b)
-    total = sum(counts.values())
-    known = {w: c for w, c in counts.items() if c >= total * s.floor}
-    unknown = max(total - sum(known.values()), 1)
-    grams = Counter(tuple(b[i : i + n]) for b in bodies for n in range(2, order + 1) for i in range(len(b) - n + 1) if all(w in known for w in b[i : i + n]))
-    grams = {g: c for g, c in grams.items() if c >= 2} | {(w,): c for w, c in known.items()}
-
-    def chance(gram):
-        if len(gram) == 1:
-            return math.log(known.get(gram[0], unknown) / total)
-        return math.log(grams[gram] / grams[gram[:-1]]) if gram in grams else math.log(s.alpha) + chance(gram[1:])
+    grams = [Counter(tuple(b[i : i + n]) for n in range(1, order + 1) for i in range(len(b) - n + 1)) for b in bodies]
+    everything = sum(grams, Counter())
+    total = sum(map(len, bodies))
 
-    for i, b in enumerate(bodies):
-        want = sum(chance(tuple(b[max(0, j - order + 1) : j + 1])) for j in range(len(b)))
-        assert got[i].n_words == len(b) and got[i].n_unknown == sum(w not in known for w in b)
-        assert got[i].log_score is None if not b else abs(got[i].log_score - want) < 2e-4
+    def chance(gram, own):
+        left = everything[gram] - own[gram]
+        if len(gram) == 1:
+            return math.log(max(left, 1) / total)
+        return math.log(left / (everything[gram[:-1]] - own[gram[:-1]])) if left else math.log(s.alpha) + chance(gram[1:], own)
+
+    assert len(got) == len(texts)
+    for (i, r), b, own in zip(got, [bodies[-1], *bodies], [grams[-1], *grams]):
+        assert (r.n_words, r.n_unknown) == (len(b), sum(everything[(w,)] == own[(w,)] for w in b))
+        want = sum(chance(tuple(b[max(0, j - order + 1) : j + 1]), own) for j in range(len(b)))
+        assert r.log_score is None if not b else abs(r.log_score - want) < 2e-4
+        assert r.log_score_per_word is None if not b else abs(r.log_score_per_word - want / len(b)) < 2e-6
     assert lm.score(frame(spark, []), s).count() == 0
 
 
@@ -211,9 +213,9 @@ def test_neighbours_equal_brute_force(spark):
 def test_production_scores_with_trigrams(spark):
     texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
     got = {r.doc_id: r.log_score for r in lm.score(frame(spark, enumerate(texts))).collect()}
-    start = math.log(3 / 15) + math.log(3 / 3)  # of a, then b after it
-    assert abs(got[0] - (start + math.log(2 / 3))) < 1e-4  # by bigrams: 2 / 5
-    assert abs(got[4] - (start + math.log(0.4) + math.log(3 / 5))) < 1e-4  # "a b d" was seen once
+    start = math.log(2 / 15) + math.log(2 / 2)  # of a in the other documents, then b after it
+    assert abs(got[0] - (start + math.log(1 / 2))) < 1e-4  # by bigrams: 1 / 4
+    assert abs(got[4] - (start + math.log(0.4) + math.log(2 / 4))) < 1e-4  # no other document has "a b d"
 
 
 @pytest.fixture(scope="module")

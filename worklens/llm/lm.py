@@ -1,29 +1,29 @@
-"""Stupid-backoff language model: count tables joined to exploded n-grams, summed per document.
+"""Stupid-backoff language model: n-gram counts partitioned by hash, joined to the documents' n-grams, summed
+per document.
 
-The vocabulary is every word that makes up at least ``floor`` of the corpus, so it never has more than
-``1 / floor`` entries and may be broadcast; other words share one unknown word, whose n-grams are not
-kept. N-grams of all documents are counted into tables partitioned by the n-gram's key; those seen
-fewer than ``least`` times are left out, so that a text is not evidence for itself.
+A document is scored by what the rest of the corpus holds. With C(g) the occurrences of an n-gram in all
+documents, those of the document itself taken off, and N the number of words of the corpus,
 
-    S(w | context) = c(context w) / c(context)  where the table has "context w"
-                   = alpha * S(w | context without its first word)  elsewhere;  S(w) = c(w) / N
+    S(w | context) = C(context w) / C(context)  where C(context w) > 0
+                   = alpha * S(w | context without its first word)  elsewhere;  S(w) = max(C(w), 1) / N
 
-The logarithm of a document's score is a sum over positions of ``log(c(w) / N)`` and a log alpha for
-each word of context, plus, for every n-gram g of the document that the table has,
+so that no text is evidence for itself, and every word and n-gram counts: there is no vocabulary, and no n-gram is
+left out. Production uses trigrams.
 
-    log c(g) - log c(g less its last word) - log c(g less its first) + log c(g less both) - log alpha
+Documents are dealt into chunks of about CHUNK bytes of text, in the order in which they are stored. The n-grams
+of all orders of a chunk are exploded, counted and dealt by hash into as many buckets as the size of the corpus
+asks for. An n-gram is a 64-bit hash; those of a chunk that fall into one bucket travel as one row, which holds
+their sorted hashes and counts as arrays (the differences of neighbours, byte by byte, which Spark's codec packs
+well). A bucket's task adds up the counts of all chunks and joins the sums back to each chunk's n-grams; the sums,
+in the order of the hashes, go to the chunk, whose task finds the same n-grams in its documents again. A bucket
+holds a share of the hashes and at most one count of an n-gram from each chunk, so no n-gram, however common, and
+no document gathers more than that in one task.
 
-(an n-gram in the table has its parts there too). Each n-gram thus adds a number of its own, and one
-equi-join of the documents' n-grams with the table, followed by a sum per document, gives the score.
+Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
-Production uses trigrams; the exploded rows pass four times the compressed input, which the README lists.
-
-Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. Words are known by a 64-bit
-hash and n-grams by the packed numbers of their words. Sums are kept in units of 1e-9.
-
-Defined results: null, empty or wordless texts have 0 words and null scores; a null doc_id passes
-through; repeated rows count in the corpus and are scored row by row; an empty table gives an empty
-result; other columns are ignored.
+Defined results: null, empty or wordless texts have 0 words and null scores; a null doc_id passes through;
+repeated rows are documents of their own, and each counts for the other; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,169 +42,196 @@ from worklens.llm import flat
 from worklens.llm.common import stage, text_batches, tidied
 
 LETTERS = flat.word_table(bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
-UNIT = 1e9
+#: Bytes of text in a chunk, and in a bucket's share of the corpus. They bound the memory of a task.
+CHUNK = 16 << 20
+BUCKET = 4 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
-    floor: float = 5e-6
-    least: int = 2
     alpha: float = 0.4
+    chunk: int = CHUNK
+    bucket: int = BUCKET
 
-    @property
-    def bits(self) -> int:
-        return max(1, int(1 / self.floor)).bit_length()
 
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, all their lowest bytes first, then the next ones."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Hashes of the known words in order, their counts, and the corpus' number of words."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    total: int
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word, -1 for unknown ones."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word of the texts, in order."""
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, _, raw, offsets in flat.runs(column):
+        w = flat.words(raw, offsets, LETTERS)
+        docs.append(w.doc + a)
+        hashes.append(w.hash)
+    return np.concatenate(docs), np.concatenate(hashes)
 
 
-def vocabulary(docs: DataFrame, s: Settings) -> Vocabulary:
-    """Counts all words of all documents; only words above the floor come to the driver."""
+def _ngrams(doc: np.ndarray, word: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order (places at which its n-grams end, their hashes); hashes of all orders are told apart."""
+    key = flat.mix64(word + np.uint64(1))
+    yield np.arange(len(word)), key
+    for n in range(2, order + 1):
+        key = flat.joined(key[:-1], word[n - 1 :])
+        inside = doc[n - 1 :] == doc[: len(doc) - n + 1]
+        yield np.flatnonzero(inside) + n - 1, key[inside]
+
+
+def _chunked(docs: DataFrame, s: Settings) -> DataFrame:
+    """row, chunk, doc_id, text: rows of a chunk follow each other and hold about ``s.chunk`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = chunk = TaskContext.get().partitionId() << 32
+        held = 0
         for batch in batches:
-            for _, _, raw, offsets in flat.runs(batch.column(0)):
-                word, n = np.unique(flat.words(raw, offsets, LETTERS).hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
-
-    counts = stage(text_batches(docs).selectExpr("cast(text as string) text").mapInArrow(tidied(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.filter(F.col("n") >= total * s.floor).toArrow()  # at most 1 / floor rows
-    hashes = known.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], known.column("n").to_numpy()[order], int(total))
-
-
-def _ngrams(doc: np.ndarray, number: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of every n-gram of orders 2 to order whose words are all known. A key holds the words'
-    numbers plus one, the first word highest, so shorter n-grams have smaller keys."""
-    docs, keys = [], []
-    key, fine = number + 1, number >= 0
-    for n in range(2, s.order + 1):
-        if len(number) < n:
-            break
-        key = (key[:-1] << s.bits) | (number[n - 1 :] + 1)
-        fine = fine[:-1] & (number[n - 1 :] >= 0) & (doc[n - 1 :] == doc[: len(doc) - n + 1])
-        docs.append(doc[n - 1 :][fine])
-        keys.append(key[fine])
-    return (np.concatenate(docs), np.concatenate(keys)) if docs else (doc[:0], number[:0])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) + held
+            chunks = chunk + ends // s.chunk
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ends))), pa.array(chunks), *batch.columns], names=["row", "chunk", "doc_id", "text"])
+            row += len(ends)
+            held = int(ends[-1]) if len(ends) else held
 
+    source = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return stage(source.mapInArrow(tidied(run), "row long, chunk long, doc_id long, text string"), "chunks")
 
-def _table(docs: DataFrame, shared, s: Settings) -> DataFrame:
-    """(key, gain): what each n-gram of the table adds to the log score of a document, for one occurrence."""
+
+CELLS = "bucket int, chunk long, piece long, words long, keys binary, counts binary"
+
+
+def _cells(chunked: DataFrame, buckets: int, s: Settings) -> DataFrame:
+    """The n-grams of each chunk by bucket. ``piece``: the first row of those read together, as a file may be split
+    inside a chunk; words: the number of words of the piece, in one of its rows."""
+
+    def exploded(chunk: int, piece: int, texts: list) -> pa.RecordBatch:
+        doc, word = _words(pa.chunked_array(texts).combine_chunks())
+        keys, counts = np.unique(np.concatenate([k for _, k in _ngrams(doc, word, s.order)]), return_counts=True)
+        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(keys))
+        rows = [(int(bucket[a]), chunk, piece, 0 if a else len(word), _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
+        names, kinds = zip(*(c.split() for c in CELLS.split(", ")))
+        types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(list(c), types[k]) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        chunk, piece, last, texts = None, 0, -1, []
         for batch in batches:
-            for _, _, raw, offsets in flat.runs(batch.column(0)):
-                w = flat.words(raw, offsets, LETTERS)
-                key, n = np.unique(_ngrams(w.doc, known.numbers(w.hash), s)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    counted = docs.selectExpr("cast(text as string) text").mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = stage(counted.filter(F.col("n") >= s.least), "ngrams")
-    words = docs.sparkSession.createDataFrame(pa.table({"key": np.arange(1, len(shared.value.counts) + 1), "n": shared.value.counts})) if len(shared.value.counts) else docs.sparkSession.createDataFrame([], "key long, n long")
-    one, total = (1 << s.bits) - 1, F.lit(float(shared.value.total))
-    tables = []
+            rows, chunks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero(np.diff(chunks, prepend=-1) | (np.diff(rows, prepend=rows[:1] - 1) < 0)).tolist() if len(rows) else []
+            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+                if chunks[a] != chunk or rows[a] < last:
+                    if texts:
+                        yield exploded(chunk, piece, texts)
+                    chunk, piece, texts = int(chunks[a]), int(rows[a]), []
+                texts.append(batch.column(2).slice(a, b - a))
+                last = int(rows[b - 1])
+        if texts:
+            yield exploded(chunk, piece, texts)
+
+    return chunked.select("row", "chunk", "text").mapInArrow(tidied(run), CELLS)
+
+
+SUMS = "bucket int, chunk long, piece long, words long, sums binary"
+
+
+def _summed(cells: pa.Table) -> pa.Table:
+    """A bucket's n-grams counted over all chunks; each chunk gets the sums of its own, in order."""
+    keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in cells.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(n) for n in cells.column("counts").to_pylist()])
+    order = np.argsort(every := np.concatenate(keys), kind="stable")
+    new = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
+    sums = np.empty_like(counts)
+    sums[order] = np.repeat(np.add.reduceat(counts[order], new), np.diff(np.append(new, len(order))))
+    ends = np.cumsum([len(k) for k in keys])
+    packed = [_packed(x) for x in np.split(sums, ends[:-1])]
+    return cells.select(["bucket", "chunk", "piece", "words"]).append_column("sums", pa.array(packed, pa.binary()))
+
+
+def _scored(doc: np.ndarray, word: np.ndarray, n_docs: int, sums: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: words, words that no other document has, words scored by their own counts alone, and the
+    log score without the 1 / N of the latter. ``sums``: counts of the n-grams in the order of their hashes."""
+    ends, keys = zip(*_ngrams(doc, word, s.order))
+    sizes, ends, keys = [len(k) for k in keys], np.concatenate(ends), np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")  # within an n-gram, its documents follow each other
+    owner = doc[ends[order]]
+    other_key = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+    if len(sums) != other_key.sum():
+        raise ValueError("sums of other n-grams than those of the documents")
+    cuts = np.flatnonzero(other_key | (np.diff(owner, prepend=-1) != 0))
+    own = np.diff(np.append(cuts, len(order)))
+    left = np.empty(len(order), np.int64)
+    left[order] = np.repeat(sums.astype(np.int64)[np.cumsum(other_key)[cuts] - 1] - own, own)
+    n_words = np.bincount(doc, minlength=n_docs)
+    place = np.minimum(np.arange(len(doc)) - (np.cumsum(n_words) - n_words)[doc], s.order - 1)
+    scores = np.log(np.maximum(left[: sizes[0]], 1)) + place * np.log(s.alpha)
+    alone = np.ones(len(doc), bool)
+    shorter, at = left[: sizes[0]], sizes[0]
     for n in range(2, s.order + 1):
-        low, high = F.lit(1 << s.bits * (n - 1)), F.lit(1 << s.bits * n)
-        mine = counted.filter((F.col("key") >= low) & (F.col("key") < high))
-        parts = F.broadcast(words) if n == 2 else counted.filter((F.col("key") >= F.lit(1 << s.bits * (n - 2))) & (F.col("key") < low))
-        middle = F.broadcast(words) if n == 3 else counted
-        mine = mine.withColumn("head", F.shiftright("key", s.bits)).withColumn("tail", F.col("key").bitwiseAND((1 << s.bits * (n - 1)) - 1))
-        mine = mine.join(parts.select(F.col("key").alias("head"), F.col("n").alias("n_head")), "head")
-        mine = mine.join(parts.select(F.col("key").alias("tail"), F.col("n").alias("n_tail")), "tail")
-        if n == 2:
-            mine = mine.withColumn("n_middle", total)
-        else:
-            mine = mine.withColumn("middle", F.shiftright("tail", s.bits)).join(middle.select(F.col("key").alias("middle"), F.col("n").alias("n_middle")), "middle")
-        tables.append(mine.select("key", (F.log("n") - F.log("n_head") - F.log("n_tail") + F.log("n_middle") - F.lit(float(np.log(s.alpha)))).alias("gain")))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+        longer = np.zeros(len(doc), np.int64)
+        longer[ends[at : at + sizes[n - 1]]] = left[at : at + sizes[n - 1]]
+        hit = np.flatnonzero(longer > 0)
+        scores[hit] = np.log(longer[hit]) - np.log(shorter[hit - 1]) + (place[hit] - (n - 1)) * np.log(s.alpha)
+        alone[hit] = False
+        shorter, at = longer, at + sizes[n - 1]
+    return n_words, np.bincount(doc[left[: sizes[0]] <= 0], minlength=n_docs), np.bincount(doc[alone], minlength=n_docs), np.bincount(doc, scores, minlength=n_docs).astype(float)
 
 
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_words, n_unknown, log_score (natural) and log_score_per_word of every document."""
+    """doc_id, n_words, n_unknown (words that no other document has), log_score (natural) and log_score_per_word
+    of every document."""
     s = settings
-    found = vocabulary(docs, s)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-    unknown = max(found.total - int(found.counts.sum()), 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        chance = np.log(np.append(known.counts, unknown) / max(known.total, 1))
-        for batch in batches:
-            for a, b, raw, offsets in flat.runs(batch.column(2)):
-                w = flat.words(raw, offsets, LETTERS)
-                row = np.asarray(batch.column(0).slice(a, b - a))
-                number = known.numbers(w.hash)
-                size = np.bincount(w.doc, minlength=b - a)
-                place = np.arange(len(w.doc)) - (np.cumsum(size) - size)[w.doc]
-                base = np.bincount(w.doc, chance[number] + np.minimum(place, s.order - 1) * np.log(s.alpha), minlength=b - a)
-                doc, key = _ngrams(w.doc, number, s)
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
-                times = np.diff(np.append(cut, len(doc)))
-                # what is known of the row itself goes along under keys of its own, below zero
-                own = [size, np.rint(base * UNIT).astype(np.int64), np.bincount(w.doc, number < 0, minlength=b - a).astype(np.int64)]
-                ids = batch.column(1).slice(a, b - a)
-                named = np.flatnonzero(np.asarray(ids.is_valid()))
-                rows = [row, row, row, row[named], row[doc[cut]]]
-                keys = [-4 * row - 1 - i for i in range(3)] + [-4 * row[named] - 4, key[cut]]
-                values = [*own, np.asarray(ids.take(pa.array(named))), times]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, keys, values)], names=["row", "key", "n"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    grams = source.mapInArrow(tidied(run), "row long, key long, n long")
-    table = _table(docs, shared, s)
-    kind = F.when(F.col("key") < 0, F.pmod(-F.col("key"), F.lit(4)))
-    held = lambda i: F.max(F.when(kind == i, F.col("n")))
-    summed = grams.join(table, "key", "left").groupBy("row").agg(held(0).alias("doc_id"), held(1).alias("n_words"), held(2).alias("base"), held(3).alias("n_unknown"), F.sum(F.when(F.col("key") >= 0, F.round(F.col("gain") * UNIT).cast("bigint") * F.col("n"))).alias("gain"))
-    log_score = F.when(F.col("n_words") > 0, (F.col("base") + F.coalesce("gain", F.lit(0))) / UNIT)
-    return summed.select("doc_id", "n_words", "n_unknown", F.round(log_score, 4).alias("log_score"), F.round(log_score / F.col("n_words"), 6).alias("log_score_per_word"))
+    chunked = _chunked(docs, s)
+    size = chunked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = _cells(chunked, size // s.bucket + 1, s)
+    sums = stage(cells.groupBy("bucket").applyInArrow(_summed, SUMS), "sums")
+    total = sums.agg(F.sum("words")).first()[0] or 1
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("row"), right.sort_by([("piece", "ascending"), ("bucket", "ascending")])
+        rows, pieces, packed = np.asarray(left.column("row")), np.asarray(right.column("piece")), right.column("sums")
+        firsts, at = np.unique(pieces, return_index=True)
+        cuts = np.searchsorted(rows, firsts[1:]) if len(firsts) else np.zeros(0, np.int64)
+        bounds, at = [0, *cuts.tolist(), len(rows)], [*at.tolist(), len(pieces)]
+        parts = []
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            found = [_unpacked(x) for x in packed.slice(at[i], at[i + 1] - at[i]).to_pylist()] if len(firsts) else []
+            doc, word = _words(left.column("text").slice(a, b - a).combine_chunks()) if b > a else (np.zeros(0, np.int64),) * 2
+            parts.append(_scored(doc, word.astype(np.uint64), b - a, np.concatenate([np.zeros(0, np.uint64), *found]), s))
+        return pa.table([left.column("doc_id"), *(pa.array(np.concatenate(c)) for c in zip(*parts))], names=["doc_id", "n_words", "n_unknown", "alone", "base"])
+
+    rows = chunked.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, n_unknown long, alone long, base double")
+    log_score = F.when(F.col("n_words") > 0, F.col("base") - F.col("alone") * F.lit(float(np.log(total))))
+    return rows.select("doc_id", "n_words", "n_unknown", F.round(log_score, 4).alias("log_score"), F.round(log_score / F.col("n_words"), 6).alias("log_score_per_word"))
 
 
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
 p AS (SELECT doc_id, unnest(words) AS w, unnest(generate_series(1, len(words))) AS i FROM t),
-c1 AS (SELECT w, count(*) AS c FROM p GROUP BY w),
-n AS (SELECT CAST(sum(c) AS DOUBLE) AS total FROM c1),
-v AS (SELECT w, c FROM c1, n WHERE c >= total * 5e-6),
-unk AS (SELECT greatest(max(total) - coalesce(sum(c), 0), 1) AS c FROM n LEFT JOIN v ON true),
-k AS (SELECT doc_id, i, p.w, v.c, v.w IS NOT NULL AS known FROM p LEFT JOIN v ON p.w = v.w),
-g2 AS (SELECT b.doc_id, b.i, a.w AS w1, b.w AS w2, a.c AS c1, b.c AS c2 FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.known AND b.known),
-t2 AS (SELECT w1, w2, count(*) AS c FROM g2 GROUP BY 1, 2 HAVING count(*) >= 2),
-g3 AS (SELECT b.doc_id, b.i, a.w1, a.w2, b.w2 AS w3 FROM g2 a JOIN g2 b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
-t3 AS (SELECT w1, w2, w3, count(*) AS c FROM g3 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+n AS (SELECT ln(CAST(greatest(count(*), 1) AS DOUBLE)) AS total FROM p),
+g AS (SELECT doc_id, i, w AS w3, lag(w, 1) OVER d AS w2, lag(w, 2) OVER d AS w1 FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+d1 AS (SELECT doc_id, w3, count(*) AS c FROM g GROUP BY ALL),
+d2 AS (SELECT doc_id, w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+d3 AS (SELECT doc_id, w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL),
+o1 AS (SELECT doc_id, w3, sum(c) OVER (PARTITION BY w3) - c AS c FROM d1),
+o2 AS (SELECT doc_id, w2, w3, sum(c) OVER (PARTITION BY w2, w3) - c AS c FROM d2),
+o3 AS (SELECT doc_id, w1, w2, w3, sum(c) OVER (PARTITION BY w1, w2, w3) - c AS c FROM d3),
 s AS (
-  SELECT k.doc_id, k.known,
-    CASE WHEN t3.c IS NOT NULL THEN ln(t3.c) - ln(h.c)
-         WHEN t2.c IS NOT NULL THEN ln(t2.c) - ln(g2.c1) + (CASE WHEN k.i > 2 THEN ln(0.4) ELSE 0 END)
-         ELSE ln(coalesce(k.c, unk.c)) - ln(total) + ln(0.4) * least(k.i - 1, 2) END AS x
-  FROM k CROSS JOIN unk CROSS JOIN n
-    LEFT JOIN g2 ON k.doc_id = g2.doc_id AND k.i = g2.i LEFT JOIN t2 ON g2.w1 = t2.w1 AND g2.w2 = t2.w2
-    LEFT JOIN g3 ON k.doc_id = g3.doc_id AND k.i = g3.i LEFT JOIN t3 ON g3.w1 = t3.w1 AND g3.w2 = t3.w2 AND g3.w3 = t3.w3
-    LEFT JOIN t2 h ON g3.w1 = h.w1 AND g3.w2 = h.w2),
-a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT known) AS n_unknown, sum(x) AS x FROM s GROUP BY doc_id)
+  SELECT g.doc_id, o1.c = 0 AS unknown,
+    CASE WHEN o3.c > 0 THEN ln(o3.c) - ln(h2.c)
+         WHEN o2.c > 0 THEN ln(o2.c) - ln(h1.c) + (CASE WHEN g.i > 2 THEN ln(0.4) ELSE 0 END)
+         ELSE ln(greatest(o1.c, 1)) - total + ln(0.4) * least(g.i - 1, 2) END AS x
+  FROM g CROSS JOIN n JOIN o1 ON g.doc_id = o1.doc_id AND g.w3 = o1.w3
+    LEFT JOIN o1 h1 ON g.doc_id = h1.doc_id AND g.w2 = h1.w3
+    LEFT JOIN o2 ON g.doc_id = o2.doc_id AND g.w2 = o2.w2 AND g.w3 = o2.w3
+    LEFT JOIN o2 h2 ON g.doc_id = h2.doc_id AND g.w1 = h2.w2 AND g.w2 = h2.w3
+    LEFT JOIN o3 ON g.doc_id = o3.doc_id AND g.w1 = o3.w1 AND g.w2 = o3.w2 AND g.w3 = o3.w3),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (unknown) AS n_unknown, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown, round(x, 4) AS log_score, round(x / n_words, 6) AS log_score_per_word
 FROM t LEFT JOIN a USING (doc_id)
 """
