@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worklens.sources.staging import shared_dir, stage
 
-__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches", "tidied"]
+__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches", "tidied", "trimmed"]
 
 
 #: Rows that Spark hands to a Python worker at once; texts are long, so the default of 10,000 fills memory.
@@ -27,17 +27,22 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later groups and stages, where what they
+    hold would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable) -> Callable:
-    """A function for mapInArrow that, when its partition ends, gives freed memory back to the system: Spark
-    keeps Python workers for later stages, where what they hold would count against the executor."""
+    """A function for mapInArrow that gives freed memory back when its partition ends."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        trimmed()
 
     return wrapped
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm import flat
-from worklens.llm.common import stage, text_batches, tidied
+from worklens.llm.common import stage, text_batches, tidied, trimmed
 
 LETTERS = flat.word_table(bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
 #: Bytes of text in a chunk, and in a bucket's share of the corpus. They bound the memory of a task.
@@ -101,22 +101,24 @@ def _chunked(docs: DataFrame, s: Settings) -> DataFrame:
     return stage(source.mapInArrow(tidied(run), "row long, chunk long, doc_id long, text string"), "chunks")
 
 
-CELLS = "bucket int, chunk long, piece long, words long, keys binary, counts binary"
+CELLS = "bucket int, chunk long, piece long, n int, words long, keys binary, counts binary"
 
 
 def _cells(chunked: DataFrame, buckets: int, s: Settings) -> DataFrame:
-    """The n-grams of each chunk by bucket. ``piece``: the first row of those read together, as a file may be split
-    inside a chunk; words: the number of words of the piece, in one of its rows."""
+    """The n-grams of each chunk by order and bucket. ``piece``: the first row of those read together, as a file may be
+    split inside a chunk; words: the number of words of the piece, in one of its rows."""
 
-    def exploded(chunk: int, piece: int, texts: list) -> pa.RecordBatch:
+    def exploded(chunk: int, piece: int, texts: list) -> Iterator[pa.RecordBatch]:
         doc, word = _words(pa.chunked_array(texts).combine_chunks())
-        keys, counts = np.unique(np.concatenate([k for _, k in _ngrams(doc, word, s.order)]), return_counts=True)
-        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(keys))
-        rows = [(int(bucket[a]), chunk, piece, 0 if a else len(word), _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
         names, kinds = zip(*(c.split() for c in CELLS.split(", ")))
         types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(list(c), types[k]) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=list(names))
+        for n, (_, keys) in enumerate(_ngrams(doc, word, s.order), 1):
+            keys, counts = np.unique(keys, return_counts=True)
+            bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(keys))
+            rows = [(int(bucket[a]), chunk, piece, n, len(word) if n == 1 and not a else 0, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, piece, last, texts = None, 0, -1, []
@@ -126,17 +128,17 @@ def _cells(chunked: DataFrame, buckets: int, s: Settings) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(rows)]):
                 if chunks[a] != chunk or rows[a] < last:
                     if texts:
-                        yield exploded(chunk, piece, texts)
+                        yield from exploded(chunk, piece, texts)
                     chunk, piece, texts = int(chunks[a]), int(rows[a]), []
                 texts.append(batch.column(2).slice(a, b - a))
                 last = int(rows[b - 1])
         if texts:
-            yield exploded(chunk, piece, texts)
+            yield from exploded(chunk, piece, texts)
 
     return chunked.select("row", "chunk", "text").mapInArrow(tidied(run), CELLS)
 
 
-SUMS = "bucket int, chunk long, piece long, words long, sums binary"
+SUMS = "bucket int, chunk long, piece long, n int, words long, sums binary"
 
 
 def _summed(cells: pa.Table) -> pa.Table:
@@ -149,36 +151,46 @@ def _summed(cells: pa.Table) -> pa.Table:
     sums[order] = np.repeat(np.add.reduceat(counts[order], new), np.diff(np.append(new, len(order))))
     ends = np.cumsum([len(k) for k in keys])
     packed = [_packed(x) for x in np.split(sums, ends[:-1])]
-    return cells.select(["bucket", "chunk", "piece", "words"]).append_column("sums", pa.array(packed, pa.binary()))
-
-
-def _scored(doc: np.ndarray, word: np.ndarray, n_docs: int, sums: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    trimmed()
+    return cells.select(["bucket", "chunk", "piece", "n", "words"]).append_column("sums", pa.array(packed, pa.binary()))
+
+
+def _left(doc: np.ndarray, ends: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """For each place, the count of the n-gram that ends there without those of its own document, 0 where none ends.
+    ``sums``: the counts in the order of the hashes."""
+    left = np.zeros(len(doc), np.int64)
+    if len(keys):
+        order = np.argsort(keys, kind="stable")  # within an n-gram, its documents follow each other
+        keys, ends = keys[order], ends[order]
+        new, owner = np.diff(keys, prepend=~keys[:1]) != 0, doc[ends]
+        cuts = np.flatnonzero(new | (np.diff(owner, prepend=-1) != 0))
+        own = np.diff(np.append(cuts, len(order)))
+        of = np.cumsum(new)[cuts] - 1
+        if of[-1] + 1 != len(sums):
+            raise ValueError("sums of other n-grams than those of the documents")
+        left[ends] = np.repeat(sums[of] - own, own)
+    return left
+
+
+def _scored(doc: np.ndarray, word: np.ndarray, n_docs: int, sums: dict[int, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each document: words, words that no other document has, words scored by their own counts alone, and the
-    log score without the 1 / N of the latter. ``sums``: counts of the n-grams in the order of their hashes."""
-    ends, keys = zip(*_ngrams(doc, word, s.order))
-    sizes, ends, keys = [len(k) for k in keys], np.concatenate(ends), np.concatenate(keys)
-    order = np.argsort(keys, kind="stable")  # within an n-gram, its documents follow each other
-    owner = doc[ends[order]]
-    other_key = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
-    if len(sums) != other_key.sum():
-        raise ValueError("sums of other n-grams than those of the documents")
-    cuts = np.flatnonzero(other_key | (np.diff(owner, prepend=-1) != 0))
-    own = np.diff(np.append(cuts, len(order)))
-    left = np.empty(len(order), np.int64)
-    left[order] = np.repeat(sums.astype(np.int64)[np.cumsum(other_key)[cuts] - 1] - own, own)
+    log score without the 1 / N of the latter. ``sums``: by order, see :func:`_left`."""
     n_words = np.bincount(doc, minlength=n_docs)
     place = np.minimum(np.arange(len(doc)) - (np.cumsum(n_words) - n_words)[doc], s.order - 1)
-    scores = np.log(np.maximum(left[: sizes[0]], 1)) + place * np.log(s.alpha)
-    alone = np.ones(len(doc), bool)
-    shorter, at = left[: sizes[0]], sizes[0]
-    for n in range(2, s.order + 1):
-        longer = np.zeros(len(doc), np.int64)
-        longer[ends[at : at + sizes[n - 1]]] = left[at : at + sizes[n - 1]]
-        hit = np.flatnonzero(longer > 0)
-        scores[hit] = np.log(longer[hit]) - np.log(shorter[hit - 1]) + (place[hit] - (n - 1)) * np.log(s.alpha)
-        alone[hit] = False
-        shorter, at = longer, at + sizes[n - 1]
-    return n_words, np.bincount(doc[left[: sizes[0]] <= 0], minlength=n_docs), np.bincount(doc[alone], minlength=n_docs), np.bincount(doc, scores, minlength=n_docs).astype(float)
+    scores, shorter = np.zeros(len(doc)), np.zeros(0, np.int64)
+    alone, unknown = np.ones(len(doc), bool), np.zeros(len(doc), bool)
+    for n, (ends, keys) in enumerate(_ngrams(doc, word, s.order), 1):
+        left = _left(doc, ends, keys, sums.get(n, shorter[:0]))
+        if n == 1:
+            unknown = left <= 0
+            scores = np.log(np.maximum(left, 1)) + place * np.log(s.alpha)
+        else:
+            hit = np.flatnonzero(left > 0)
+            scores[hit] = np.log(left[hit]) - np.log(shorter[hit - 1]) + (place[hit] - (n - 1)) * np.log(s.alpha)
+            alone[hit] = False
+        shorter = left
+    count = lambda which: np.bincount(doc[which], minlength=n_docs)
+    return n_words, count(unknown), count(alone), np.bincount(doc, scores, minlength=n_docs).astype(float)
 
 
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -192,17 +204,18 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = sums.agg(F.sum("words")).first()[0] or 1
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by("row"), right.sort_by([("piece", "ascending"), ("bucket", "ascending")])
-        rows, pieces, packed = np.asarray(left.column("row")), np.asarray(right.column("piece")), right.column("sums")
-        firsts, at = np.unique(pieces, return_index=True)
-        cuts = np.searchsorted(rows, firsts[1:]) if len(firsts) else np.zeros(0, np.int64)
-        bounds, at = [0, *cuts.tolist(), len(rows)], [*at.tolist(), len(pieces)]
+        left, right = left.sort_by("row"), right.sort_by([("piece", "ascending"), ("n", "ascending"), ("bucket", "ascending")])
+        found: dict[int, dict[int, list]] = {}
+        for piece, n, packed in zip(*(right.column(c).to_pylist() for c in ("piece", "n", "sums"))):
+            found.setdefault(piece, {}).setdefault(n, []).append(packed)
+        cuts = np.searchsorted(np.asarray(left.column("row")), list(found)[1:]).tolist()
         parts = []
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            found = [_unpacked(x) for x in packed.slice(at[i], at[i + 1] - at[i]).to_pylist()] if len(firsts) else []
-            doc, word = _words(left.column("text").slice(a, b - a).combine_chunks()) if b > a else (np.zeros(0, np.int64),) * 2
-            parts.append(_scored(doc, word.astype(np.uint64), b - a, np.concatenate([np.zeros(0, np.uint64), *found]), s))
-        return pa.table([left.column("doc_id"), *(pa.array(np.concatenate(c)) for c in zip(*parts))], names=["doc_id", "n_words", "n_unknown", "alone", "base"])
+        for a, b, sums in zip([0, *cuts], [*cuts, left.num_rows], found.values() or [{}]):
+            doc, word = _words(left.column("text").slice(a, b - a).combine_chunks())
+            parts.append(_scored(doc, word, b - a, {n: np.concatenate([_unpacked(x) for x in p]).view(np.int64) for n, p in sums.items()}, s))
+        out = pa.table([left.column("doc_id"), *(pa.array(np.concatenate(c)) for c in zip(*parts))], names=["doc_id", "n_words", "n_unknown", "alone", "base"])
+        trimmed()
+        return out
 
     rows = chunked.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, n_unknown long, alone long, base double")
     log_score = F.when(F.col("n_words") > 0, F.col("base") - F.col("alone") * F.lit(float(np.log(total))))
