@@ -247,9 +247,47 @@ def test_fast_paths_equal_lattices(path):
     m.learn(words)
     for w in words:
         lattice = m.lattice(w)
+        assert m.words[w][2] == lattice.log_other == -math.inf or abs(m.words[w][2] - lattice.log_other) < 1e-8
         assert m.words[w][0] == lattice.best and abs(m.words[w][1] - lattice.log_best) < 1e-9
 
 
+@pytest.mark.parametrize("alpha", [0.3, 2.0, 8.0])
+def test_draws_equal_enumeration(path, alpha):
+    m = pieces.Model(path, alpha)
+    words = ["▁hello", "▁thean", "▁ab", "▁the", "▁Öl", "▁日an", "▁" + "x" * 45]
+    for word in words:
+        everything = {ids: lp for lp, ids in ((math.log(p) if p > 0 else -math.inf, ids) for p, ids in m.lattice(word).likeliest())} if len(word) < 20 else {}
+        n = 2000 if everything else 5
+        m.learn([word])
+        best = m.words[word][0]
+        seen = Counter()
+        for d in m.drawn_others([(word, seed) for seed in range(n)]):
+            seen[d.ids] += 1
+            assert d.ids != best and m.decoded(b"\0\0" + d.ids) == word.replace(pieces.MARK, " ")[1:] or not word.startswith(pieces.MARK)
+            if everything:
+                others = [lp for ids, lp in everything.items() if ids != d.ids]
+                rest = [lp for ids, lp in everything.items() if ids not in (d.ids, best)]
+                assert math.isclose(d.log_probability, everything[d.ids], rel_tol=1e-9, abs_tol=1e-9)
+                assert math.isclose(d.log_other, pieces.log_sum(others), rel_tol=1e-9, abs_tol=1e-9)
+                assert d.log_both == pieces.log_sum(rest) == -math.inf or math.isclose(d.log_both, pieces.log_sum(rest), rel_tol=1e-9, abs_tol=1e-9)
+        for ids, lp in everything.items():
+            if ids != best:
+                assert abs(seen[ids] / n - math.exp(lp - m.words[word][2])) < 0.05
+
+
+def test_samples_at_the_registered_alpha(path):
+    m = pieces.Model(path, 8.0)
+    everything = {ids: p for p, ids in m.lattice("▁thean").likeliest()}
+    n, first, second = 3000, Counter(), Counter()
+    for one, two in m.many_samples(["thean"] * n, [f"{i}".encode() for i in range(n)], 2):
+        first[one[3]] += 1
+        second[one[3], two[3]] += 1
+    for a, p in everything.items():
+        assert abs(first[a] / n - p) < 0.04
+        for b, q in everything.items():
+            assert a == b or abs(second[a, b] / n - p * q / (1 - p)) < 0.04
+
+
 def test_unlikely_segmentations_are_not_lost(spark, path):
     rows = frame(spark, enumerate(["hello world", "children"]))
     found = pieces.sample(rows, path).collect()

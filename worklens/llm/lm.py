@@ -43,7 +43,7 @@ from worklens.llm.common import stage, text_batches, tidied, trimmed
 
 LETTERS = flat.word_table(bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
 #: Bytes of text in a chunk, and in a bucket's share of the corpus. They bound the memory of a task.
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 BUCKET = 4 << 20
 
 

@@ -26,15 +26,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Generator, Iterator
 from functools import lru_cache
+from itertools import chain
 from math import exp, expm1, inf, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from worklens.llm.common import text_batches, tidied
+from worklens.llm.flat import mix64
 
 MARK = "▁"
 #: Words whose best paths a worker keeps in each of two generations.
@@ -186,6 +189,39 @@ class Lattice:
         return b"".join(out) + self.drawn(rng, at)
 
 
+class Drawn(NamedTuple):
+    """A segmentation of a word other than the best one: its ids, its log probability, and those of all but it, and of
+    all but it and the best one."""
+
+    ids: bytes
+    log_probability: float
+    log_other: float
+    log_both: float
+
+
+def _uniform(seeds: np.ndarray, step: int) -> np.ndarray:
+    """Numbers from 0 to 1, one for each seed and step."""
+    return (mix64(seeds + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * 2.0**-53
+
+
+def _log_total(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(axis=1)
+    return top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+
+
+def _shares(terms: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log share of the chosen edge, of all others) in each row of log masses. Nothing is subtracted from 1."""
+    rows = np.arange(len(terms))
+    others = terms.copy()
+    own = terms[rows, chosen]
+    others[rows, chosen] = -np.inf
+    top = others.max(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rest = np.where(top > -np.inf, top + np.log(np.exp(others - top[:, None]).sum(axis=1)), -np.inf)
+        total = np.logaddexp(own, rest)
+        return np.where(own > -np.inf, own - total, 0.0), np.where(rest > -np.inf, rest - total, -np.inf)
+
+
 class Model:
     """Pieces of a SentencePiece model, and its words' lattices."""
 
@@ -224,8 +260,17 @@ class Model:
         self.hashes = hashes[order]
         self.hash_weights = np.array(list(self.weight.values()))[order]
         self.hash_ids = np.frombuffer(b"".join(self.id.values()), np.uint16)[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[hashes >> np.uint64(44)] = True
+        # by 20 bits of their hashes times a factor; those that find their slot taken go to a further table
+        self.slots: list[tuple[np.uint64, np.ndarray]] = []
+        homeless = np.arange(len(self.hashes))
+        for factor in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9):
+            slots = np.full(1 << 20, -1, np.int32)
+            slot = self.hashes[homeless] * np.uint64(factor) >> np.uint64(44)
+            slots[slot] = homeless
+            homeless = homeless[slots[slot] != homeless]
+            self.slots.append((np.uint64(factor), slots))
+        if len(homeless):
+            raise ValueError("pieces of equal hashes")
         self.words: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
         self.recent: dict[str, Lattice] = {}
@@ -267,29 +312,47 @@ class Model:
             i += len(ids)
         return Lattice(edges, b"".join(path), lp, log_sum(other))
 
-    def learn(self, words: set[str]) -> None:
-        """Have the best paths of these words in ``self.words``."""
+    def learn(self, words: Collection[str]) -> None:
+        """Have the best paths of these words, which are distinct, in ``self.words``."""
         if len(self.words) >= REMEMBERED:
             self.older, self.words = self.words, {}
-        new = {w for w in words if w not in self.words}
-        self.words.update((w, self.older[w]) for w in new if w in self.older)
-        plain = [w for w in new if w not in self.older and len(w) <= WIDE and self.singles.issuperset(w)]
+        plain, odd = [], []
+        for w in words:
+            if w not in self.words:
+                if w in self.older:
+                    self.words[w] = self.older[w]
+                else:
+                    (plain if len(w) <= WIDE and self.singles.issuperset(w) else odd).append(w)
         plain.sort(key=len)  # so that words of a chunk are of about one length
         for at in range(0, len(plain), CHUNK):
             self.words.update(zip(plain[at : at + CHUNK], self._best_paths(plain[at : at + CHUNK])))
-        for w in new:
-            if w not in self.words:
-                lattice = self.lattice(w)
-                self.words[w] = lattice.best, lattice.log_best, lattice.log_other
+        for w in odd:
+            lattice = self.lattice(w)
+            self.words[w] = lattice.best, lattice.log_best, lattice.log_other
 
     def forget(self) -> None:
         """Drop what was learned of words; a worker that Spark keeps should not hold it through other stages."""
         self.words, self.older = {}, {}
         self.recent.clear()
 
-    def _best_paths(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
-        """As :meth:`lattice` finds them, for many words at once: substrings are looked up by rolling hashes,
-        and the sums over the lattices run over all words together."""
+    def _found(self, h: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those of the places at which the hash is a piece's, the pieces' numbers)."""
+        places, pieces = [], []
+        for factor, slots in self.slots:
+            at = slots[h[where] * factor >> np.uint64(44)]
+            taken = at >= 0
+            where, at = where[taken], at[taken]
+            same = self.hashes[at] == h[where]
+            places.append(where[same])
+            pieces.append(at[same])
+            where = where[~same]
+            if not len(where):
+                break
+        return np.concatenate(places), np.concatenate(pieces)
+
+    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of plain words: their lengths; by offset, length of the edge less one, and word, the log mass of what begins
+        with that edge; and the edges' ids. Substrings are looked up by rolling hashes, for all words together."""
         n, wide = len(words), max(map(len, words))
         size = np.fromiter(map(len, words), np.int64, n)
         letters = np.array(words, dtype=f"U{wide}").view(np.uint32).reshape(n, wide).T
@@ -297,47 +360,114 @@ class Model:
         for i in range(wide):
             hashed[i + 1] = hashed[i] * _BASE + letters[i] + np.uint64(1)
         beta = np.zeros((wide + 1, n))
-        share, rest, step, piece = np.zeros((wide, n)), np.zeros((wide, n)), np.ones((wide, n), np.int64), np.zeros((wide, n), np.uint16)
+        reach = min(self.longest, wide)
+        terms = np.full((wide, reach, n), -np.inf)
+        ids = np.zeros((wide, reach, n), np.uint16)
         for i in range(wide - 1, -1, -1):
-            reach = min(self.longest, wide - i)
-            terms = np.full((reach, n), -np.inf)
-            ids = np.zeros((reach, n), np.uint16)
-            for j in range(reach):
-                h = hashed[i + j + 1] - hashed[i] * _BASE_POWERS[j + 1]
-                maybe = np.flatnonzero(self.sieve[h >> np.uint64(44)] & (i + j < size))
-                at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-                true = self.hashes[at] == h[maybe]
-                maybe, at = maybe[true], at[true]
-                terms[j, maybe] = self.hash_weights[at] + beta[i + j + 1, maybe]
-                ids[j, maybe] = self.hash_ids[at]
-            # of equal ones the longest piece, as in a lattice's sorted edges
-            best = reach - 1 - terms[::-1].argmax(axis=0)
-            top = terms[best, np.arange(n)]
-            inside = i < size
+            for j in range(min(reach, wide - i)):
+                at, piece = self._found(hashed[i + j + 1] - hashed[i] * _BASE_POWERS[j + 1], np.flatnonzero(i + j < size))
+                terms[i, j, at] = self.hash_weights[piece] + beta[i + j + 1, at]
+                ids[i, j, at] = self.hash_ids[piece]
             with np.errstate(invalid="ignore"):
-                total = np.where(inside, np.exp(terms - top).sum(axis=0), 1.0)
-            beta[i] = np.where(inside, top + np.log(total), 0.0)
-            share[i], step[i], piece[i] = -np.log(total), best + 1, ids[best, np.arange(n)]
-            terms[best, np.arange(n)] = -np.inf
-            second = terms.max(axis=0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                rest[i] = np.where(second > -np.inf, second - top + np.log(np.exp(terms - second).sum(axis=0)) - np.log(total), -np.inf)
+                top = terms[i].max(axis=0)
+                beta[i] = np.where(i < size, top + np.log(np.exp(terms[i] - top).sum(axis=0)), 0.0)
+        return size, terms, ids
+
+    def _best_paths(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
+        """As :meth:`lattice` finds them, for many words at once."""
+        size, terms, ids = self._tables(words)
+        wide, reach, n = terms.shape
         at, lp, other, count = np.zeros(n, np.int64), np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
         paths = np.zeros((n, wide), np.uint16)
-        rows = np.arange(n)
-        for _ in range(wide):
-            on = rows[at[rows] < size[rows]]
-            if not len(on):
-                break
-            here = at[on]
-            other[on] = np.logaddexp(other[on], lp[on] + rest[here, on])
-            lp[on] += share[here, on]
-            paths[on, count[on]] = piece[here, on]
+        on, t = np.arange(n), 0
+        while len(on := on[at[on] < size[on]]):
+            weights = terms[at[on], :, on]
+            edge = reach - 1 - weights[:, ::-1].argmax(axis=1)  # of equal ones the longest, as in a lattice's sorted edges
+            share, rest = _shares(weights, edge)
+            other[on] = np.logaddexp(other[on], lp[on] + rest)
+            lp[on] += share
+            paths[on, t] = ids[at[on], edge, on]
+            at[on] += edge + 1
+            t += 1
+            count[on] = t
+        packed, width = paths.tobytes(), 2 * wide
+        for i, (c, p, o) in enumerate(zip(count.tolist(), lp.tolist(), other.tolist())):
+            yield packed[i * width : i * width + 2 * c], p, o
+
+    def drawn_others(self, asked: list[tuple[str, int]]) -> list[Drawn]:
+        """For each word and seed a segmentation other than the word's best one, drawn by its probability."""
+        out: list = [None] * len(asked)
+        plain, odd = [], []
+        for i, (w, _) in enumerate(asked):
+            (plain if len(w) <= WIDE and self.singles.issuperset(w) else odd).append(i)
+        for i in odd:
+            word, seed = asked[i]
+            lattice = self.lattice(word)
+            ids = lattice.drawn_without(np.random.Generator(np.random.Philox(key=seed)), (lattice.best,), self.lengths)
+            out[i] = Drawn(ids, lattice.log_probability(ids, self.lengths), lattice.log_without((ids,), self.lengths), lattice.log_without((ids, lattice.best), self.lengths))
+        plain.sort(key=lambda i: len(asked[i][0]))
+        for a in range(0, len(plain), CHUNK):
+            part = plain[a : a + CHUNK]
+            names = list({asked[i][0]: None for i in part})
+            number = {w: i for i, w in enumerate(names)}
+            seeds = np.array([asked[i][1] for i in part], np.uint64)
+            for i, found in zip(part, self._drawn(names, np.array([number[asked[i][0]] for i in part]), seeds)):
+                out[i] = found
+        return out
+
+    def _drawn(self, names: list[str], word: np.ndarray, seeds: np.ndarray) -> Iterator[Drawn]:
+        """A segmentation of ``names[word]`` for each seed: it follows the best one up to a step drawn by the mass that
+        leaves the best one there, takes another edge, and goes on freely."""
+        size, terms, ids = self._tables(names)
+        wide, reach, n = terms.shape
+        best = reach - 1 - terms[:, ::-1].argmax(axis=1)
+        # what leaves the best path at each of its steps
+        leaves, at, lp = np.full((wide, n), -np.inf), np.zeros(n, np.int64), np.zeros(n)
+        on, t = np.arange(n), 0
+        while len(on := on[at[on] < size[on]]):
+            here = best[at[on], on]
+            share, rest = _shares(terms[at[on], :, on], here)
+            leaves[t, on] = lp[on] + rest
+            lp[on] += share
+            at[on] += here + 1
+            t += 1
+        mine = leaves[:, word]
+        odds = np.cumsum(np.exp(mine - mine.max(axis=0)), axis=0)
+        turn = np.minimum((odds <= _uniform(seeds, 0) * odds[-1]).sum(axis=0), wide - 1)
+        at, lp, other, both, count = np.zeros(len(word), np.int64), np.zeros(len(word)), np.full(len(word), -np.inf), np.full(len(word), -np.inf), np.zeros(len(word), np.int64)
+        paths = np.zeros((len(word), wide), np.uint16)
+        on, t = np.arange(len(word)), 0
+        while len(on := on[at[on] < size[word[on]]]):
+            here, w = at[on], word[on]
+            weights, top = terms[here, :, w], best[here, w]
+            open_to = weights.copy()
+            turning = np.flatnonzero(turn[on] == t)
+            open_to[turning, top[turning]] = -np.inf
+            odds = np.cumsum(np.exp(open_to - open_to.max(axis=1, keepdims=True)), axis=1)
+            edge = (odds <= (_uniform(seeds[on], t + 1) * odds[:, -1])[:, None]).sum(axis=1)
+            edge = np.where(turn[on] > t, top, np.minimum(edge, reach - 1))
+            share, rest = _shares(weights, edge)
+            apart = rest.copy()
+            if len(turning):
+                open_to[turning, edge[turning]] = -np.inf
+                peak = open_to[turning].max(axis=1)
+                total = _log_total(weights[turning])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    apart[turning] = np.where(peak > -np.inf, peak + np.log(np.exp(open_to[turning] - peak[:, None]).sum(axis=1)) - total, -np.inf)
+            other[on] = np.logaddexp(other[on], lp[on] + rest)
+            both[on] = np.logaddexp(both[on], lp[on] + apart)
+            both[on] = np.logaddexp(both[on], np.where(turn[on] < t, mine[t, on], -np.inf))
+            lp[on] += share
+            paths[on, count[on]] = ids[here, edge, w]
             count[on] += 1
-            at[on] += step[here, on]
-            rows = on
-        for i in range(n):
-            yield paths[i, : count[i]].tobytes(), float(lp[i]), float(other[i])
+            at[on] += edge + 1
+            t += 1
+        # steps of the best path after the drawn one has ended
+        late = np.where(np.arange(wide)[:, None] >= np.maximum(count, turn + 1), mine, -np.inf)
+        both = np.logaddexp(both, np.logaddexp.reduce(late, axis=0))
+        packed, width = paths.tobytes(), 2 * wide
+        for i, (c, *rest) in enumerate(zip(count.tolist(), lp.tolist(), other.tolist(), both.tolist())):
+            yield Drawn(packed[i * width : i * width + 2 * c], *rest)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -352,28 +482,52 @@ class Model:
             words += [MARK + w for w in rest]
         return words
 
-    def samples(self, text: str | None, key: bytes, k: int, words: list[str] | None = None) -> list[tuple[float, float, float, bytes]]:
-        """Up to k of (perturbed, log probability, inclusion, ids), in the order in which they were drawn.
-        ``words``: of the text, if they have been given to :meth:`learn` just before."""
+    def samples(self, text: str | None, key: bytes, k: int) -> list[tuple[float, float, float, bytes]]:
+        """Up to k of (perturbed, log probability, inclusion, ids), in the order in which they were drawn."""
+        return self.many_samples([text], [key], k)[0]
+
+    def many_samples(self, texts: list[str | None], keys: list[bytes], k: int) -> list[list[tuple[float, float, float, bytes]]]:
+        """:meth:`samples` of each text by its own key; the draws that the texts' searches ask for are made together."""
+        split = [self.split(t or "") for t in texts]
+        names = list(set().union(*split))
+        self.learn(names)
+        known = list(map(self.words.__getitem__, names))
+        number = {w: i for i, w in enumerate(names)}
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        best, log_best, log_other = [x[0] for x in known], np.array([x[1] for x in known])[at], np.array([x[2] for x in known])[at]
+        results: list = [None] * len(texts)
+        waiting, a = [], 0
+        for i, (words, key) in enumerate(zip(split, keys)):
+            b = a + len(words)
+            waiting.append((i, self._search(words, list(map(best.__getitem__, at[a:b].tolist())), log_best[a:b], log_other[a:b], key, k), None))
+            a = b
+        while waiting:
+            asked, going = [], []
+            for i, search, answer in waiting:
+                try:
+                    wanted = search.send(answer)
+                except StopIteration as end:
+                    results[i] = end.value
+                else:
+                    going.append((i, search, len(asked), len(asked) + len(wanted)))
+                    asked += wanted
+            found = self.drawn_others(asked)
+            waiting = [(i, search, found[a:b]) for i, search, a, b in going]
+        return results
+
+    def _search(self, words: list[str], base: list[bytes], log_best: np.ndarray, log_other: np.ndarray, key: bytes, k: int) -> Generator[list[tuple[str, int]], list[Drawn], list]:
+        """The search of one text. It yields (word, seed) pairs, is sent their :class:`Drawn`, and returns the samples."""
         seed = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.uint64)
         rng = np.random.Generator(np.random.Philox(key=seed))
-        if words is None:
-            words = self.split(text or "")
-            self.learn(set(words))
-        base, log_best, log_other = zip(*map(self.words.__getitem__, words))
-        log_best, log_other = np.array(log_best), np.array(log_other)
         chance = np.exp(log_other)
-        lattices: dict[int, Lattice] = {}
 
         def lattice(i: int) -> Lattice:
-            if i not in lattices:
-                found = self.recent.get(words[i])
-                if found is None:
-                    if len(self.recent) >= 10_000:
-                        self.recent.clear()
-                    found = self.recent[words[i]] = self.lattice(words[i], base[i])
-                lattices[i] = found
-            return lattices[i]
+            found = self.recent.get(words[i])
+            if found is None:
+                if len(self.recent) >= 10_000:
+                    self.recent.clear()
+                found = self.recent[words[i]] = self.lattice(words[i], base[i])
+            return found
 
         # an entry: (-maximum, tie, emitted path, log mass of the subsets by word, first word, banned there)
         heap: list = []
@@ -388,32 +542,36 @@ class Model:
             ties += 1
             heapq.heappush(heap, (-truncated_gumbel(rng, location, bound), ties, path, masses, first, banned))
 
-        def emitted(value: float, prefix: dict, first: int, banned: tuple) -> None:
-            """Draw a path that keeps the prefix before word ``first``, where it avoids the banned; then divide."""
-            path = {i: ids for i, ids in prefix.items() if i < first}
-            if banned:
-                ids = lattice(first).drawn_without(rng, banned, self.lengths)
+        def emitted(value: float, prefix: dict, first: int, banned: tuple) -> Generator:
+            """Draw a path that keeps the prefix before word ``first``, where it avoids the banned; then divide.
+            A path holds what was drawn at words where it leaves their best segmentations."""
+            path: dict[int, Drawn] = {i: d for i, d in prefix.items() if i < first}
+            start, left, places = first, -inf, []
+            if banned == (base[first],):
+                places, start = [first], first + 1
+            elif banned:
+                start, own = first + 1, lattice(first)
+                ids = own.drawn_without(rng, banned, self.lengths)
                 if ids is None:
                     return
+                left = own.log_without((*banned, ids), self.lengths)
                 if ids != base[first]:
-                    path[first] = ids
-            start = first + bool(banned)
-            for i in (np.flatnonzero(rng.random(len(words) - start) < chance[start:]) + start).tolist():
-                path[i] = lattice(i).drawn_without(rng, (base[i],), self.lengths)
+                    path[first] = Drawn(ids, own.log_probability(ids, self.lengths), own.log_without((ids,), self.lengths), 0.0)
+            places += (np.flatnonzero(rng.random(len(words) - start) < chance[start:]) + start).tolist()
+            seeds = rng.integers(1 << 64, size=len(places), dtype=np.uint64).tolist()
+            path.update(zip(places, (yield [(words[i], seed) for i, seed in zip(places, seeds)])))
             each, other = log_best.copy(), log_other.copy()
-            for i, ids in path.items():
-                each[i] = lattice(i).log_probability(ids, self.lengths)
-                if i >= first:
-                    other[i] = lattice(i).log_without((ids,), self.lengths)
+            for i, own in path.items():
+                each[i], other[i] = own.log_probability, own.log_other
             out.append((value, float(each.sum()), path))
-            before = np.concatenate([[0.0], np.cumsum(each)[:-1]])
+            before = np.cumsum(each) - each
             masses = before[first:] + other[first:]
             if banned:
-                masses[0] = before[first] + lattice(first).log_without((*banned, path.get(first, base[first])), self.lengths)
+                masses[0] = before[first] + (path[first].log_both if banned == (base[first],) else left)
             divided(value, path, masses, first, banned)
 
         out: list = []
-        emitted(gumbel(rng, 0.0), {}, 0, ())
+        yield from emitted(gumbel(rng, 0.0), {}, 0, ())
         while len(out) < k and heap:
             negative, _, path, masses, first, banned = heapq.heappop(heap)
             odds = np.cumsum(np.exp(masses - masses.max()))
@@ -422,7 +580,7 @@ class Model:
             rest[i] = -inf
             divided(-negative, path, rest, first, banned)
             at = first + i
-            emitted(-negative, path, at, (*(banned if i == 0 else ()), path.get(at, base[at])))
+            yield from emitted(-negative, path, at, (*(banned if i == 0 else ()), path[at].ids if at in path else base[at]))
         threshold = -heap[0][0] if heap else -inf
         results = []
         for value, lp, path in out[:k]:
@@ -430,7 +588,7 @@ class Model:
             if path:
                 ids = list(base)
                 for i, own in path.items():
-                    ids[i] = own
+                    ids[i] = own.ids
             inclusion = 1.0 if threshold == -inf else -expm1(-exp(min(lp - threshold, 700.0)))
             results.append((value, lp, inclusion, b"".join(ids)))
         return results
@@ -455,14 +613,13 @@ def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 8.0, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, texts = [], part.column(1).to_pylist()
-                split = [own.split(t or "") for t in texts]
-                own.learn(set().union(*split))
-                for doc_id, text, words in zip(part.column(0).to_pylist(), texts, split):
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows, texts, doc_ids = [], part.column(1).to_pylist(), part.column(0).to_pylist()
+                found = own.many_samples(texts, [f"{seed}:{d}".encode() for d in doc_ids], k)
+                for doc_id, text, drawn in zip(doc_ids, texts, found):
                     plain = (text or "").replace(MARK, " ")
-                    for i, (value, lp, inclusion, packed) in enumerate(own.samples(text, f"{seed}:{doc_id}".encode(), k, words)):
+                    for i, (value, lp, inclusion, packed) in enumerate(drawn):
                         rows.append((doc_id, i + 1, len(packed) // 2, lp, value, inclusion, hashlib.sha256(packed).hexdigest(), own.decoded(packed) == plain, packed))
                 cols = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
