@@ -147,6 +147,21 @@ def test_rows_of_null_and_repeated_ids_are_judged_one_by_one(spark):
     assert kept[0].asDict().keys() == set(frame(spark, []).columns)
 
 
+def test_stages_bear_columns_of_any_name(spark):
+    item = " ".join(f"item{i}" for i in range(10))
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "ab"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0] + " end"), (3, texts[1]), (4, item), (None, None), (5, "")]
+    names = ["gone_id", "GONE_hash", "gone_hash_", "family", "component_id", "kept", "text_hash", "times", "first", "id", "row", "n_hit", "words"]
+    docs = spark.createDataFrame([(*r, *(["x"] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, row string")
+    clean = decontaminate.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["1", "1", "2", "3", "5", "None"]
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
+    empty = docs.limit(0)
+    assert minhash.keep_one(empty).count() == decontaminate.keep_clean(empty, bench).count() == 0
+
+
 def test_proximity_matches(spark):
     docs = frame(spark, [(1, "a b x c d e"), (2, "e d c b a"), (3, "a b c " + "z " * 40 + "d e"), (4, "a b c d")])
     items = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
@@ -263,7 +278,7 @@ def test_draws_equal_enumeration(path, alpha):
         seen = Counter()
         for d in m.drawn_others([(word, seed) for seed in range(n)]):
             seen[d.ids] += 1
-            assert d.ids != best and m.decoded(b"\0\0" + d.ids) == word.replace(pieces.MARK, " ")[1:] or not word.startswith(pieces.MARK)
+            assert d.ids != best and m.decoded(d.ids) == word[1:]
             if everything:
                 others = [lp for ids, lp in everything.items() if ids != d.ids]
                 rest = [lp for ids, lp in everything.items() if ids not in (d.ids, best)]

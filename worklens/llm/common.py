@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worklens.sources.staging import shared_dir, stage
 
-__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches", "tidied", "trimmed"]
+__all__ = ["broadcast_if", "shared_dir", "stage", "text_batches", "tidied", "trimmed", "unused"]
 
 
 #: Rows that Spark hands to a Python worker at once; texts are long, so the default of 10,000 fills memory.
@@ -47,6 +47,14 @@ def tidied(run: Callable) -> Callable:
     return wrapped
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint when the counted ``rows`` are within ``limit``; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from worklens.llm.common import broadcast_if, stage
+from worklens.llm.common import broadcast_if, stage, unused
 
 #: Fixed value: what separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -150,10 +150,10 @@ def match(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
 def keep_clean(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents without any hit, all columns kept. A hit depends on the text alone, so rows go by the hash of
     their text, whatever their doc_id: null and repeated ones are no special case."""
-    own = F.xxhash64(docs["text"].cast("string"))
-    hit = stage(match(docs.select(own.alias("doc_id"), "text"), items, settings).filter("contaminated").select(F.col("doc_id").alias("gone_hash")).distinct(), "contaminated")
+    own, name = F.xxhash64(docs["text"].cast("string")), unused(docs, "gone_hash")
+    hit = stage(match(docs.select(own.alias("doc_id"), "text"), items, settings).filter("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     hit = broadcast_if(hit, hit.count(), 2_000_000)
-    return docs.join(hit, own == F.col("gone_hash"), "left_anti")
+    return docs.join(hit, own == F.col(name), "left_anti")
 
 
 ORACLE = r"""

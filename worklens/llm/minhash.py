@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.llm import flat
-from worklens.llm.common import broadcast_if, stage, text_batches, tidied
+from worklens.llm.common import broadcast_if, stage, text_batches, tidied, unused
 from worklens.llm.graph import components
 
 SPACE = flat.word_table(breaks=bytes([0x20, *range(0x09, 0x0E)]))
@@ -287,11 +287,12 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     firsts = stage(pairs.groupBy("family").agg(first).select("first.doc_id", "first.text_hash", "first.times"), "firsts")
     alone = firsts.filter("times = 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     gone = pairs.join(alone, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left_anti")
-    gone = stage(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "gone")
-    again = firsts.filter("times > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_hash"))
+    gone_id, gone_hash = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    names = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)]
+    gone, again = stage(gone.select(*names), "gone"), firsts.filter("times > 1").select(*names)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col(gone_id)) & F.xxhash64(docs["text"]).eqNullSafe(F.col(gone_hash))
     kept = docs.join(broadcast_if(gone, gone.count(), 2_000_000), same, "left_anti")
-    copies = docs.join(broadcast_if(again, again.count(), 2_000_000), same).dropDuplicates(["gone_id", "gone_hash"])
+    copies = docs.join(broadcast_if(again, again.count(), 2_000_000), same).dropDuplicates([gone_id, gone_hash])
     return kept.union(copies.select(*(docs[c] for c in docs.columns)))
 
 
