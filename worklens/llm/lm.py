@@ -98,7 +98,7 @@ def _chunked(docs: DataFrame, s: Settings) -> DataFrame:
             held = int(ends[-1]) if len(ends) else held
 
     source = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return stage(source.mapInArrow(tidied(run), "row long, chunk long, doc_id long, text string"), "chunks")
+    return stage(source.mapInArrow(tidied(run), "row long, chunk long, doc_id long, text string"), "chunks", "zstd")
 
 
 CELLS = "bucket int, chunk long, piece long, n int, words long, keys binary, counts binary"
@@ -200,7 +200,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     chunked = _chunked(docs, s)
     size = chunked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = _cells(chunked, size // s.bucket + 1, s)
-    sums = stage(cells.groupBy("bucket").applyInArrow(_summed, SUMS), "sums")
+    sums = stage(cells.groupBy("bucket").applyInArrow(_summed, SUMS), "sums", "zstd")
     total = sums.agg(F.sum("words")).first()[0] or 1
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -36,12 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from worklens.llm.common import text_batches, tidied
+from worklens.llm.common import text_batches, tidied, trimmed
 from worklens.llm.flat import mix64
 
 MARK = "▁"
 #: Words whose best paths a worker keeps in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 #: Length of the longest words whose best paths are found many at a time.
@@ -613,8 +613,8 @@ def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 8.0, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows, texts, doc_ids = [], part.column(1).to_pylist(), part.column(0).to_pylist()
                 found = own.many_samples(texts, [f"{seed}:{d}".encode() for d in doc_ids], k)
                 for doc_id, text, drawn in zip(doc_ids, texts, found):
@@ -628,6 +628,7 @@ def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 8.0, seed: int
                     ends = np.cumsum([0] + [len(p) // 2 for p in cols[8]]).astype(np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cols[8]), np.uint16).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            trimmed()
         own.forget()
 
     schema = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, decoded_ok boolean" + ", ids array<int>" * ids
