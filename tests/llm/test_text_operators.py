@@ -6,10 +6,12 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from worklens.llm import bpe, quality, secrets, url_filter, warc
 
@@ -193,6 +195,27 @@ def test_warc_records(spark, tmp_path):
     assert all("sha256:" + hashlib.sha256(r.block.encode()).hexdigest() == r.block_digest for r in back.values())
 
 
+def test_pages_that_close_nothing_are_read_once(spark):
+    parts = ["<script", "<!--", "<style ", "<p ", "<title", "<a href ", "<a ", "&amp;", "< ", "</"]
+    pages = [(i, "u", p * (1_000_000 // len(p))) for i, p in enumerate(parts)] + [(99, "u", "<title>T</title>a<p>b<!-- c <p>d")]
+    began = time.time()
+    rows = {r.page_id: r.block for r in warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).filter("record_type = 'conversion'").collect()}
+    assert len(rows) == len(pages) and rows[99] == "T\na\nb" and time.time() - began < 60
+    assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_responses_come_back_from_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.b/c", PAGE), (2, "http://a.b/d", "é\r\n\r\nx")], "page_id long, url string, html string")
+    source = warc.responses(pages)
+    stored = source.selectExpr("'response' record_type", "record_id", "cast(null as string) refers_to", "target_uri", "date", "payload_digest", "cast(null as string) block_digest", "'application/http' content_type", "http_headers || '\r\n\r\n' || payload block")
+    warc.write(stored.withColumn("content_length", F.octet_length("block").cast("long")), str(tmp_path / "w"))
+    back = warc.read_responses(spark, str(tmp_path / "w" / "*.gz"))
+    same = [c for c in source.columns if c != "page_id"]
+    assert sorted(back.select(*same).collect()) == sorted(source.select(*same).collect())
+    want, got = (sorted(warc.derive(df).drop("page_id").collect()) for df in (source, back))
+    assert want == got and len(got) == 4
+
+
 def test_url_lists_as_of_fetch_time(spark):
     rng = random.Random(2)
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)

@@ -26,7 +26,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(_table(spark, sf_dir, "pages"))).drop("block")
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ become characters, and white space is collapsed, in one chain of built-in functi
 
 Defined results: a null html counts as empty; a null url is kept as null; rows without page_id have
 identifiers made of the url alone; repeated responses give repeated records; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; what a page opens and does not close reaches to its end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-BLOCKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-TAGS = r"</?[A-Za-z!?][^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-LINKS = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+# What is opened and never closed reaches to the end of the page, so every pattern reads a page once.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+BLOCKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\z)"
+TAGS = r"</?[A-Za-z!?][^>]*(?:>|\z)"
+TITLE = r"(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title|\z)"
+ANCHORS = r"(?i)(<a\b[^>]*(?:>|\z))"
+LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 #: Named character references that are resolved; the ampersand's comes last.
 NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -69,7 +72,8 @@ def derive(source: DataFrame) -> DataFrame:
     content_type, payload_digest (of the source), block, block_digest, content_length (bytes)."""
     payload = F.coalesce("payload", F.lit(""))
     title = F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), r"\s+", " "))
-    links = F.array_distinct(F.regexp_extract_all(payload, F.lit(LINKS), F.lit(1)))
+    links = F.transform(F.regexp_extract_all(payload, F.lit(ANCHORS), F.lit(1)), lambda tag: F.regexp_extract(tag, LINK, 1))
+    links = F.array_distinct(F.filter(links, lambda x: x != ""))
     fields = F.concat(
         F.lit("source-headers: "), F.regexp_replace(F.coalesce("http_headers", F.lit("")), r"\r?\n", " | "),
         F.lit("\r\npayload-digest: "), F.coalesce("payload_digest", F.lit("")), F.lit("\r\ntitle: "), title,
@@ -136,24 +140,48 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, " + ", ".join(f"{n} string" for n in [*names, "block"]))
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, as :func:`derive` takes them. Payloads that are not UTF-8 are read as
+    Latin-1; the payload digest is the record's own, or that of the payload's bytes where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column(0).to_pylist():
+                for fields, block in _parsed(data):
+                    if fields.get("warc-type") == "response":
+                        head, _, payload = block.partition(b"\r\n\r\n")
+                        try:
+                            text = payload.decode("utf-8")
+                        except UnicodeDecodeError:
+                            text = payload.decode("latin-1")
+                        digest = fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(payload).hexdigest()
+                        rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("latin-1"), text, digest))
+            names, cols = ["page_id", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"], list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i else pa.int64()) for i, c in enumerate(cols)], names=names)
+
+    schema = "page_id long, record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string"
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 ORACLE = r"""
 WITH s AS (
   SELECT page_id, url, coalesce(html, '') AS html, strftime(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS date, md5('response ' || page_id || ' ' || url) AS h FROM pages),
 r AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] || '>' AS refers_to,
-  'sha256:' || sha256(html) AS payload_digest, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l FROM s),
+  'sha256:' || sha256(html) AS payload_digest, list_filter(list_transform(regexp_extract_all(html, '(?i)(<a\b[^>]*(?:>|\z))', 1), lambda tag: regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)), lambda x: x <> '') AS l FROM s),
 b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(html) || chr(13) || chr(10) || 'payload-digest: ' || payload_digest || chr(13) || chr(10) || 'title: '
-    || trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1), '\s+', ' ', 'g'))
+    || trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title|\z)', 1), '\s+', ' ', 'g'))
     || CASE WHEN len(l) > 0 THEN chr(13) || chr(10) || 'outlink: ' || array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(13) || chr(10) || 'outlink: ') ELSE '' END || chr(13) || chr(10) AS block FROM r
   UNION ALL
   SELECT *, 'conversion', 'text/plain', trim(regexp_replace(regexp_replace(
     replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
-      '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
-      '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'),
-      '</?[A-Za-z!?][^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'),
+      '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '', 'g'),
+      '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\z)', chr(10), 'g'),
+      '</?[A-Za-z!?][^>]*(?:>|\z)', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'),
     '[ \t\r\f\x0B\x{A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) FROM r),
 m AS (SELECT *, md5(record_type || ' ' || refers_to) AS g FROM b)
 SELECT page_id, record_type, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-3' || g[14:16] || '-8' || g[18:20] || '-' || g[21:32] || '>' AS record_id, refers_to, url AS target_uri, date,
-  content_type, payload_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM m
+  content_type, payload_digest, block, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM m
 """
