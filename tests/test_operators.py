@@ -169,3 +169,29 @@ def test_all_earlier_verdicts_are_carried_over(spark):
     known = rows.selectExpr("review_type", "recommendation_index", "completion_index", "best_candidate_index", "'ACCEPT' human_verdict", "'seen' human_notes")
     found = review.carried_over(rows, known)
     assert found.count() == n == found.filter("human_verdict = 'ACCEPT' and human_notes = 'seen'").count()
+
+
+def test_one_decimal_place_rounds_ties_of_exact_values_to_even(spark):
+    values = [49.35, 42.85, 77.25, 77.35, 0.05, 0.25, 100.0, 1.0, 127.95, 128.05, 128.25, 99.95, 12345.65, -3.25, 1e9]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.one_place(F.col("v")).alias("s"), T.formatted("%.1f%% of %d", F.col("v"), F.lit(3)).alias("t")).collect()
+    assert [r.s for r in rows if 1 <= r.v < 16384] == [f"{v:.1f}" for v in values if 1 <= v < 16384]
+    assert rows[2].t == "77.2% of 3"
+
+
+def test_first_verdict_of_a_key_is_carried_over(spark):
+    key = "review_type string, recommendation_index long, completion_index long, best_candidate_index long, review_id long, human_verdict string, human_notes string"
+    rows_of_review = spark.createDataFrame([("matched", 1, 2, 2, 1, "", ""), ("matched", 3, 4, 4, 2, "", "")], key)
+    previous = spark.createDataFrame([("matched", 1, 2, 2, 9, "REJECT", "late"), ("matched", 1, 2, 2, 5, "ACCEPT", "early"), ("matched", 1, 2, 2, 7, "", "")], key)
+    got = {r.recommendation_index: (r.human_verdict, r.human_notes) for r in review.carried_over(rows_of_review, previous).collect()}
+    assert got == {1: ("ACCEPT", "early"), 3: ("", "")}
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from worklens.sources import staging
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        staging.shared_dir(far)
+    assert staging.stage(spark.range(5), "t").count() == 5

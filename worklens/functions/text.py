@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -113,6 +114,26 @@ def date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
 
 
+def one_place(value: Column) -> Column:
+    """A number with one decimal place, ties of its exact binary value to the even digit."""
+
+    def tenths(bits: int) -> Column:
+        # in these units a number is whole, and so is ten times it
+        units = (value * float(1 << bits)).cast("bigint") * 10
+        rest, whole = units.bitwiseAND((1 << bits) - 1), F.shiftright(units, bits)
+        up = (rest > 1 << bits - 1) | ((rest == 1 << bits - 1) & (whole % 2 == 1))
+        return (whole + up.cast("bigint")) / 10.0
+
+    exact = F.when((value >= 1) & (value < 128), tenths(52)).when((value >= 128) & (value < 16384), tenths(45))
+    return F.format_string("%.1f", F.coalesce(exact, value))
+
+
+def formatted(pattern: str, *values: Column) -> Column:
+    """Text of a pattern in which each %.1f is set as :func:`one_place` does."""
+    kinds = re.findall(r"%[^a-z]*[a-z]", pattern.replace("%%", ""))
+    return F.format_string(pattern.replace("%.1f", "%s"), *(one_place(v.cast("double")) if k == "%.1f" else v for k, v in zip(kinds, values)))
+
+
 def tokens(text: Column) -> Column:
     """Distinct runs of a-z and 0-9."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))

@@ -91,7 +91,7 @@ def scored(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     numbered = F.transform("_clashes", lambda i: F.concat(F.lit("conflicting location number ("), F.element_at(labels, i + 1), F.lit(": "), listed("r_numbers", i), F.lit(" vs "), listed("c_numbers", i), F.lit(")")))
     penalty = reduce(lambda a, b: a + b, (F.when(c, F.lit(float(p))).otherwise(0.0) for c, _, p in [*checks, *late])) + F.size("_clashes") * config.penalty_entity
     pairs = pairs.withColumn("score", F.greatest(F.lit(0.0), weighted - penalty)).withColumn("warnings", F.concat(given(checks), numbered, given(late)))
-    return pairs.withColumns({name: F.round(f"_e{i}", 2) for i, name in enumerate(EVIDENCE)}).drop("_clashes", *(f"_e{i}" for i in range(9)))
+    return pairs.withColumns({name: F.bround(f"_e{i}", 2) for i, name in enumerate(EVIDENCE)}).drop("_clashes", *(f"_e{i}" for i in range(9)))
 
 
 def tiered(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -107,7 +107,7 @@ def tiered(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     clean = strong & ~hard & (F.size(clashes) == 0) & (desc >= config.tier2_description) & (anchors >= 25)
     first = clean & (score >= config.tier1_score) & (margin >= config.tier1_margin) & (desc >= config.tier1_description)
     second = clean & (score >= config.tier2_score) & (margin >= config.tier2_margin) & (anchors >= 35)
-    fmt = lambda pattern, *cols: F.format_string(pattern, *cols)
+    fmt = T.formatted
     below = lambda pattern, names, limit: F.filter(F.array(*(F.when(e[n] < limit, fmt(pattern.replace("NAME", n), e[n])) for n in names)), lambda x: x.isNotNull())
     weak_parts = F.filter(F.array(F.when(desc < config.tier2_description, fmt(f"description_similarity=%.1f < {config.tier2_description:g} floor", desc)), F.when(anchors < 25, fmt("project_token_overlap=%.1f < 25 floor", anchors))), lambda x: x.isNotNull())
     rules = [
@@ -139,7 +139,9 @@ def token_pool(rec: DataFrame, comp: DataFrame, limit: int, config: Config = DEF
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     asked = rec.select(R, F.explode("r_tokens").alias("token")).join(df, "token")
     rare = asked.withColumn("rank", F.row_number().over(Window.partitionBy(R).orderBy("df", "token"))).filter(F.col("rank") <= config.rare_tokens)
-    pool = rare.join(posts, "token").groupBy(R, C).agg(F.min("rank").alias("rank"))
+    # a token gives its first completions; no more than limit of them can be among the pool's first
+    first = posts.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(C))).filter(F.col("place") <= limit)
+    pool = rare.join(first, "token").groupBy(R, C).agg(F.min("rank").alias("rank"))
     return pool.withColumn("pool_rank", F.row_number().over(Window.partitionBy(R).orderBy("rank", C))).filter(F.col("pool_rank") <= limit).select(R, C, "pool_rank")
 
 
@@ -216,7 +218,7 @@ def _fallback(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
     pool = token_pool(rec, comp, config.fallback_pool, config).join(rec, R).join(comp, C)
     pool = pool.withColumn("similar", S.token_set(F.col("r_work_norm"), F.col("c_work_norm")))
     best = pool.withColumn("turn", F.row_number().over(Window.partitionBy(R).orderBy(F.desc("similar"), "pool_rank"))).filter("turn = 1")
-    told = F.concat_ws(", ", *(F.format_string(f"{n}=%.1f", F.col(n)) for n in EVIDENCE))
+    told = F.concat_ws(", ", *(T.formatted(f"{n}=%.1f", F.col(n)) for n in EVIDENCE))
     return scored(best, config).select(R, F.col(C).alias("best_candidate_index"), F.round("score", 3).alias("best_candidate_score"), F.concat(F.lit("Best candidate did not reach a match tier; "), told).alias("match_reason"))
 
 
@@ -228,7 +230,7 @@ def match_records(recommendations: DataFrame, completions: DataFrame, config: Co
     pairs = stage(candidates(rec, comp, config), "candidates")
     best = stage(tiered(ranked(scored(pairs, config), config), config), "best")
     accepted = F.col("match_tier") != "Unmatched"
-    detail = F.concat(F.col("source"), *(F.format_string(f"; {s}=%.1f", F.col(n)) for s, n in zip(SHORT, EVIDENCE)), F.when(F.size("warnings") > 0, F.concat(F.lit("; warnings="), F.array_join("warnings", ", "))).otherwise(F.lit("")))
+    detail = F.concat(F.col("source"), *(T.formatted(f"; {s}=%.1f", F.col(n)) for s, n in zip(SHORT, EVIDENCE)), F.when(F.size("warnings") > 0, F.concat(F.lit("; warnings="), F.array_join("warnings", ", "))).otherwise(F.lit("")))
     found = best.select(
         R, F.when(accepted, F.col(C)).otherwise(F.lit(-1)).cast("bigint").alias(C), F.when(accepted, F.round("score", 3)).otherwise(0.0).alias("match_score"), "match_tier", "match_confidence",
         F.round("margin", 3).alias("score_margin"), F.col(C).alias("best_candidate_index"), F.round("score", 3).alias("best_candidate_score"), F.col("match_tier").alias("best_candidate_tier"),

@@ -61,8 +61,11 @@ def review_rows(matches: DataFrame, recommendations: DataFrame, completions: Dat
 
 
 def carried_over(review: DataFrame, previous: DataFrame) -> DataFrame:
-    """The review rows with the verdicts and notes that earlier rows of the same key have."""
-    known = previous.select(*KEY, F.col("human_verdict").alias("_verdict"), F.col("human_notes").alias("_notes")).dropDuplicates(list(KEY))
+    """The review rows with the verdicts and notes of the first earlier row of the same key: of the smallest
+    ``review_id``, where there is one, then of the smallest verdict and notes."""
+    order = [F.col(c) for c in ("review_id", "human_verdict", "human_notes") if c in previous.columns]
+    known = previous.withColumn("_turn", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).filter("_turn = 1")
+    known = known.select(*KEY, F.col("human_verdict").alias("_verdict"), F.col("human_notes").alias("_notes"))
     out = review.drop("human_verdict", "human_notes").join(known, list(KEY), "left")
     return out.withColumns({"human_verdict": F.coalesce("_verdict", F.lit("")), "human_notes": F.coalesce("_notes", F.lit(""))}).drop("_verdict", "_notes")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, Config
+from worklens.functions import text as T
 
 
 def _number(df: DataFrame, c: str) -> Column:
@@ -38,18 +39,18 @@ def project_risk(projects: DataFrame, config: Config = DEFAULT) -> DataFrame:
     risk_is_assessment."""
     n = {c: _number(projects, c) for c in ("positive_amount_difference_pct", "days_to_completion", "cost_percentile", "duration_percentile", "duration_ratio_to_peer_median")}
     over, days = n["positive_amount_difference_pct"], n["days_to_completion"]
-    above, long_ = F.format_string("Final amount is %.1f%% above recommended amount", over), F.format_string("Long recommendation-to-completion timeline (%.0f days)", days)
+    above, long_ = T.formatted("Final amount is %.1f%% above recommended amount", over), T.formatted("Long recommendation-to-completion timeline (%.0f days)", days)
     images = F.coalesce(F.col("has_images").cast("boolean") == F.lit(False), F.lit(False)) if "has_images" in projects.columns else F.lit(False)
     rules = [
         (over >= 50, 18, above),
         ((over >= 25) & (over < 50), 10, above),
         (_true(projects, "amount_difference_pct_iqr_flag"), 8, F.lit("Positive cost deviation is an upper-IQR outlier")),
-        (n["cost_percentile"] >= 95, 12, F.format_string("Cost deviation is at about the %.0fth peer percentile", n["cost_percentile"])),
+        (n["cost_percentile"] >= 95, 12, T.formatted("Cost deviation is at about the %.0fth peer percentile", n["cost_percentile"])),
         (days >= 540, 14, long_),
         ((days >= 360) & (days < 540), 8, long_),
         (_true(projects, "days_to_completion_iqr_flag"), 7, F.lit("Completion duration is an upper-IQR outlier")),
-        (n["duration_percentile"] >= 95, 10, F.format_string("Duration is at about the %.0fth peer percentile", n["duration_percentile"])),
-        (n["duration_ratio_to_peer_median"] >= 2, 8, F.format_string("Duration is about %.1fx the peer median", n["duration_ratio_to_peer_median"])),
+        (n["duration_percentile"] >= 95, 10, T.formatted("Duration is at about the %.0fth peer percentile", n["duration_percentile"])),
+        (n["duration_ratio_to_peer_median"] >= 2, 8, T.formatted("Duration is about %.1fx the peer median", n["duration_ratio_to_peer_median"])),
         (_true(projects, "ml_anomaly_flag"), 15, F.lit("Isolation Forest detected an unusual multi-feature profile")),
         (images, 12, F.lit("Completed work has no photographic proof of completion")),
     ]
@@ -64,12 +65,12 @@ def member_risk(members: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds mp_risk_score, mp_risk_level, mp_risk_reasons and risk_is_assessment. An unknown reconciliation
     counts as a difference."""
     share, groups, most = (_number(members, c) for c in ("top_vendor_share_pct", "payment_mismatch_groups", "max_payment_completion_difference_pct"))
-    told = F.format_string("Top vendor receives %.1f%% of recorded expenditure", share)
+    told = T.formatted("Top vendor receives %.1f%% of recorded expenditure", share)
     rules = [
         (share >= config.vendor_high_pct, 35, told),
         ((share >= config.vendor_flag_pct) & (share < config.vendor_high_pct), 20, told),
-        (groups > 0, 30, F.format_string("%d MP/IDA payment-completion mismatch group(s)", groups.cast("bigint"))),
-        (most >= 50, 25, F.format_string("Maximum payment-completion difference is %.1f%%", most)),
+        (groups > 0, 30, T.formatted("%d MP/IDA payment-completion mismatch group(s)", groups.cast("bigint"))),
+        (most >= 50, 25, T.formatted("Maximum payment-completion difference is %.1f%%", most)),
         (_true(members, "reconciliation_flag", unknown=True), 10, F.lit("Transaction total differs materially from MP-summary expenditure")),
     ]
     points, reasons = _told(rules, "No strong MP-level financial indicator triggered")

@@ -43,6 +43,25 @@ DESCRIPTIONS = f"""
 SELECT p_partkey AS id, {_TERM.replace('{k}', 'p_partkey')} || ' at ' || p_name || ' ward ' || CAST(p_partkey % 4 AS STRING) || ' plot no:' || CAST(p_partkey % 3 AS STRING) AS a,
   {_TERM.replace('{k}', '(p_partkey + p_size)')} || ' near ' || p_type || ', ' || CAST(p_partkey % 5 AS STRING) || 'th Ward House ' || CAST(p_size % 3 AS STRING) AS b FROM {{part}}"""
 
+#: Scored pairs of orders and parts, with repeated pairs, equal scores and one to three stages.
+PAIRS = """
+SELECT l_orderkey AS recommendation_index, l_partkey % 50 AS completion_index, CAST((l_suppkey * 7 + l_linenumber * 3) % 40 AS DOUBLE) * 2.5 AS score, l_linenumber % 3 + 1 AS stage, l_suppkey % 9 AS place FROM {lineitem}"""
+
+#: Evidence of best pairs, spread so that every rule of the tiers decides some.
+EVIDENCE = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 96.25 ELSE 100.0 END AS mp_similarity, CASE WHEN o_orderkey % 13 = 0 THEN 90.75 ELSE 98.0 END AS state_similarity,
+  CASE WHEN o_orderkey % 17 = 0 THEN 80.35 ELSE 97.0 END AS constituency_similarity, 60.0 AS ida_similarity, 50.0 AS category_similarity, 90.0 AS timeline_match_score,
+  40 + CAST(o_orderkey * 37 % 6001 AS DOUBLE) / 100 AS amount_similarity, 74 + CAST(o_orderkey * 131 % 2601 AS DOUBLE) / 100 AS description_similarity, 20 + CAST(o_orderkey * 53 % 6001 AS DOUBLE) / 100 AS project_token_overlap,
+  72 + CAST(o_orderkey * 29 % 28000 AS DOUBLE) / 1000 AS score, CAST(o_orderkey * 17 % 15000 AS DOUBLE) / 1000 AS margin,
+  concat_ws('|', CASE WHEN o_orderkey % 19 = 0 THEN 'different MP' END, CASE WHEN o_orderkey % 37 = 0 THEN 'different state' END, CASE WHEN o_orderkey % 3 = 0 THEN 'different IDA' END, CASE WHEN o_orderkey % 4 = 0 THEN 'different category' END,
+    CASE WHEN o_orderkey % 29 = 0 THEN 'conflicting location number (ward: [1] vs [2])' END, CASE WHEN o_orderkey % 23 = 0 THEN 'conflicting location' END, CASE WHEN o_orderkey % 31 = 0 THEN 'conflicting project type' END) AS said FROM {orders}"""
+
+#: Pairs of standardised sides that agree in some fields and differ in others.
+SIDES = f"""
+SELECT id, a, b, 'member ' || CAST(id % 4 AS STRING) AS r_mp, 'member ' || CAST(id * id % 4 AS STRING) AS c_mp, 'north ' || CAST(id % 3 AS STRING) AS r_place, CASE WHEN id % 5 = 0 THEN '' ELSE 'north ' || CAST(id % 3 AS STRING) || CASE WHEN id % 7 = 0 THEN ' east' ELSE '' END END AS c_place,
+  'state' AS r_state, CASE WHEN id % 9 = 0 THEN 'state two' ELSE 'state' END AS c_state, 'agency ' || CAST(id % 6 AS STRING) AS r_ida, 'agency ' || CAST(id % 2 AS STRING) AS c_ida, 'roads' AS r_cat, CASE WHEN id % 8 = 0 THEN 'roads and water' ELSE 'roads' END AS c_cat,
+  CAST(1000 + id % 97 AS DOUBLE) AS r_amount, CAST(id % 1500 AS DOUBLE) AS c_amount, CASE WHEN id % 10 > 0 THEN CAST(id * 7 % 1000 AS BIGINT) - 50 END AS days FROM ({DESCRIPTIONS}) d"""
+
 PARTS = """
 SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS work_description, p_brand AS entity, p_retailprice AS amount, p_size AS size FROM {part}"""
 

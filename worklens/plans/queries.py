@@ -291,6 +291,82 @@ def _linked_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return rec, comp
 
 
+_KEEP_WARNINGS = "list_filter(string_split(said, '|'), lambda w: w <> '')"
+_CLASH = "list_filter(w, lambda x: starts_with(x, 'conflicting '))"
+_HARD = "list_filter(w, lambda x: x IN ('different MP', 'different state', 'different constituency'))"
+_CONTEXT = ("mp_similarity", "state_similarity", "constituency_similarity")
+
+
+@query(f"""WITH e AS (SELECT *, {_KEEP_WARNINGS} AS w FROM ({L.duck(L.EVIDENCE)})), f AS (SELECT *, {_CLASH} AS clash, {_HARD} AS hard,
+  mp_similarity >= 97 AND state_similarity >= 97 AND constituency_similarity >= 97 AS strong, description_similarity < 78 OR project_token_overlap < 25 AS weak, list_contains(w, 'different IDA') AS ida, list_contains(w, 'different category') AS cat FROM e),
+g AS (SELECT *, strong AND NOT weak AND len(clash) = 0 AND len(hard) = 0 AS fine FROM f),
+h AS (SELECT *, fine AND score >= 88 AND margin >= 8 AND description_similarity >= 90 AS one, fine AND score >= 78 AND margin >= 4 AND project_token_overlap >= 35 AS two FROM g),
+r AS (SELECT *, CASE WHEN amount_similarity < 50 THEN printf('Amount similarity hard gate failed (amount_similarity=%.1f < 50 required)', amount_similarity)
+  WHEN one AND ida AND description_similarity < 96 THEN printf('IDA mismatch with insufficient description similarity for override (description_similarity=%.1f < 96 required when IDA differs)', description_similarity)
+  WHEN one AND cat AND description_similarity < 95 THEN printf('Category mismatch with insufficient description similarity for override (description_similarity=%.1f < 95 required when category differs)', description_similarity)
+  WHEN one THEN ''
+  WHEN two AND ida AND description_similarity < 90 THEN printf('IDA mismatch with insufficient description similarity for Tier 2 override (description_similarity=%.1f < 90 required when IDA differs)', description_similarity)
+  WHEN two THEN ''
+  WHEN len(clash) > 0 THEN 'Conflicting field(s) detected: ' || array_to_string(clash, '; ')
+  WHEN len(hard) > 0 THEN 'Hard entity mismatch: ' || array_to_string(hard, ', ')
+  WHEN NOT strong THEN 'Insufficient context strength (requires ≥97): ' || concat_ws(', ', {", ".join(f"CASE WHEN {c} < 97 THEN printf('{c}=%.1f', {c}) END" for c in _CONTEXT)})
+  WHEN weak THEN 'Weak description signal: ' || concat_ws('; ', CASE WHEN description_similarity < 78 THEN printf('description_similarity=%.1f < 78 floor', description_similarity) END, CASE WHEN project_token_overlap < 25 THEN printf('project_token_overlap=%.1f < 25 floor', project_token_overlap) END)
+  WHEN score < 78 THEN printf('Score below Tier 2 threshold (score=%.3f < 78)', score)
+  WHEN margin < 4 THEN printf('Score margin too small (margin=%.3f < 4 required)', margin)
+  WHEN project_token_overlap < 35 THEN printf('Token overlap below Tier 2 minimum (project_token_overlap=%.1f < 35)', project_token_overlap)
+  ELSE printf('Score/margin/tier conditions not met (score=%.3f, margin=%.3f)', score, margin) END AS blocker FROM h)
+SELECT id, CASE WHEN blocker <> '' THEN 'Unmatched' WHEN one THEN 'Tier 1' ELSE 'Tier 2' END AS match_tier, CASE WHEN blocker <> '' THEN 'Unmatched' WHEN one THEN 'Verified' ELSE 'Provisional' END AS match_confidence, blocker FROM r""")
+def match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.view(spark, sf_dir, L.EVIDENCE).withColumn("warnings", F.filter(F.split("said", r"\|"), lambda w: w != ""))
+    return linkage.tiered(rows).select("id", "match_tier", "match_confidence", "blocker")
+
+
+@query(f"""WITH p AS ({L.duck(L.PAIRS)}), o AS (SELECT *, row_number() OVER (PARTITION BY recommendation_index, completion_index ORDER BY score DESC, stage, place) AS turn FROM p),
+n AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS place_in FROM o WHERE turn = 1 WINDOW w AS (PARTITION BY recommendation_index ORDER BY score DESC, stage, place, completion_index))
+SELECT recommendation_index, completion_index, score, CAST(stage AS BIGINT) AS stage, score - coalesce(next, 0.0) AS margin FROM n WHERE place_in = 1""")
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.ranked(L.view(spark, sf_dir, L.PAIRS)).select("recommendation_index", "completion_index", "score", F.col("stage").cast("bigint").alias("stage"), "margin")
+
+
+def _norm_sql(c: str) -> str:
+    return _NORM.replace("text", c)
+
+
+_FIELDS = (("d", "na", "nb"), ("m", "r_mp", "c_mp"), ("p", "r_place", "c_place"), ("s", "r_state", "c_state"), ("i", "r_ida", "c_ida"), ("k", "r_cat", "c_cat"))
+_NUMBER_CLASH = ", ".join(
+    f"CASE WHEN len(x{g}) > 0 AND len(y{g}) > 0 AND len(list_intersect(x{g}, y{g})) = 0 THEN 'conflicting location number ({T.LOCATION_WORDS[g][0]}: [' || array_to_string(list_sort(x{g}), ', ') || '] vs [' || array_to_string(list_sort(y{g}), ', ') || '])' END" for g in range(len(T.LOCATION_WORDS))
+)
+_SIDES_SQL = f"""d AS (SELECT *, {_norm_sql('a')} AS na, {_norm_sql('b')} AS nb FROM ({L.duck(L.SIDES)})),
+pairs AS ({" UNION ALL ".join(f"SELECT id, '{k}' AS kind, {x} AS a, {y} AS b FROM d" for k, x, y in _FIELDS)}), {_TSR},
+e AS (SELECT id, {", ".join(f"max(CASE WHEN kind = '{k}' THEN similarity END) AS e{i}" for i, (k, _, _) in enumerate(_FIELDS))} FROM r GROUP BY id),
+v AS (SELECT d.*, e0, e1, e2, e3, e4, e5, CASE WHEN r_amount > 0 AND c_amount > 0 THEN 100.0 * least(r_amount, c_amount) / greatest(r_amount, c_amount) ELSE 0.0 END AS e6,
+  CASE WHEN days IS NULL THEN 45.0 WHEN days BETWEEN 0 AND 900 THEN greatest(20.0, 100.0 - 45.0 * days / 900) WHEN days BETWEEN -30 AND -1 THEN 10.0 ELSE 0.0 END AS e7, {_telling('na')} AS ta, {_telling('nb')} AS tb,
+  {_places_sql('d.a')} AS pa, {_places_sql('d.b')} AS pb, {_types_sql('d.a')} AS wa, {_types_sql('d.b')} AS wb, {", ".join(f"{_numbers_sql(n, '|'.join(words))} AS {x}{g}" for g, words in enumerate(T.LOCATION_WORDS) for x, n in (("x", "na"), ("y", "nb")))} FROM d JOIN e ON d.id = e.id),
+o AS (SELECT *, CASE WHEN least(len(ta), len(tb)) > 0 THEN 100.0 * len(list_intersect(ta, tb)) / least(len(ta), len(tb)) ELSE 0.0 END AS e8 FROM v),
+q AS (SELECT *, CASE WHEN r_mp <> c_mp THEN 'different MP' END AS z1, CASE WHEN r_state <> c_state THEN 'different state' END AS z2, CASE WHEN c_place <> '' AND r_place <> c_place THEN 'different constituency' END AS z3, CASE WHEN r_ida <> c_ida THEN 'different IDA' END AS z4,
+  CASE WHEN r_cat <> c_cat THEN 'different category' END AS z5, CASE WHEN e8 < 30 AND e0 < 95 THEN 'weak shared project tokens' END AS z6, concat_ws('; ', {_NUMBER_CLASH}) AS z7, CASE WHEN {_both_ways_sql('pa', 'pb')} THEN 'conflicting location' END AS z8, CASE WHEN {_both_ways_sql('wa', 'wb')} THEN 'conflicting project type' END AS z9 FROM o)"""
+
+
+@query(f"""WITH {_SIDES_SQL} SELECT id, {", ".join(f"CAST(round_even(e{i}, 2) AS DOUBLE) AS {n}" for i, n in enumerate(linkage.EVIDENCE))},
+  round(greatest(0.0, 0.66 * e0 + 0.10 * e1 + 0.09 * e2 + 0.04 * e3 + 0.03 * e4 + 0.03 * e5 + 0.03 * e6 + 0.02 * e7 - (CASE WHEN z1 IS NULL THEN 0 ELSE 8 END + CASE WHEN z2 IS NULL THEN 0 ELSE 8 END + CASE WHEN z3 IS NULL THEN 0 ELSE 8 END + CASE WHEN z4 IS NULL THEN 0 ELSE 14 END
+  + CASE WHEN z5 IS NULL THEN 0 ELSE 10 END + CASE WHEN z6 IS NULL THEN 0 ELSE 6 END + CASE WHEN z7 = '' THEN 0 ELSE 8 * len(string_split(z7, '; ')) END + CASE WHEN z8 IS NULL THEN 0 ELSE 8 END + CASE WHEN z9 IS NULL THEN 0 ELSE 8 END)), 6) AS score,
+  concat_ws('; ', z1, z2, z3, z4, z5, z6, CASE WHEN z7 <> '' THEN z7 END, z8, z9) AS warnings FROM q""")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.view(spark, sf_dir, L.SIDES)
+
+    def side(x: str, text: str, index: str, amount: str, date: str) -> DataFrame:
+        names = {"mp_canonical": "mp", "mp_norm": "mp", "constituency_canonical": "place", "state_norm": "state", "ida_norm": "ida", "category_norm": "cat"}
+        keys = {"mp_canonical_key": "mp", "constituency_canonical_key": "place", "state_norm_key": "state", "ida_key": "ida", "category_norm_key": "cat"}
+        when = F.expr("timestamp_ntz'2024-01-01'") if x == "r" else F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(days as int))")
+        fields = [F.col(f"{x}_{c}").alias(n) for n, c in names.items()] + [T.key_of(F.col(f"{x}_{c}")).alias(n) for n, c in keys.items()]
+        return rows.select(F.col("id").alias(index), F.col(text).alias("work_description"), T.normalize_text(F.col(text)).alias("work_norm"), *fields, F.col(f"{x}_amount").alias(amount), when.alias(date))
+
+    rec = linkage.recommendations_side(side("r", "a", "recommendation_index", "recommended_amount", "recommendation_date"))
+    comp = linkage.completions_side(side("c", "b", "completion_index", "final_amount", "completed_date"))
+    found = linkage.scored(rec.join(comp, F.col("recommendation_index") == F.col("completion_index")))
+    return found.select(F.col("recommendation_index").alias("id"), *linkage.EVIDENCE, F.round("score", 6).alias("score"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query()
 def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.match_records(*_linked_parts(spark, sf_dir)).select(*linkage.RESULT)
