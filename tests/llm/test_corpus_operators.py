@@ -225,6 +225,22 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.search(table.limit(0), s).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 3.0])
+def test_neighbours_of_huge_and_tiny_vectors(spark, size):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8)) * size
+    v[40:] /= size
+    table = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, neighbours.Settings(every=30, candidate_block=16)).collect()
+    for q in (0, 30):
+        d = [math.dist(v[i] / size, v[q] / size) if size > 1 else math.hypot(*(v[i] - v[q])) for i in range(60)]
+        want = [i for _, i in sorted((x, i) for i, x in enumerate(d) if i != q)][:10]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len(mine) == 10 and all(math.isfinite(x) and x > 0 for _, _, x in mine)
+        if size != 1e-200:
+            assert [i for _, i, _ in mine] == want and all(math.isclose(x, d[i] * (size if size > 1 else 1), rel_tol=1e-9) for _, i, x in mine)
+
+
 def test_production_scores_with_trigrams(spark):
     texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
     got = {r.doc_id: r.log_score for r in lm.score(frame(spark, enumerate(texts))).collect()}

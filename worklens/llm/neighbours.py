@@ -59,9 +59,10 @@ def _packed(number: str):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        scale = np.abs(v).max(axis=1) / 127.0
+        scale = np.maximum(np.abs(v).max(axis=1) / 127.0, 5e-324)
         codes = np.rint(v / scale[:, None]).astype(np.int8)
-        rest = np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            rest = np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
         return pd.DataFrame({number: [rows[number].iloc[0]], "dim": [v.shape[1]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "scales": [scale.tobytes()], "rests": [rest.tobytes()], "vectors": [v.tobytes()]})[[number, "ids", "dim", "codes", "scales", "rests", "vectors"]]
 
     return pack
@@ -73,6 +74,19 @@ def _unpacked(row: dict, side: str) -> tuple[np.ndarray, ...]:
     return ids, np.frombuffer(row[f"{side}_codes"], np.int8).reshape(shape), np.frombuffer(row[f"{side}_scales"]), np.frombuffer(row[f"{side}_rests"]), np.frombuffer(row[f"{side}_vectors"]).reshape(shape)
 
 
+def distances(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, added up component by component, in order, so that the last bit does not depend on the
+    tile. Where squares would overflow or vanish, the components are scaled by a power of two."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = c - q
+        top = np.abs(d).max(axis=1)
+        power = np.where((top > 1e150) & np.isfinite(top) | (top > 0) & (top < 1e-120), np.frexp(top)[1], 0)
+        if not power.any():
+            return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+        d = np.ldexp(d, -power[:, None])
+        return np.ldexp(np.sqrt(np.cumsum(d * d, axis=1)[:, -1]), power)
+
+
 def tile(queries: tuple, candidates: tuple, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, exact distances) of every candidate that may be among a query's k nearest here."""
     q_ids, q_codes, q_scale, q_rest, q = queries
@@ -80,21 +94,27 @@ def tile(queries: tuple, candidates: tuple, k: int) -> Iterator[tuple[int, np.nd
     exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     qf, cf = q_codes.astype(exact), c_codes.astype(exact)
     product = (qf @ cf.T).astype(np.float64)
-    q_norm, c_norm = (qf.astype(np.float64) ** 2).sum(axis=1) * q_scale**2, (cf.astype(np.float64) ** 2).sum(axis=1) * c_scale**2
-    squared = q_norm[:, None] + c_norm[None, :] - 2.0 * product * q_scale[:, None] * c_scale[None, :]
-    near = np.sqrt(np.maximum(squared, 0.0))
-    # the bound of quantisation, widened by what cancellation may have cost the square root
-    slack = (q_rest[:, None] + c_rest[None, :]) * (1 + 1e-9) + 1e-7 * np.sqrt(q_norm[:, None] + c_norm[None, :])
-    low, high = near - slack, near + slack
+    # huge components make bounds that are not finite; those pairs are all computed in full
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        low, high = _bounds(product, qf, cf, q_scale, c_scale, q_rest, c_rest)
     own = q_ids[:, None] == c_ids[None, :]
     high[own] = low[own] = np.inf
     limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(q_ids), np.inf)
     for i in range(len(q_ids)):
         left = np.flatnonzero((low[i] <= limit[i]) & ~own[i])
         if len(left):
-            d = c[left] - q[i]
-            # added up component by component, in order, so that the last bit does not depend on the tile
-            yield int(q_ids[i]), c_ids[left], np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+            yield int(q_ids[i]), c_ids[left], distances(c[left], q[i])
+
+
+def _bounds(product, qf, cf, q_scale, c_scale, q_rest, c_rest) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest distance that a pair may have."""
+    q_norm, c_norm = (qf.astype(np.float64) ** 2).sum(axis=1) * q_scale**2, (cf.astype(np.float64) ** 2).sum(axis=1) * c_scale**2
+    squared = q_norm[:, None] + c_norm[None, :] - 2.0 * product * q_scale[:, None] * c_scale[None, :]
+    near = np.sqrt(np.maximum(squared, 0.0))
+    # the bound of quantisation, widened by what cancellation may have cost the square root
+    slack = (q_rest[:, None] + c_rest[None, :]) * (1 + 1e-9) + 1e-7 * np.sqrt(q_norm[:, None] + c_norm[None, :])
+    fine = np.isfinite(near) & np.isfinite(slack)
+    return np.where(fine, near - slack, -np.inf), np.where(fine, near + slack, np.inf)
 
 
 def search(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
