@@ -62,6 +62,11 @@ SELECT id, a, b, 'member ' || CAST(id % 4 AS STRING) AS r_mp, 'member ' || CAST(
   'state' AS r_state, CASE WHEN id % 9 = 0 THEN 'state two' ELSE 'state' END AS c_state, 'agency ' || CAST(id % 6 AS STRING) AS r_ida, 'agency ' || CAST(id % 2 AS STRING) AS c_ida, 'roads' AS r_cat, CASE WHEN id % 8 = 0 THEN 'roads and water' ELSE 'roads' END AS c_cat,
   CAST(1000 + id % 97 AS DOUBLE) AS r_amount, CAST(id % 1500 AS DOUBLE) AS c_amount, CASE WHEN id % 10 > 0 THEN CAST(id * 7 % 1000 AS BIGINT) - 50 END AS days FROM ({DESCRIPTIONS}) d"""
 
+#: Recommendations (even) and completions (odd) that meet by text, by work id, in blocks, or by tokens alone; days count from 2024.
+WORKS = """
+SELECT p_partkey AS id, lower(p_type) || CASE WHEN p_partkey % 7 < 4 THEN ' ' || lower(p_name) ELSE '' END AS d, CASE WHEN p_partkey % 10 = 0 THEN 'nobody' ELSE 'member ' || CAST(p_partkey % 9 % 3 AS STRING) END AS m, 'place ' || CAST(p_partkey % 5 AS STRING) AS pl, 'state ' || CAST(p_partkey * 7 % 13 % 2 AS STRING) AS st,
+  CASE WHEN p_partkey % 3 = 0 THEN 'w' || CAST(p_partkey * 11 % 91 AS STRING) ELSE '' END AS wid, CASE WHEN p_partkey % 11 > 0 THEN CAST(p_partkey * 7 % 1300 AS BIGINT) - 40 END AS day FROM {part}"""
+
 PARTS = """
 SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS work_description, p_brand AS entity, p_retailprice AS amount, p_size AS size FROM {part}"""
 

@@ -367,6 +367,38 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("recommendation_index").alias("id"), *linkage.EVIDENCE, F.round("score", 6).alias("score"), F.array_join("warnings", "; ").alias("warnings"))
 
 
+_ON_TIME = "(c_day IS NULL OR r_day IS NULL OR c_day - r_day BETWEEN -30 AND 900)"
+
+
+@query(f"""WITH w AS ({L.duck(L.WORKS)}),
+ds AS (SELECT DISTINCT d FROM w), pairs AS (SELECT x.d AS a, y.d AS b FROM ds x CROSS JOIN ds y), {_TSR},
+rec AS (SELECT id AS rid, d AS rd, m AS rm, pl AS rp, st AS rs, wid AS rw, day AS r_day FROM w WHERE id % 2 = 0), comp AS (SELECT id AS cid, d AS cd, m AS cm, pl AS cp, st AS cs, wid AS cw, day AS c_day FROM w WHERE id % 2 = 1),
+ones AS (SELECT rid, cid, 1 AS stage, cid AS place, 'exact normalized description' AS source, r_day, c_day FROM rec JOIN comp ON rd = cd AND rm = cm AND rp = cp AND rs = cs),
+few AS (SELECT *, row_number() OVER (PARTITION BY cw ORDER BY cid) AS turn FROM comp WHERE cw <> ''),
+twos AS (SELECT rid, cid, 2 AS stage, cid AS place, 'corroborated Work ID' AS source, r_day, c_day FROM rec JOIN few ON rw = cw JOIN r ON r.a = rd AND r.b = cd WHERE turn <= 10 AND similarity >= 80 AND rm = cm AND rs = cs),
+sure AS (SELECT * FROM (SELECT * FROM ones UNION ALL SELECT * FROM twos) WHERE {_ON_TIME}),
+rest AS (SELECT * FROM rec WHERE rid NOT IN (SELECT rid FROM sure)),
+blocks AS (SELECT cm, cp, cs, count(*) AS block FROM comp GROUP BY ALL),
+sized AS (SELECT rest.*, coalesce(block, 0) BETWEEN 1 AND 1200 AS blocked FROM rest LEFT JOIN blocks ON rm = cm AND rp = cp AND rs = cs),
+near AS (SELECT rid, cid, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, cid) AS place, r_day, c_day FROM sized JOIN comp ON rm = cm AND rp = cp AND rs = cs JOIN r ON r.a = rd AND r.b = cd WHERE blocked AND similarity >= 55),
+posts AS (SELECT cid, unnest({_telling('cd')}) AS token FROM comp), freq AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
+asked AS (SELECT rid, token, row_number() OVER (PARTITION BY rid ORDER BY df, token) AS rank FROM (SELECT rid, unnest({_telling('rd')}) AS token FROM sized WHERE NOT blocked) JOIN freq USING (token)),
+met AS (SELECT rid, cid, min(rank) AS rank FROM asked JOIN posts USING (token) WHERE rank <= 8 GROUP BY ALL), pool AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY rank, cid) AS pool_rank FROM met),
+fits AS (SELECT pool.rid, pool.cid, pool_rank, r_day, c_day, CASE WHEN rs = cs AND rp = cp THEN 2 WHEN rs = cs THEN 1 ELSE 0 END AS fit FROM pool JOIN rec ON pool.rid = rec.rid JOIN comp ON pool.cid = comp.cid WHERE pool_rank <= 1200),
+most AS (SELECT *, max(fit) OVER (PARTITION BY rid) AS best FROM fits), far AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pool_rank) AS place FROM most WHERE fit >= best)
+SELECT rid AS recommendation_index, cid AS completion_index, CAST(stage AS BIGINT) AS stage, CAST(place AS BIGINT) AS place, source FROM (SELECT rid, cid, stage, place, source FROM sure
+  UNION ALL SELECT rid, cid, 3, place, 'blocked fuzzy retrieval' FROM near WHERE place <= 10 AND {_ON_TIME} UNION ALL SELECT rid, cid, 3, place, 'fuzzy token retrieval' FROM far WHERE place <= 10 AND {_ON_TIME})""")
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.view(spark, sf_dir, L.WORKS)
+    same = {"work_norm": "d", "work_description": "d", "mp_norm": "m", "mp_canonical": "m", "constituency_canonical": "pl", "state_norm": "st", "work_id_key": "wid"}
+    keys = {"mp_canonical_key": "m", "constituency_canonical_key": "pl", "state_norm_key": "st"}
+    rows = rows.select("id", *(F.col(c).alias(n) for n, c in same.items()), *(T.key_of(F.col(c)).alias(n) for n, c in keys.items()), F.lit(1.0).alias("amount"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(day as int))").alias("date"))
+    rec = rows.filter("id % 2 = 0").withColumnsRenamed({"id": "recommendation_index", "amount": "recommended_amount", "date": "recommendation_date"})
+    comp = rows.filter("id % 2 = 1").withColumnsRenamed({"id": "completion_index", "amount": "final_amount", "date": "completed_date"})
+    found = linkage.candidates(linkage.recommendations_side(rec), linkage.completions_side(comp))
+    return found.select("recommendation_index", "completion_index", F.col("stage").cast("bigint").alias("stage"), F.col("place").cast("bigint").alias("place"), "source")
+
+
 @query()
 def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.match_records(*_linked_parts(spark, sf_dir)).select(*linkage.RESULT)
