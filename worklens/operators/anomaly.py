@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, Config
+from worklens.operators.ranks import quantiles
+from worklens.sources.staging import stage
 
 MODEL_COLUMNS = ("recommended_amount", "final_amount", "positive_amount_difference_pct", "days_to_completion", "cost_percentile", "duration_percentile", "duration_ratio_to_peer_median", "match_score", "score_margin")
 
@@ -18,15 +20,12 @@ MODEL_COLUMNS = ("recommended_amount", "final_amount", "positive_amount_differen
 def iqr_flags(df: DataFrame, columns: dict[str, str], least: int = 15) -> DataFrame:
     """A flag for each column (as columns[name]): above the third quartile by 1.5 interquartile ranges. No
     row is flagged where fewer than ``least`` values or no spread exist, or where the value is null."""
-    stats = []
-    for c in columns:
-        stats += [F.count(c).alias(f"_{c}_n"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}_q")]
-    joined = df.crossJoin(F.broadcast(df.agg(*stats)))  # one row of statistics
+    joined = df.crossJoin(F.broadcast(quantiles(df, tuple(columns), (0.25, 0.75))))  # one row of statistics
     for c, flag in columns.items():
-        low, high = F.col(f"_{c}_q")[0], F.col(f"_{c}_q")[1]
-        fine = (F.col(f"_{c}_n") >= least) & (high - low != 0) & (F.abs(high - low) < float("inf"))
+        low, high = F.col(f"`{c}.q`")[0], F.col(f"`{c}.q`")[1]
+        fine = (F.col(f"`{c}.n`") >= least) & (high - low != 0) & (F.abs(high - low) < float("inf"))
         joined = joined.withColumn(flag, F.coalesce(fine & (F.col(c) > high + 1.5 * (high - low)), F.lit(False)))
-    return joined.drop(*(f"_{c}_{x}" for c in columns for x in "nq"))
+    return joined.drop(*(f"{c}.{x}" for c in columns for x in "nq"))
 
 
 def statistical_flags(projects: DataFrame) -> DataFrame:
@@ -39,16 +38,16 @@ def statistical_flags(projects: DataFrame) -> DataFrame:
 def imputed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The columns as doubles, infinities and nulls replaced by the column's median, or 0 without one."""
     finite = df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns})
-    medians = finite.agg(*(F.median(c).alias(f"_{c}") for c in columns))
-    return finite.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in columns}).drop(*(f"_{c}" for c in columns))
+    joined = finite.crossJoin(F.broadcast(quantiles(finite, columns, (0.5,))))
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"`{c}.q`")[0], F.lit(0.0)) for c in columns}).drop(*(f"{c}.{x}" for c in columns for x in "nq"))
 
 
 def robust_scaled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(x - median) / interquartile range, which counts as 1 where it is 0."""
-    stats = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns))
-    joined = df.crossJoin(F.broadcast(stats))
-    spread = lambda c: F.when(F.col(f"_{c}")[2] == F.col(f"_{c}")[0], 1.0).otherwise(F.col(f"_{c}")[2] - F.col(f"_{c}")[0])
-    return joined.withColumns({c: (F.col(c) - F.col(f"_{c}")[1]) / spread(c) for c in columns}).drop(*(f"_{c}" for c in columns))
+    joined = df.crossJoin(F.broadcast(quantiles(df, columns, (0.25, 0.5, 0.75))))
+    q = {c: F.col(f"`{c}.q`") for c in columns}
+    spread = lambda c: F.when(q[c][2] == q[c][0], 1.0).otherwise(q[c][2] - q[c][0])
+    return joined.withColumns({c: (F.col(c) - q[c][1]) / spread(c) for c in columns}).drop(*(f"{c}.{x}" for c in columns for x in "nq"))
 
 
 def _expected_depth(n: int) -> float:
@@ -92,24 +91,30 @@ def _forest_scores(trees: list[list[tuple]], sample: int, x: np.ndarray) -> np.n
 def isolation_forest(projects: DataFrame, key: str = "recommendation_row_id", trees: int = 300, sample: int = 256, least: int = 50, config: Config = DEFAULT) -> DataFrame:
     """Adds ml_anomaly_score (isolation score less 0.5) and ml_anomaly_flag (score above 0).
 
-    Each tree grows from ``sample`` rows drawn by a hash of key, tree and seed, so results depend neither on
-    order nor on partitions. A forest is bounded: trees times sample rows at most. Fewer than ``least``
-    rows: score 0, no flag. Rows must have distinct keys."""
+    Each tree grows from ``sample`` rows drawn by hashes of key, tree and seed, so results depend neither on
+    order nor on partitions. The trees draw from one pool, about as large as all samples together, so that most
+    rows of a large table are passed over by a single hash. A forest is bounded: trees times sample rows at most.
+    Fewer than ``least`` rows: score 0, no flag. Rows of one key are drawn together and scored one by one."""
     columns = [c for c in MODEL_COLUMNS if c in projects.columns]
+    projects = stage(projects, "projects")  # read for the statistics, the samples and the scores
     n = projects.count()
     if n < least or not columns:
         return projects.withColumns({"ml_anomaly_score": F.lit(0.0), "ml_anomaly_flag": F.lit(False)})
-    model = robust_scaled(imputed(projects.select(key, *columns), tuple(columns)), tuple(columns)).withColumnsRenamed({c: f"_x_{c}" for c in columns})
-    features = [f"_x_{c}" for c in columns]
-    # every tree's sample in one pass: a row enters with a chance somewhat above sample / n, the hash decides
+    features = tuple(f"_x_{c}" for c in columns)
+    copies = projects.withColumns({x: F.col(c) for x, c in zip(features, columns)})
+    filled = stage(imputed(copies, features), "imputed")
+    model = robust_scaled(filled, features)
+    # a row enters a tree's sample with a chance somewhat above sample / n: first the pool, then the tree
     chance = min(1.0, (sample + 8 * sample**0.5) / n)
-    draw = F.pmod(F.xxhash64(key, "tree", F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = model.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", draw).filter(F.col("draw") < chance)
+    pool = min(1.0, chance * trees)
+    share = lambda *salt: F.pmod(F.xxhash64(key, *salt, F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = model.select(key, *features).filter(share(F.lit("pool")) < pool)
+    drawn = drawn.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: share(t) < chance / pool))).withColumn("draw", share("tree"))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", key]).head(sample)
+        rows = rows.sort_values(["draw", key, *features]).head(sample)
         t = int(rows["tree"].iloc[0])
-        nodes = grown_tree(rows[features].to_numpy(float), np.random.default_rng([config.seed, t]))
+        nodes = grown_tree(rows[list(features)].to_numpy(float), np.random.default_rng([config.seed, t]))
         c, cut, left, right = map(list, zip(*nodes))
         return pd.DataFrame({"tree": [t], "size": [len(rows)], "c": [c], "cut": [cut], "l": [left], "r": [right]})
 
@@ -122,5 +127,5 @@ def isolation_forest(projects: DataFrame, key: str = "recommendation_row_id", tr
     def isolated(*cols: pd.Series) -> pd.Series:
         return pd.Series(_forest_scores(shared.value, size, np.column_stack([c.to_numpy(float) for c in cols])))
 
-    scores = model.select(key, F.round(isolated(*features) - 0.5, 4).alias("ml_anomaly_score"))
-    return projects.join(scores, key).withColumn("ml_anomaly_flag", F.col("ml_anomaly_score") > 0)
+    scored = model.withColumn("ml_anomaly_score", F.round(isolated(*features) - 0.5, 4))
+    return scored.withColumn("ml_anomaly_flag", F.col("ml_anomaly_score") > 0).drop(*features)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from worklens.config import DEFAULT, Config
 from worklens.functions.similarity import days_between, share
+from worklens.operators.ranks import melted, null_safe_left, quantile, value_ranks
+from worklens.sources.staging import stage
 
 
 def project_features(recommendations: DataFrame, completions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -28,20 +29,28 @@ def peer_features(projects: DataFrame, config: Config = DEFAULT) -> DataFrame:
     over = F.col("amount_difference_pct")
     days = F.col("days_to_completion").cast("double")
     rows = projects.withColumns({"positive_amount_difference_pct": F.when(over.isNotNull(), F.greatest(over, F.lit(0.0))), "days_to_completion": days})
-    near, wide = Window.partitionBy("state", "category"), Window.partitionBy("category")
-    rows = rows.withColumn("_enough", F.count("recommendation_row_id").over(near) >= config.peer_group)
+    rows = stage(rows, "rows")
+    near = {"state": F.col("state"), "category": F.col("category")}
+    sizes = rows.groupBy(*near).agg((F.count("recommendation_row_id") >= config.peer_group).alias("_enough"))
+    rows = null_safe_left(rows, sizes, near)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
     rows = rows.withColumn("peer_group", F.when(F.col("_enough"), F.concat(name("state"), F.lit(" | "), name("category"))).otherwise(name("category")))
-    values = {"cost_peer": "positive_amount_difference_pct", "duration_peer": "days_to_completion"}
-    for prefix, c in values.items():
-        for suffix, p in (("median", 0.5), ("p75", 0.75), ("p95", 0.95)):
-            stat = F.percentile(c, F.lit(p))
-            rows = rows.withColumn(f"{prefix}_{suffix}", F.when(F.col("_enough"), stat.over(near)).otherwise(stat.over(wide)))
+    # ranks of both values among the near peers, the wide peers and the labelled group, counted in one pass
+    values = {"positive_amount_difference_pct": ("cost_peer", "cost_percentile"), "days_to_completion": ("duration_peer", "duration_percentile")}
+    text, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
+    sets = {"near": (text("state"), text("category")), "wide": (none, text("category")), "label": (none, F.col("peer_group"))}
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), a.alias("a"), b.alias("b")) for k, (a, b) in sets.items())))
+    long = melted(rows.select(*values, level.alias("_level")), tuple(values), F.col("_level")).select("_level.*", "column", "value")
+    ranked = stage(value_ranks(long, ["level", "a", "b", "column"], "value"), "peer-ranks")
+    points = (("median", 0.5), ("p75", 0.75), ("p95", 0.95))
+    stats = ranked.filter("level <> 'label'").groupBy("level", "a", "b").agg(*(quantile(F.col("column") == c, q).alias(f"{prefix}_{suffix}") for c, (prefix, _) in values.items() for suffix, q in points))
+    # a row looks up the one group that counts for it
+    mine = {"level": F.when(F.col("_enough"), "near").otherwise("wide"), "a": F.when(F.col("_enough"), text("state")), "b": text("category")}
+    rows = null_safe_left(rows, stats, mine)
     ratio = lambda c, prefix: F.when(F.col(f"{prefix}_median") > 0, F.col(c) / F.col(f"{prefix}_median"))
     rows = rows.withColumns({"duration_ratio_to_peer_median": ratio("days_to_completion", "duration_peer"), "cost_ratio_to_peer_median": ratio("positive_amount_difference_pct", "cost_peer")})
-    for c, out in (("positive_amount_difference_pct", "cost_percentile"), ("days_to_completion", "duration_percentile")):
-        group = Window.partitionBy("peer_group")
-        ties = F.count(F.lit(1)).over(Window.partitionBy("peer_group", c))
-        mean_rank = F.rank().over(group.orderBy(F.asc_nulls_last(c))) + (ties - 1) / 2.0
-        rows = rows.withColumn(out, F.when(F.col(c).isNotNull(), mean_rank / F.count(c).over(group) * 100))
+    for c, (_, out) in values.items():
+        mean_rank = F.col("before") + (F.col("n") + 1) / 2.0
+        place = ranked.filter((F.col("level") == "label") & (F.col("column") == c)).select("b", "value", (mean_rank / F.col("total") * 100).alias(out))
+        rows = null_safe_left(rows, place, {"b": F.col("peer_group"), "value": F.col(c)})
     return rows.drop("_enough")
