@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens.functions import text as T
-from worklens.operators import anomaly, cleaning, features, finance, reports, review, risk
+from worklens.operators import anomaly, cleaning, features, finance, ranks, reports, review, risk
 from worklens.plans import pipeline, serving
 from worklens.sources import files
 
@@ -86,6 +86,35 @@ def test_isolation_forest(spark):
     assert {r.ml_anomaly_score for r in anomaly.isolation_forest(frame.limit(49)).collect()} == {0.0}
 
 
+def test_isolation_forest_scores_repeated_keys_row_by_row(spark):
+    frame = spark.range(60).selectExpr("id % 30 recommendation_row_id", "cast(id as double) recommended_amount")
+    assert anomaly.isolation_forest(frame, trees=5).count() == 60
+
+
+def test_exact_quantiles_and_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.integers(0, 40))) for g in ["hot"] * 900 + ["cold"] * 7 + [None] * 50 + ["empty"] * 0]
+    frame = spark.createDataFrame([*rows, ("empty", None)], "g string, x double").repartition(5)
+    values = [x for _, x in rows if x is not None]
+    one = ranks.quantiles(frame, ("x",), (0.0, 0.25, 0.5, 0.95, 1.0)).first()
+    assert one["x.n"] == len(values) and one["x.q"] == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.95, 1.0]).tolist())
+    for r in ranks.value_ranks(frame, ["g"], "x").collect():
+        own = [x for g, x in rows if g == r.g and x is not None]
+        assert (r.n, r.before, r.total) == (own.count(r.x), sum(x < r.x for x in own), len(own))
+    none = ranks.quantiles(frame.limit(0), ("x",), (0.5,)).first()
+    assert none["x.n"] == 0 and none["x.q"] == [None]
+
+
+def test_numbers_follow_the_partitions(spark):
+    frame = files.numbered(spark.range(1000, numPartitions=7), "n")
+    assert [r.n for r in frame.orderBy("id").collect()] == list(range(1000)) and files.numbered(spark.range(50), "n", 8).count() == 8
+
+
+def test_reasons_round_ties_to_even(spark):
+    got = spark.createDataFrame([(96.5,), (97.5,), (98.51,)], "v double").select(T.formatted("%.0fth of %d", F.col("v"), F.lit(1))).collect()
+    assert [r[0] for r in got] == ["96th of 1", "98th of 1", "99th of 1"]
+
+
 def test_project_risk(spark):
     columns = "positive_amount_difference_pct double, amount_difference_pct_iqr_flag boolean, cost_percentile double, days_to_completion double, days_to_completion_iqr_flag boolean, duration_percentile double, duration_ratio_to_peer_median double, ml_anomaly_flag boolean, has_images boolean, match_tier string"
     rows = spark.createDataFrame([(80.0, True, 99.0, 700.0, True, 99.0, 2.5, True, None, "Tier 1"), (80.0, True, 99.0, 700.0, True, 99.0, 2.5, True, False, "Tier 1"), (None, None, None, None, None, None, None, None, True, "Tier 1"), (30.0, False, 0.0, 400.0, False, 0.0, 0.0, False, False, "Tier 2")], columns)

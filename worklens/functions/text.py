@@ -129,9 +129,9 @@ def one_place(value: Column) -> Column:
 
 
 def formatted(pattern: str, *values: Column) -> Column:
-    """Text of a pattern in which each %.1f is set as :func:`one_place` does."""
+    """Text of a pattern in which each %.1f is set as :func:`one_place` does, and %.0f rounds ties to even."""
     kinds = re.findall(r"%[^a-z]*[a-z]", pattern.replace("%%", ""))
-    return F.format_string(pattern.replace("%.1f", "%s"), *(one_place(v.cast("double")) if k == "%.1f" else v for k, v in zip(kinds, values)))
+    return F.format_string(pattern.replace("%.1f", "%s"), *(one_place(v.cast("double")) if k == "%.1f" else F.rint(v) if k == "%.0f" else v for k, v in zip(kinds, values)))
 
 
 def tokens(text: Column) -> Column:

@@ -68,10 +68,10 @@ def _all(condition: Column) -> Column:
 def validate_matches(matches: DataFrame) -> DataFrame:
     taken = F.when(F.col("completion_index") >= 0, F.col("completion_index"))
     return _checked(matches, [
-        ("accepted match scores in range", _all(F.col("match_score").between(0, 100)), "Match scores must stay between 0 and 100."),
-        ("valid tiers", _all(F.col("match_tier").isin("Tier 1", "Tier 2", "Unmatched")), "Only supported match tiers are allowed."),
-        ("no duplicate completion assignments", F.count(taken) == F.count_distinct(taken), "Each accepted completion should map to at most one recommendation."),
-        ("unmatched rows have nonpositive completion index", _all((F.col("match_tier") != "Unmatched") | (F.col("completion_index") < 0)), "Unmatched rows should not carry an accepted completion index."),
+        ("accepted match scores in range", _all(F.col("match_score").between(0, 100)), "every score lies within 0 to 100"),
+        ("valid tiers", _all(F.col("match_tier").isin("Tier 1", "Tier 2", "Unmatched")), "every tier is Tier 1, Tier 2 or Unmatched"),
+        ("no duplicate completion assignments", F.count(taken) == F.count_distinct(taken), "no completion is taken twice"),
+        ("unmatched rows have nonpositive completion index", _all((F.col("match_tier") != "Unmatched") | (F.col("completion_index") < 0)), "an unmatched row names no completion"),
     ])
 
 
@@ -79,15 +79,15 @@ def validate_projects(projects: DataFrame) -> DataFrame:
     id_ = F.col("recommendation_row_id")
     amounts = (F.coalesce("recommended_amount", F.lit(0.0)) >= 0) & (F.coalesce("final_amount", F.lit(0.0)) >= 0)
     return _checked(projects, [
-        ("risk score range", _all(F.col("risk_score").between(0, 100)), "Risk score must be 0-100."),
-        ("valid risk levels", _all(F.col("risk_level").isin("LOW", "MEDIUM", "HIGH")), "Risk level must be LOW/MEDIUM/HIGH."),
-        ("unique recommendation rows", F.count(id_) == F.count_distinct(id_), "One output row should represent one matched recommendation."),
-        ("non-negative financial values", _all(amounts), "Amounts should not be negative."),
-        ("no large negative durations", _all(F.coalesce(F.col("days_to_completion") >= -30, F.lit(True))), "A completion should not be recorded substantially before the recommendation."),
+        ("risk score range", _all(F.col("risk_score").between(0, 100)), "every risk score lies within 0 to 100"),
+        ("valid risk levels", _all(F.col("risk_level").isin("LOW", "MEDIUM", "HIGH")), "every level is LOW, MEDIUM or HIGH"),
+        ("unique recommendation rows", F.count(id_) == F.count_distinct(id_), "no recommendation has two rows"),
+        ("non-negative financial values", _all(amounts), "no amount is below zero"),
+        ("no large negative durations", _all(F.coalesce(F.col("days_to_completion") >= -30, F.lit(True))), "no completion precedes its recommendation by more than 30 days"),
     ])
 
 
 def validate_outputs(projects: DataFrame, members: DataFrame) -> DataFrame:
     """Whether both outputs have rows."""
     some = lambda df, name, detail: _checked(df, [(name, F.count(F.lit(1)) > 0, detail)])
-    return some(projects, "project output nonempty", "At least one accepted project match is needed for project-level analysis.").unionByName(some(members, "MP output nonempty", "MP-level expenditure indicators should exist when expenditure data is available."))
+    return some(projects, "project output nonempty", "there are projects to score").unionByName(some(members, "MP output nonempty", "there are members with indicators"))

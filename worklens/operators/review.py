@@ -35,7 +35,7 @@ def parts_of(rows: DataFrame, parts: list[tuple[list[Column], int]]) -> DataFram
 def review_picks(matches: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The sampled matches with ``review_id``: per tier 5 by a seeded hash, the 3 weakest and the 2 strongest
     of the rest; of the unmatched 5 by hash, the 3 best and the 2 worst candidates of the rest."""
-    chance = [F.xxhash64("recommendation_index", F.lit(config.seed)), F.col("recommendation_index")]
+    chance = [F.md5(F.concat_ws(":", F.col("recommendation_index").cast("string"), F.lit(str(config.seed))).cast("binary")), F.col("recommendation_index")]
     low, high = [F.col("match_score"), F.col("score_margin"), F.col("recommendation_index")], [F.desc("match_score"), F.desc("score_margin"), F.col("recommendation_index")]
     near, far = [F.desc("best_candidate_score"), F.col("recommendation_index")], [F.col("best_candidate_score"), F.col("recommendation_index")]
     blocks = [parts_of(matches.filter(F.col("match_tier") == tier), parts).withColumn("block", F.lit(b)) for b, (tier, parts) in enumerate((("Tier 1", [(chance, 5), (low, 3), (high, 2)]), ("Tier 2", [(chance, 5), (low, 3), (high, 2)]), ("Unmatched", [(chance, 5), (near, 3), (far, 2)])))]

@@ -41,6 +41,7 @@ def project_risk(projects: DataFrame, config: Config = DEFAULT) -> DataFrame:
     over, days = n["positive_amount_difference_pct"], n["days_to_completion"]
     above, long_ = T.formatted("Final amount is %.1f%% above recommended amount", over), T.formatted("Long recommendation-to-completion timeline (%.0f days)", days)
     images = F.coalesce(F.col("has_images").cast("boolean") == F.lit(False), F.lit(False)) if "has_images" in projects.columns else F.lit(False)
+    # fixed values: limits, points and wording of the reasons
     rules = [
         (over >= 50, 18, above),
         ((over >= 25) & (over < 50), 10, above),
@@ -66,6 +67,7 @@ def member_risk(members: DataFrame, config: Config = DEFAULT) -> DataFrame:
     counts as a difference."""
     share, groups, most = (_number(members, c) for c in ("top_vendor_share_pct", "payment_mismatch_groups", "max_payment_completion_difference_pct"))
     told = T.formatted("Top vendor receives %.1f%% of recorded expenditure", share)
+    # fixed values: points and wording of the reasons
     rules = [
         (share >= config.vendor_high_pct, 35, told),
         ((share >= config.vendor_flag_pct) & (share < config.vendor_high_pct), 20, told),

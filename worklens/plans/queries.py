@@ -115,6 +115,17 @@ def mp_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*finance.MEMBER, "mp_risk_score", "mp_risk_level", "risk_is_assessment")
 
 
+_MP_REASONS = """concat_ws(' | ', CASE WHEN top_vendor_share_pct >= 6 THEN printf('Top vendor receives %.1f%% of recorded expenditure', top_vendor_share_pct) END,
+  CASE WHEN payment_mismatch_groups > 0 THEN printf('%d MP/IDA payment-completion mismatch group(s)', payment_mismatch_groups) END,
+  CASE WHEN max_payment_completion_difference_pct >= 50 THEN printf('Maximum payment-completion difference is %.1f%%', max_payment_completion_difference_pct) END,
+  CASE WHEN coalesce(reconciliation_flag, true) THEN 'Transaction total differs materially from MP-summary expenditure' END)"""
+
+
+@query(f"WITH {_MEMBERS} SELECT mp_name, constituency, state, CASE WHEN {_MP_REASONS} = '' THEN 'No strong MP-level financial indicator triggered' ELSE {_MP_REASONS} END AS mp_risk_reasons FROM mi")
+def mp_risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.member_risk(finance.member_indicators(*_money_tables(spark, sf_dir), LOW), LOW).select(*finance.MEMBER, "mp_risk_reasons")
+
+
 @query(f"WITH {_MEMBERS} SELECT mp_name, constituency, state, top_vendor, round(top_vendor_share_pct, 4) AS top_vendor_share_pct FROM mi ORDER BY mp_name, constituency, state LIMIT 50")
 def mp_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = finance.member_indicators(*_money_tables(spark, sf_dir), LOW)
@@ -524,6 +535,19 @@ def project_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("recommendation_row_id", "risk_score", "risk_level")
 
 
+_OVER, _LONG = "printf('Final amount is %.1f%% above recommended amount', positive_amount_difference_pct)", "printf('Long recommendation-to-completion timeline (%.0f days)', days_to_completion)"
+_REASONS = f"""concat_ws(' | ', CASE WHEN positive_amount_difference_pct >= 25 THEN {_OVER} END, CASE WHEN amount_difference_pct_iqr_flag THEN 'Positive cost deviation is an upper-IQR outlier' END,
+  CASE WHEN cost_percentile >= 95 THEN printf('Cost deviation is at about the %.0fth peer percentile', cost_percentile) END, CASE WHEN days_to_completion >= 360 THEN {_LONG} END,
+  CASE WHEN days_to_completion_iqr_flag THEN 'Completion duration is an upper-IQR outlier' END, CASE WHEN duration_percentile >= 95 THEN printf('Duration is at about the %.0fth peer percentile', duration_percentile) END,
+  CASE WHEN duration_ratio_to_peer_median >= 2 THEN printf('Duration is about %.1fx the peer median', duration_ratio_to_peer_median) END, CASE WHEN has_images = false THEN 'Completed work has no photographic proof of completion' END,
+  CASE WHEN match_tier = 'Tier 2' THEN 'Project evidence comes from a provisional Tier 2 linkage' END)"""
+
+
+@query(f"WITH {_RISK} SELECT recommendation_row_id, CASE WHEN {_REASONS} = '' THEN 'No strong project-level anomaly indicators triggered' ELSE {_REASONS} END AS risk_reasons FROM risk")
+def project_risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("recommendation_row_id", "risk_reasons")
+
+
 @query(f"WITH {_RISK} SELECT recommendation_row_id, risk_score, state, category FROM risk WHERE risk_level = 'HIGH'")
 def high_risk_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).filter("risk_level = 'HIGH'").select("recommendation_row_id", "risk_score", "state", "category")
@@ -592,7 +616,21 @@ def review_borderline_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.select("recommendation_index", "match_score", "score_margin", F.when(F.col("part") == 0, "low").otherwise("high").alias("part"))
 
 
-@query()
+def _sample_sql() -> str:
+    """CTEs of the picks, part after part in each tier, and their union as ``picks``."""
+    chance = (f"md5(concat_ws(':', CAST(recommendation_index AS VARCHAR), '{DEFAULT.seed}')), recommendation_index", 5)
+    weak, strong = ("match_score, score_margin, recommendation_index", 3), ("match_score DESC, score_margin DESC, recommendation_index", 2)
+    near, far = ("best_candidate_score DESC, recommendation_index", 3), ("best_candidate_score, recommendation_index", 2)
+    parts, names = [], []
+    for b, (tier, orders) in enumerate((("Tier 1", (chance, weak, strong)), ("Tier 2", (chance, weak, strong)), ("Unmatched", (chance, near, far)))):
+        for i, (order, n) in enumerate(orders):
+            taken = "".join(f" AND recommendation_index NOT IN (SELECT recommendation_index FROM s{b}{j})" for j in range(i))
+            parts.append(f"s{b}{i} AS (SELECT *, {b} AS block, {i} AS part, row_number() OVER (ORDER BY {order}) AS turn FROM m WHERE match_tier = '{tier}'{taken} ORDER BY {order} LIMIT {n})")
+            names.append(f"SELECT * FROM s{b}{i}")
+    return ", ".join(parts) + f", picks AS ({' UNION ALL '.join(names)})"
+
+
+@query(f"WITH {_CLAIMED}, {_sample_sql()} SELECT * EXCLUDE (block, part, turn), row_number() OVER (ORDER BY block, part, turn) AS review_id FROM picks")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_picks(_assigned(spark, sf_dir))
 

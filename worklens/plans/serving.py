@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The fields of a listed project.
 PAGE_FIELDS = ("recommendation_row_id", "recommendation_work_id", "completion_work_id", "mp_name", "constituency", "state", "category", "recommended_amount", "final_amount", "match_score", "match_tier", "risk_score", "risk_level")
 
 
@@ -75,7 +76,7 @@ def split_reasons(projects: DataFrame) -> DataFrame:
     return projects.select("recommendation_row_id", F.posexplode(F.split("risk_reasons", r" \| ")).alias("place", "reason"))
 
 
-FALLBACK_EXPLANATION = "Explanation temporarily unavailable — see risk factors above."
+FALLBACK_EXPLANATION = "No explanation could be fetched; the listed risk factors stand for themselves."
 
 
 def explanation_prompt(projects: DataFrame) -> DataFrame:

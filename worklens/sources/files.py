@@ -6,13 +6,16 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from worklens.functions.text import NA_TOKENS
+from worklens.sources.staging import stage
 
 
-def read_extract(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV extract with a header, all columns as text, missing-value spellings as null."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_extract(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A CSV extract with a header, all columns as text, missing-value spellings as null. Where fields may hold line
+    breaks, a file is read by one task; without ``line_breaks`` large files are split among tasks."""
+    df = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return df.select(*(F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
@@ -20,9 +23,12 @@ def numbered(df: DataFrame, index: str, limit: int | None = None) -> DataFrame:
     """Adds the row number from 0 in file order; only the first ``limit`` rows, if given (at least 1)."""
     if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
-    schema = df.schema.add(index, "long")
-    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    out = df.sparkSession.createDataFrame(rows, schema)
+    rows = stage(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # the id counts on from each partition's own start: add the rows of the partitions before (starts: a row a partition)
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    out = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part").withColumn(index, place).select(*df.columns, index)
     return out if limit is None else out.filter(F.col(index) < limit)
 
 
