@@ -372,3 +372,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert "password" not in seen["secrets"][903] and seen["secrets"][5] == good[5]
     rows = kept.collect()
     assert {r.doc_id for r in rows} == set(seen["secrets"]) and all(r.decoded_ok for r in rows)
+
+
+def test_pipeline_bears_null_empty_and_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None, None), (None, ""), (1, None), (2, ""), (3, "plain words " * 20000), (4, "some other words"), (4, "some other words"), (None, "some other words")]
+    for name, docs in (("few", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        frame(spark, docs).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = pipeline.run(spark, folder).collect()
+        assert all(r.decoded_ok for r in got) and (name == "few" or not got)
+        assert all(sum(r.doc_id == i for r in got) <= 2 for i in (3, 4))
+
+
+def test_headers_of_the_index_are_dealt(spark):
+    docs = frame(spark, [(i, "a b") for i in range(50)])
+    terms = spark.createDataFrame([("a", 0)], "term string, tid long")
+    index = decontaminate.build_index(docs, terms, 0)  # nothing is broadcast
+    assert {(r.doc_id, r.n_words) for r in index.filter("tid = -1").collect()} == {(i, 2) for i in range(50)} and index.filter("tid = 0").count() == 50

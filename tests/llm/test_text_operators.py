@@ -4,12 +4,15 @@ import base64
 import datetime as dt
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
 import urllib.parse
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +243,56 @@ def test_url_lists_as_of_fetch_time(spark):
             keys = [("host", host)] + [("domain", ".".join(host.split(".")[n:])) for n in range(host.count(".") + 1)] + [("prefix", host + "/" + "/".join(path[: n + 1])) for n in range(max(1, len(path)))]
             want = [f"{s}:{p}" for s, p in keys if active(s, p, t)]
         assert (rows[i].n_active, rows[i].matched, rows[i].blocked) == (len(want), min(want, default=None), bool(want))
+
+
+def plain_grams(text):
+    """Words and pairs of words of a text, with their share of its length."""
+    tokens = [m.group(0) for m in re.finditer(r"[a-z0-9]+|([!-/:-@\[-`{-~])\1*", text.lower())]
+    marked = ["<again>" if i and t == tokens[i - 1] else t for i, t in enumerate(tokens)]
+    counts = Counter([*marked, *zip(marked, marked[1:])])
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+    return {g: math.log1p(n) / norm for g, n in counts.items()} | {"": 1.0}
+
+
+def test_quality_equals_plain_updates(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words[:20] if i % 2 else words[10:], k=rng.randint(1, 30))) + rng.choice(["", " !!", " w1 w1 w1 ?"])) for i in range(120)] + [(500, ""), (501, None), (None, "w1 w2")]
+    labels = [(i, i % 2) for i in range(110)] + [(None, 1), (3, None)]
+    s = quality.Settings(bits=22, shards=1, epochs=2)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    weights = quality.train(frame, spark.createDataFrame(labels, "doc_id long, quality int"), s)
+    got = quality.score(frame, weights, s).collect()
+    z, n = Counter(), Counter()
+
+    def weight(g):
+        return 0.0 if abs(z[g]) <= s.l1 else -(z[g] - math.copysign(s.l1, z[g])) / ((s.beta + math.sqrt(n[g])) / s.alpha + s.l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(g) * v for g, v in x.items())))
+
+    known = [(plain_grams(docs[i][1]), y) for i, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for e in order.permutation(len(known)):
+            x, y = known[e]
+            p, old = chance(x), {g: weight(g) for g in x}
+            for g, v in x.items():
+                step = (p - y) * v
+                z[g] += step - (math.sqrt(n[g] + step * step) - math.sqrt(n[g])) / s.alpha * old[g]
+                n[g] += step * step
+    want = {i: chance(plain_grams(t) if t else {"": 1.0}) for i, t in docs}
+    assert len(got) == len(docs) and len({round(v, 3) for v in want.values()}) > 50
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_empty_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(0)
+    assert warc.derive(warc.responses(pages)).count() == 0
+    assert url_filter.evaluate(url_filter.dated_captures(pages), url_filter.intervals(url_filter.lists_from(pages))).count() == 0
+    docs, labels = spark.createDataFrame([], "doc_id long, text string, source string"), spark.createDataFrame([], "doc_id long, quality int")
+    weights = quality.train(docs, labels)
+    assert quality.score(docs, weights).count() == quality.keep_good(docs, weights).count() == secrets.redact(docs).count() == secrets.scan(docs).count() == 0
+    assert [r.score for r in quality.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), weights).collect()] == [0.5]

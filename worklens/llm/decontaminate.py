@@ -7,7 +7,7 @@ names alignments of a whole item with a document, and the remaining terms of the
 the positions the alignment expects; runs of at least a window's length of found terms are exact matches.
 
 Only terms of the test texts are indexed, since no other term is ever looked up; each row also has one
-header posting (position 0, the empty term) with its doc_id and number of words.
+header posting (position 0, a term of its own kind) with its doc_id and number of words.
 
 Defined results: null text has no words; an item without words matches nothing; an item shorter than a
 window is one window; a null item_id is not counted in ``n_items`` nor listed, but its words are hit;
@@ -28,6 +28,8 @@ from worklens.llm.common import broadcast_if, stage, unused
 
 #: Fixed value: what separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Keys among which the header postings are dealt.
+HEADERS = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,10 +55,12 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
     """Stored postings of the given (term, tid): row, pos (from 1), tid; headers have pos 0 and tid -1."""
-    headed = terms.select("term", "tid").union(docs.sparkSession.createDataFrame([("", -1)], "term string, tid long"))
-    headed = broadcast_if(headed, terms.count() + 1, broadcast_rows)
+    # no word holds a zero byte; headers share HEADERS keys, so that none of them is hot where the join shuffles
+    headers = docs.sparkSession.range(HEADERS).select(F.concat(F.lit("\0"), "id").alias("term"), F.lit(-1).cast("long").alias("tid"))
+    headed = broadcast_if(terms.select("term", "tid").union(headers), terms.count() + HEADERS, broadcast_rows)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("words"))
-    rows = rows.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "term"))
+    header = F.concat(F.lit("\0"), F.pmod(F.xxhash64("row"), F.lit(HEADERS)))
+    rows = rows.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(header), "words")).alias("pos", "term"))
     head = F.col("pos") == 0
     return stage(rows.join(headed, "term").select("row", "pos", "tid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n_words")).alias("n_words")), "postings")
 
