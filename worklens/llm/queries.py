@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, pieces, quality, secrets, url_filter, warc
+from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, phrases, pieces, quality, secrets, url_filter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -63,6 +63,10 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_neighbours": op2_neighbours,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op6_minhash": minhash.ORACLE,
     "op7_lm_score": lm.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
