@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, decontaminate, lm, minhash, neighbours, phrases, pieces, quality, secrets, url_filter, warc
+from worklens.llm import align, bpe, decontaminate, lm, minhash, neighbours, phrases, pieces, quality, secrets, url_filter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -63,6 +63,12 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.linked(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECES))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op11_alignment": op11_alignment,
     "op13_phrases": op13_phrases,
 }
 
