@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,18 +43,18 @@ from worklens.llm.common import shared_dir, stage, text_batches, tidied, trimmed
 
 MARK = "▁"
 #: Bytes of text of a shard, of the documents merged in lockstep at once, and of the corpus for each bucket of B ids.
-SHARD, BATCH, BUCKET = 16 << 20, 4 << 20, 8 << 20
+SHARD, BATCH, BUCKET = 6 << 20, 2 << 20, 8 << 20
 #: Units of a lane of the state vector.
 LANE = 512
-#: Pre-tokens whose ids a worker keeps.
-REMEMBERED = 500_000
+#: Pre-tokens and (in each of two generations) units whose ids a worker keeps, and strings for a library at once.
+REMEMBERED, PARTS = 150_000, 10_000
 #: Shards whose counts are added up first.
 GROUP = 256
 
 
 class Tokens(NamedTuple):
     """Tokens of many strings: ids and ends (byte offset in the string) one string after the other, where each string's
-    tokens begin (n + 1), and whether they give its bytes back."""
+    tokens begin (n + 1), and whether those of both vocabularies give its bytes back."""
 
     ids: np.ndarray
     ends: np.ndarray
@@ -81,7 +82,9 @@ class Vocabularies:
             self.bytes_a[i] = bytes(stand_in[c] for c in name if c in stand_in)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         self.size_b = self.b.get_piece_size()
-        self.pre_tokens: dict[str, list[int]] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+        self.units: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes, bool]] = {}
         self.find = regex.compile(PATTERN).findall
         self.bytes_b = []
         for i in range(self.size_b):
@@ -92,37 +95,56 @@ class Vocabularies:
         self.apart = spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"].get("add_prefix_space", True)
         self.apart &= all(MARK not in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.size_b)) and self.b.normalize(plain) == MARK + plain.replace(" ", MARK)
 
-    def encode_a(self, units: list[str]) -> Tokens:
-        """Each distinct pre-token goes to the library once."""
+    def encode(self, units: list[bytes]) -> tuple[Tokens, Tokens]:
+        """Tokens of both vocabularies. Units that the worker has met lately are not encoded again."""
+        if len(self.units) > REMEMBERED:
+            self.older, self.units = self.units, {}
+        known, older = self.units, self.older
+        new = [u for u in units if u not in known]
+        known.update((u, older[u]) for u in new if u in older)
+        new = [u for u in new if u not in known]
+        for low in range(0, len(new), PARTS):
+            self._learn(new[low : low + PARTS])
+        a, b, kept = zip(*map(known.__getitem__, units)) if units else ((), (), ())
+        return self._tokens(a, self.bytes_a, kept), self._tokens(b, self.bytes_b, kept)
+
+    def _learn(self, units: list[bytes]) -> None:
+        texts = [u.decode("utf-8") for u in units]
+        sides, whole = [self._ids_a(texts), self._ids_b(texts)], []
+        for found, bytes_of in zip(sides, (self.bytes_a, self.bytes_b)):
+            first = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+            ids = np.frombuffer(b"".join(found), np.int32)
+            ends = np.append(0, np.cumsum(np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))[ids]))
+            same = ends[first[1:]] - ends[first[:-1]] == np.fromiter(map(len, units), np.int64, len(units))
+            if not same.all() or b"".join(map(bytes_of.__getitem__, ids.tolist())) != b"".join(units):
+                same = [b"".join([bytes_of[i] for i in np.frombuffer(part, np.int32)]) == u for part, u in zip(found, units)]
+            whole.append(same)
+        self.units.update(zip(units, zip(*sides, (bool(x and y) for x, y in zip(*whole)))))
+
+    def _ids_a(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each. Each distinct pre-token goes to the library once."""
+        packed = lambda some: (array("i", e.ids).tobytes() for e in self.a.encode_batch_fast(some, add_special_tokens=False))
         if not self.apart:
-            return self._tokens([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], units, self.bytes_a)
+            return list(packed(texts))
         if len(self.pre_tokens) > REMEMBERED:
             self.pre_tokens = {}
-        parts, known = list(map(self.find, units)), self.pre_tokens
-        new = list({p for part in parts for p in part if p not in known})
-        known.update(zip(new, (e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False))))
-        return self._tokens([known[part[0]] if len(part) == 1 else list(chain.from_iterable(map(known.__getitem__, part))) for part in parts], units, self.bytes_a)
+        known, parts = self.pre_tokens, list(map(self.find, texts))
+        new = list({p for p in chain.from_iterable(parts) if p not in known})
+        known.update(zip(new, packed(new)))
+        ids_of = known.__getitem__
+        return [b"".join(map(ids_of, part)) for part in parts]
 
-    def encode_b(self, units: list[str]) -> Tokens:
-        """The model adds the space that each unit begins with."""
-        found = self.b.encode([u[1:] for u in units], num_threads=1)
-        return self._tokens([ids if len(u) > 1 else [self.mark] for ids, u in zip(found, units)], units, self.bytes_b)
+    def _ids_b(self, texts: list[str]) -> list[bytes]:
+        """Likewise; the model adds the space that each text begins with."""
+        found = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [array("i", ids if len(t) > 1 else [self.mark]).tobytes() for ids, t in zip(found, texts)]
 
     @staticmethod
-    def _tokens(found: list[list[int]], units: list[str], known: list[bytes]) -> Tokens:
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        first = np.append(0, np.cumsum(count))
-        listed = list(chain.from_iterable(found))
-        ids = np.array(listed, np.int32)
-        own = np.fromiter(map(len, known), np.int64, len(known))
-        ends = np.append(0, np.cumsum(own[ids]))
-        sizes = ends[first[1:]] - ends[first[:-1]]
-        ends = (ends[1:] - np.repeat(ends[first[:-1]], count)).astype(np.int32)
-        data = [u.encode() for u in units]
-        whole = sizes == np.fromiter(map(len, data), np.int64, len(data))
-        if not whole.all() or b"".join(map(known.__getitem__, listed)) != b"".join(data):
-            whole = np.fromiter((b"".join([known[i] for i in part]) == d for part, d in zip(found, data)), bool, len(found))
-        return Tokens(ids, ends, first, whole)
+    def _tokens(found: tuple[bytes, ...], known: list[bytes], whole: tuple[bool, ...]) -> Tokens:
+        first = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+        ids = np.frombuffer(b"".join(found), np.int32)
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[ids]))
+        return Tokens(ids, (ends[1:] - np.repeat(ends[first[:-1]], np.diff(first))).astype(np.int32), first, np.array(whole, bool))
 
 
 @lru_cache(maxsize=2)
@@ -204,16 +226,14 @@ class Shard:
         joined = pc.binary_join_element_wise(pa.scalar(" ", texts.type), pc.fill_null(texts, ""), pa.scalar("", texts.type))
         self.raw, self.offsets = flat.bytes_of(joined)
         starts = unit_starts(self.raw, self.offsets) if known.apart else self.offsets[:-1]
-        ends = np.append(starts[1:], len(self.raw))
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(self.raw))), pa.py_buffer(self.raw)]).dictionary_encode()
-        self.code = np.asarray(units.indices).astype(np.int64)
-        names = [u.decode("utf-8") for u in units.dictionary.to_pylist()]
-        self.tokens_a, self.tokens_b = known.encode_a(names), known.encode_b(names)
+        self.code = np.asarray(units.indices)
+        self.tokens_a, self.tokens_b = known.encode(units.dictionary.to_pylist())
         self.first = np.searchsorted(starts, self.offsets)  # unit of each text
-        whole = (self.tokens_a.whole & self.tokens_b.whole)[self.code]
+        whole = self.tokens_a.whole[self.code]
         broken = np.append(0, np.cumsum(~whole))
         self.gone = empty | (broken[self.first[1:]] > broken[self.first[:-1]])
-        self.starts, self.ends = starts, ends
+        self.starts = starts
 
     def batches(self) -> Iterator[tuple[int, int, Batch]]:
         """(first document, one past the last, their alignment)."""
