@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import align, bpe, decontaminate, lm, minhash, neighbours, phrases, pieces, quality, secrets, url_filter, warc
+from worklens.llm import align, bpe, decontaminate, lm, minhash, neighbours, phrases, pieces, quality, repeats, secrets, url_filter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -69,6 +69,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.linked(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECES))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
     "op10_sampled_pieces": op10_sampled_pieces,
     "op11_alignment": op11_alignment,
+    "op12_repeats": op12_repeats,
     "op13_phrases": op13_phrases,
 }
 
@@ -95,5 +100,6 @@ ORACLES: dict[str, str] = {
     "op6_minhash": minhash.ORACLE,
     "op7_lm_score": lm.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op12_repeats": repeats.ORACLE,
     "op13_phrases": phrases.ORACLE,
 }
