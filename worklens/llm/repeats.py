@@ -44,9 +44,9 @@ BLOCK, NEAR = 1 << 20, 8
 class Settings:
     length: int = 100
     gram: int = 50
-    chunk: int = 12 << 20
+    chunk: int = 6 << 20
     bucket: int = 16 << 20
-    shard: int = 16 << 20
+    shard: int = 4 << 20
     hot: int = 10_000
     room: int = induced.ROOM
 
