@@ -44,9 +44,9 @@ BLOCK, NEAR = 1 << 20, 8
 class Settings:
     length: int = 100
     gram: int = 50
-    chunk: int = 6 << 20
+    chunk: int = 8 << 20
     bucket: int = 16 << 20
-    shard: int = 4 << 20
+    shard: int = 8 << 20
     hot: int = 10_000
     room: int = induced.ROOM
 
@@ -98,7 +98,8 @@ class Windows:
         self.start = np.flatnonzero(new & inside)
         ends = np.flatnonzero(new | ~inside)
         self.count = np.append(ends, n)[np.searchsorted(ends, self.start, side="right")] - self.start
-        self.anchor, self.place = least[self.start] >> bits << bits, place[self.start]
+        # the smallest hashes are small: mixed again, they spread over all buckets
+        self.anchor, self.place = flat.mix64(least[self.start] >> bits << bits), place[self.start]
 
     def grams(self, at: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the strings of ``size`` bytes at places."""
