@@ -185,8 +185,8 @@ def test_whole_run(spark, tmp_path):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "x.csv").write_text(' a ,b\n"1","NA"\n"two\nlines","say ""hi"""\n', encoding="utf-8")
-    frame = files.numbered(files.read_extract(spark, str(tmp_path / "x.csv")), "n")
-    assert [tuple(r) for r in frame.collect()] == [("1", None, 0), ("two\nlines", 'say "hi"', 1)]
+    frame = files.read_extract(spark, str(tmp_path / "x.csv"), index="n")
+    assert [tuple(r) for r in frame.orderBy("n").collect()] == [("1", None, 0), ("two\nlines", 'say "hi"', 1)]
     assert cleaning.renamed(frame, "recommendations").columns == ["a", "b", "n"]
     with pytest.raises(ValueError):
         files.numbered(frame, "m", 0)

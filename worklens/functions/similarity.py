@@ -46,7 +46,7 @@ def token_set_similarity(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict = {}
+    memo: dict = {(None, None): 0.0}
     out = []
     for pair in zip(a, b):
         if pair not in memo:
@@ -56,9 +56,11 @@ def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_set(a: Column, b: Column) -> Column:
-    """Token-set similarity; 0 where a side is missing. Equal texts are decided without Python."""
+    """Token-set similarity; 0 where a side is missing. Equal and empty texts are decided without Python, which gets
+    nulls in their place."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).when(a == b, 100.0).otherwise(_token_set(a, b))
+    open_ = (F.trim(a) != "") & (F.trim(b) != "") & (a != b)
+    return F.when(open_, _token_set(F.when(open_, a), F.when(open_, b))).when((a == b) & (F.trim(a) != ""), 100.0).otherwise(0.0)
 
 
 def amount(a: Column, b: Column) -> Column:

@@ -147,8 +147,9 @@ def telling_tokens(text: Column) -> Column:
 def work_types(text: Column) -> Column:
     """Numbers of the work types that a text names anywhere in it."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]", " "), r"\s+", " "))
-    named = [F.when(reduce(lambda a, b: a | b, [F.contains(plain, F.lit(t)) for t in terms]), F.lit(i)) for i, terms in enumerate(WORK_TYPES)]
-    return F.filter(F.array(*named), lambda i: i.isNotNull())
+    # the plain text is an array's only element, so that it is made once and not for each term
+    named = lambda p: F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(p, F.lit(t)) for t in terms]), F.lit(i)) for i, terms in enumerate(WORK_TYPES)))
+    return F.element_at(F.transform(F.array(plain), lambda p: F.filter(named(p), lambda i: i.isNotNull())), 1)
 
 
 def differ_both_ways(a: Column, b: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from worklens.config import DEFAULT, Config
 from worklens.functions import similarity as S
 from worklens.functions import text as T
+from worklens.operators.similar import bounded, most_similar, profiled, waves
 from worklens.sources.staging import stage
 
 ENTITY = ("state_norm_key", "constituency_canonical_key", "mp_canonical_key")
@@ -159,11 +160,14 @@ def _by_work_id(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
 
 def _in_block(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
     """The most similar of the entity's completions."""
-    pairs = rec.join(comp, [F.col(f"r_{k}") == F.col(f"c_{k}") for k in ENTITY])
-    similar = S.token_set(F.col("r_work_norm"), F.col("c_work_norm"))
-    ranked = pairs.withColumn("similar", similar).filter(F.col("similar") >= config.similarity_cutoff)
+    on = [(f"r_{k}", f"c_{k}") for k in ENTITY]
+    texts = most_similar(rec, comp, on, "r_work_norm", "c_work_norm", config.candidates, config.similarity_cutoff)
+    # ids first: a text may be that of many completions, so they are ranked before the other columns come
+    near = rec.select(R, "r_work_norm", *(r for r, _ in on)).join(texts, ["r_work_norm", *(r for r, _ in on)])
+    near = near.withColumnsRenamed(dict(on)).join(comp.select(C, "c_work_norm", *(c for _, c in on)), ["c_work_norm", *(c for _, c in on)])
     turn = F.row_number().over(Window.partitionBy(R).orderBy(F.desc("similar"), C))
-    return ranked.withColumn("place", turn).filter(F.col("place") <= config.candidates).drop("similar")
+    near = near.select(R, C, turn.alias("place")).filter(F.col("place") <= config.candidates)
+    return near.join(rec, R).join(comp, C)
 
 
 def _by_tokens(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
@@ -213,11 +217,25 @@ def one_to_one(matches: DataFrame) -> DataFrame:
 RESULT = (R, C, "match_score", "match_tier", "match_confidence", "score_margin", "best_candidate_index", "best_candidate_score", "best_candidate_tier", "match_reason")
 
 
+def pool_bounds(pool: DataFrame, rec: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts: id, text; the pairs of a pool with ``bound``, by key (the recommendation), l_id and r_id)."""
+    pool = stage(pool, "pool")
+    own = pool.select(R).distinct().join(rec.select(R, F.col("r_work_norm").alias("l_text")), R)
+    met = pool.select(C).distinct().join(comp.select(C, F.col("c_work_norm").alias("r_text")), C)
+    every = own.select(F.col("l_text").alias("text")).union(met.select("r_text")).distinct()
+    texts = stage(profiled(every.withColumn("id", F.monotonically_increasing_id()), "text", "profile"), "texts")
+    side = lambda name: texts.select(F.col("text").alias(f"{name}_text"), F.col("id").alias(f"{name}_id"), F.col("profile").alias(f"{name}_profile"))
+    pairs = pool.join(own.join(side("l"), "l_text"), R).join(met.join(side("r"), "r_text"), C)
+    pairs = bounded(pairs, "l_profile", "r_profile").select(F.col(R).alias("key"), "l_id", "r_id", "bound", C, "pool_rank")
+    return texts.select("id", "text"), stage(pairs, "pool")
+
+
 def _fallback(rec: DataFrame, comp: DataFrame, config: Config) -> DataFrame:
     """For recommendations without candidates: the most similar of a small pool, for information only."""
-    pool = token_pool(rec, comp, config.fallback_pool, config).join(rec, R).join(comp, C)
-    pool = pool.withColumn("similar", S.token_set(F.col("r_work_norm"), F.col("c_work_norm")))
-    best = pool.withColumn("turn", F.row_number().over(Window.partitionBy(R).orderBy(F.desc("similar"), "pool_rank"))).filter("turn = 1")
+    texts, pool = pool_bounds(token_pool(rec, comp, config.fallback_pool, config), rec, comp)
+    pool = reduce(DataFrame.union, waves(pool, texts, 1, -1.0)).join(pool.select("key", "l_id", "r_id", C, "pool_rank"), ["key", "l_id", "r_id"])
+    best = pool.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similar"), "pool_rank"))).filter("turn = 1")
+    best = best.select(F.col("key").alias(R), C).join(rec, R).join(comp, C)
     told = F.concat_ws(", ", *(T.formatted(f"{n}=%.1f", F.col(n)) for n in EVIDENCE))
     return scored(best, config).select(R, F.col(C).alias("best_candidate_index"), F.round("score", 3).alias("best_candidate_score"), F.concat(F.lit("Best candidate did not reach a match tier; "), told).alias("match_reason"))
 

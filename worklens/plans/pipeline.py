@@ -30,9 +30,7 @@ def run_pipeline(spark: SparkSession, paths: dict[str, str], out: str, limit: in
     began = time.time()
     if gone := files.missing_inputs(spark, *(paths[k] for k in INPUTS)):
         raise FileNotFoundError(f"Missing input files: {', '.join(gone)}")
-    raw = {k: files.read_extract(spark, paths[k]) for k in INPUTS}
-    raw["recommendations"] = files.numbered(raw["recommendations"], "recommendation_index", limit)
-    raw["completions"] = files.numbered(raw["completions"], "completion_index")
+    raw = {k: files.read_extract(spark, paths[k], index={"recommendations": "recommendation_index", "completions": "completion_index"}.get(k), limit=limit if k == "recommendations" else None) for k in INPUTS}
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         files.write_table(df, f"{out}/{name}")

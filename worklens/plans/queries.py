@@ -12,6 +12,7 @@ from worklens.config import DEFAULT, Config
 from worklens.functions import similarity as S
 from worklens.functions import text as T
 from worklens.operators import anomaly, features, finance, linkage, reports, review, risk
+from worklens.operators.similar import most_similar
 from worklens.plans import lenses as L
 from worklens.plans import serving
 from worklens.sources import files
@@ -252,10 +253,10 @@ def token_set_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH w AS (SELECT DISTINCT entity || '/' || CAST(size % 10 AS VARCHAR) AS entity, work_description AS d FROM ({_PARTS})), pairs AS (SELECT x.entity, x.d AS a, y.d AS b FROM w x JOIN w y ON x.entity = y.entity AND x.d <> y.d), {_TSR}, k AS (SELECT entity, a, b, similarity, row_number() OVER (PARTITION BY entity, a ORDER BY round(similarity, 6) DESC, b) AS rank FROM r WHERE similarity >= 55) SELECT entity, a, b, round(similarity, 6) AS similarity, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 10")
 def top_k_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = L.view(spark, sf_dir, L.PARTS).selectExpr("entity || '/' || cast(size % 10 as string) entity", "work_description").distinct()
-    pairs = texts.select("entity", F.col("work_description").alias("a")).join(texts.select("entity", F.col("work_description").alias("b")), "entity").filter("a <> b")
-    near = pairs.withColumn("similarity", F.round(S.token_set(F.col("a"), F.col("b")), 6)).filter("similarity >= 55")
+    sides = [texts.select("entity", F.col("work_description").alias(c)) for c in ("a", "b")]
+    near = most_similar(*sides, [("entity", "entity")], "a", "b", 10, 55.0, other=True).withColumn("similarity", F.round("similar", 6))
     rank = F.row_number().over(Window.partitionBy("entity", "a").orderBy(F.desc("similarity"), "b"))
-    return near.withColumn("rank", rank.cast("bigint")).filter("rank <= 10")
+    return near.withColumn("rank", rank.cast("bigint")).filter("rank <= 10").select("entity", "a", "b", "similarity", "rank")
 
 
 P = L.duck(L.PROJECTS)
