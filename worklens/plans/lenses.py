@@ -67,6 +67,17 @@ WORKS = """
 SELECT p_partkey AS id, lower(p_type) || CASE WHEN p_partkey % 7 < 4 THEN ' ' || lower(p_name) ELSE '' END AS d, CASE WHEN p_partkey % 10 = 0 THEN 'nobody' ELSE 'member ' || CAST(p_partkey % 9 % 3 AS STRING) END AS m, 'place ' || CAST(p_partkey % 5 AS STRING) AS pl, 'state ' || CAST(p_partkey * 7 % 13 % 2 AS STRING) AS st,
   CASE WHEN p_partkey % 3 = 0 THEN 'w' || CAST(p_partkey * 11 % 91 AS STRING) ELSE '' END AS wid, CASE WHEN p_partkey % 11 > 0 THEN CAST(p_partkey * 7 % 1300 AS BIGINT) - 40 END AS day FROM {part}"""
 
+#: Recommendations as their extract has them: texts with quotes, commas, line breaks and outer white space, missing values, amounts and dates in several spellings.
+_ISO = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+EXTRACT = f"""
+SELECT o_orderkey AS k, 'W-' || CAST(o_orderkey AS STRING) AS work_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Road "' || c_mktsegment || '"' || chr(10) || 'at ' || c_name || ', ward 3' WHEN 1 THEN '  Hall & yard, ' || c_name || chr(10) WHEN 2 THEN chr(10) || '""' || chr(10) || 'x' WHEN 3 THEN 'NA' ELSE 'Drain of ' || n_name END AS work_description,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority || ' & others' END AS category, CASE c_custkey % 5 WHEN 0 THEN 'Shri. ' WHEN 1 THEN 'SMT ' WHEN 2 THEN 'Dr.  Mr. ' ELSE '' END || c_name AS mp_name,
+  n_name || CASE c_custkey % 3 WHEN 0 THEN ' - ' ELSE ' ' END || CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey % 40 AS STRING) ELSE '' END AS constituency, CASE WHEN o_orderkey % 9 = 0 THEN 'N/A' ELSE ' ' || r_name || ' ' END AS state, 'LS' AS house,
+  CASE o_orderkey % 6 WHEN 0 THEN '₹' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) WHEN 1 THEN '1,' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || '.50' WHEN 2 THEN '(12)' WHEN 3 THEN ' ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || ' ' WHEN 4 THEN 'nan' ELSE '' END AS amount,
+  CASE o_orderkey % 4 WHEN 0 THEN {_ISO} WHEN 1 THEN substr({_ISO}, 9, 2) || '/' || substr({_ISO}, 6, 2) || '/' || substr({_ISO}, 1, 4) WHEN 2 THEN replace({_ISO}, '-', '/') ELSE 'soon' END AS day, 'agency ' || CAST(c_custkey % 6 AS STRING) AS ida, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS remarks
+FROM {{orders}} {_PLACES}"""
+
 PARTS = """
 SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS work_description, p_brand AS entity, p_retailprice AS amount, p_size AS size FROM {part}"""
 

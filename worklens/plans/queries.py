@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 from worklens.config import DEFAULT, Config
 from worklens.functions import similarity as S
 from worklens.functions import text as T
-from worklens.operators import anomaly, features, finance, linkage, reports, review, risk
+from worklens.operators import anomaly, cleaning, features, finance, linkage, reports, review, risk
 from worklens.operators.similar import most_similar
 from worklens.plans import lenses as L
 from worklens.plans import serving
 from worklens.sources import files
+from worklens.sources.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +134,41 @@ def mp_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(serving.members_items(members).select(*finance.MEMBER, "top_vendor", "top_vendor_share_pct"))
 
 
+# --- extracts ----------------------------------------------------------------------------------------------
+
+_STRIPPED = "regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+_EXTRACT_NAMES = {"work_id": " Work ID ", "work_description": "Work Description", "category": "Category", "mp_name": "MP Name", "constituency": "Constituency", "state": "State ", "house": "House", "amount": "Recommended Amount (₹)", "day": "Recommendation Date", "ida": "IDA", "remarks": "Remarks"}
+_NORM_OF = "trim(regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9\\x{{0900}}-\\x{{097f}}]', ' ', 'g'), ' +', ' ', 'g'))"
+_EXTRACT_SQL = f"""WITH x AS ({L.duck(L.EXTRACT)}),
+t AS (SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS recommendation_index, {', '.join(f"{_STRIPPED.format(c=f'nullif(nullif({c}, {chr(39)}NA{chr(39)}), {chr(39)}N/A{chr(39)})')} AS {c}" for c in ('work_id', 'work_description', 'category', 'mp_name', 'constituency', 'state', 'house', 'ida'))},
+  TRY_CAST(trim(translate(nullif(amount, 'nan'), ',₹', '')) AS DOUBLE) AS recommended_amount, CASE WHEN k % 4 = 1 AND CAST(split_part(day, '/', 1) AS INT) <= 12 THEN strptime(day, '%m/%d/%Y') WHEN k % 4 = 1 THEN strptime(day, '%d/%m/%Y') WHEN k % 4 = 3 THEN NULL ELSE strptime(replace(day, '/', '-'), '%Y-%m-%d') END AS recommendation_date, remarks AS "Remarks" FROM x),
+n AS (SELECT *, {', '.join(f"{_NORM_OF.format(c=c)} AS {stem}_norm" for c, stem in (('mp_name', 'mp'), ('constituency', 'constituency'), ('state', 'state'), ('category', 'category'), ('work_description', 'work'), ('work_id', 'work_id')))} FROM t),
+c AS (SELECT *, trim(regexp_replace(mp_norm, '^(shri|smt|mr|ms|dr)\\.?\\s+', '')) AS mp_canonical, trim(regexp_replace(constituency_norm, '\\s*-?\\s*\\d+\\s*$', '')) AS constituency_canonical FROM n)
+SELECT recommendation_index, work_id, work_description, category, mp_name, constituency, state, house, ida, recommended_amount, recommendation_date, "Remarks", mp_norm, state_norm, category_norm, work_norm, mp_canonical, constituency_canonical,
+  regexp_replace(category_norm, '[^a-z0-9]', '', 'g') AS category_norm_key, regexp_replace(mp_canonical, '[^a-z0-9]', '', 'g') AS mp_canonical_key, regexp_replace(constituency_canonical, '[^a-z0-9]', '', 'g') AS constituency_canonical_key, regexp_replace(work_id_norm, '[^a-z0-9]', '', 'g') AS work_id_key FROM c"""
+_STANDARD = ("recommendation_index", "work_id", "work_description", "category", "mp_name", "constituency", "state", "house", "ida", "recommended_amount", "recommendation_date", "Remarks", "mp_norm", "state_norm", "category_norm", "work_norm", "mp_canonical", "constituency_canonical", "category_norm_key", "mp_canonical_key", "constituency_canonical_key", "work_id_key")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """The recommendations' extract as CSV files, in the order of their keys."""
+    path = scratch(spark, "extract")
+    rows = L.view(spark, sf_dir, L.EXTRACT).orderBy("k").select(*(F.col(c).alias(name) for c, name in _EXTRACT_NAMES.items()))
+    files.write_table(rows, path, "csv")
+    return path
+
+
+@query(_EXTRACT_SQL)
+def standard_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.read_extract(spark, _written(spark, sf_dir), index="recommendation_index")
+    return cleaning.standardised(rows, "recommendations").select(*_STANDARD)
+
+
+@query(f"WITH s AS ({_EXTRACT_SQL}) SELECT recommendation_index, work_id, work_norm, recommended_amount FROM s WHERE recommendation_index < 500")
+def first_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.read_extract(spark, _written(spark, sf_dir), index="recommendation_index", limit=500)
+    return cleaning.standardised(rows, "recommendations").select("recommendation_index", "work_id", "work_norm", "recommended_amount")
+
+
 # --- text and scalar functions -----------------------------------------------------------------------------
 
 _NORM = "trim(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '&', ' and '), '[^a-z0-9\\x{0900}-\\x{097f}]', ' ', 'g'), ' +', ' ', 'g'))"

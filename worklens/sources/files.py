@@ -100,9 +100,10 @@ def numbered(df: DataFrame, index: str, limit: int | None = None) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Write as Parquet, or as CSV with a header, replacing what is there."""
+    """Write as Parquet, or as CSV with a header (white space at the ends of fields kept), replacing what is there."""
     writer = df.write.mode("overwrite")
-    (writer.option("header", True).option("escape", '"').csv(path) if form == "csv" else writer.parquet(path))
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (writer.options(**kept).csv(path) if form == "csv" else writer.parquet(path))
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -36,14 +36,20 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: this cuts the lineage, fixes
     generated ids, and survives the loss of any executor. The shuffle files behind the table go at once, the table
     when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     with _shuffles_freed(spark):
         df.write.option("compression", codec).parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
