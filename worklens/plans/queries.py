@@ -707,11 +707,28 @@ def projects_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RISK} SELECT recommendation_row_id, risk_score, risk_level FROM risk WHERE CAST(recommendation_row_id AS VARCHAR) = (SELECT CAST(min(recommendation_row_id) AS VARCHAR) FROM risk)")
 def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projects = _scored(spark, sf_dir)
-    first = projects.agg(F.min("recommendation_row_id")).first()[0]
+    path = _published(spark, sf_dir)
+    projects = spark.read.parquet(f"{path}/rows")
+    first = projects.agg(F.min("recommendation_row_id")).first()[0]  # from the files' statistics
     return serving.project_detail(projects, first).select("recommendation_row_id", "risk_score", "risk_level")
 
 
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark, "projects")
+    serving.publish_projects(_scored(spark, sf_dir), path)
+    return path
+
+
+@query(f"WITH {_RISK}, p AS (SELECT recommendation_row_id, state, category, risk_score, risk_level, row_number() OVER (ORDER BY risk_score DESC NULLS LAST, recommendation_row_id) AS place FROM risk), s AS (SELECT state FROM risk ORDER BY recommendation_row_id LIMIT 1), f AS (SELECT p.*, count(*) OVER () AS total FROM p JOIN s USING (state) WHERE risk_level = 'LOW') SELECT recommendation_row_id, state, category, risk_score, risk_level, CAST(total AS BIGINT) AS total FROM f ORDER BY place LIMIT 30 OFFSET 30")
+def projects_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _published(spark, sf_dir)
+    state = spark.read.parquet(f"{path}/rows").orderBy("recommendation_row_id").select("state").first()
+    equal = {"risk_level": "LOW", "state": state[0] if state else None}
+    first = serving.published_page(spark, path, page_size=30, **equal)
+    second = serving.published_page(spark, path, first.after if first.after is not None else 1 << 62, 30, **equal)
+    return second.items.select("recommendation_row_id", "state", "category", "risk_score", "risk_level", F.lit(second.total).cast("bigint").alias("total"))
+
+
 @query(f"WITH {_RISK} SELECT recommendation_row_id, risk_score, risk_level FROM risk WHERE risk_level IN ('HIGH', 'MEDIUM') ORDER BY CASE risk_level WHEN 'HIGH' THEN 0 ELSE 1 END, risk_score DESC, recommendation_row_id LIMIT 10")
 def top_risky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.top_risky(_scored(spark, sf_dir)).select("recommendation_row_id", "risk_score", "risk_level")

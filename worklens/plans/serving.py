@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklens.sources.files import numbered
+
 #: The fields of a listed project.
 PAGE_FIELDS = ("recommendation_row_id", "recommendation_work_id", "completion_work_id", "mp_name", "constituency", "state", "category", "recommended_amount", "final_amount", "match_score", "match_tier", "risk_score", "risk_level")
 
@@ -48,9 +50,65 @@ def projects_page(projects: DataFrame, page: int = 1, page_size: int = 50, sort_
     return Page(projects_items(projects, page, page_size, sort_by, order, **equal), filtered(projects, **equal).count(), page, page_size)
 
 
+POSITION = "_position"
+#: Equality filters that a published table has counts for.
+FILTERS = ("risk_level", "state", "category")
+
+
+def publish_projects(projects: DataFrame, path: str, sort_by: str = "risk_score", order: str = "desc", group_bytes: int = 16 << 20, files_of: int = 1_000_000) -> None:
+    """Write projects for reading by page and by id: ordered as :func:`projects_items` orders them, each with its position,
+    so that row groups (of ``group_bytes``) hold ranges of positions; a Bloom filter of the row id in each of them; and,
+    beside them, the number of projects for each combination of FILTERS. About ``files_of`` rows a file."""
+    first = F.asc_nulls_last(sort_by) if order.lower() == "asc" else F.desc_nulls_last(sort_by)
+    rows = numbered(projects.orderBy(first, "recommendation_row_id"), POSITION)
+    n = rows.count()
+    writer = rows.repartitionByRange(-(-n // files_of) or 1, POSITION).sortWithinPartitions(POSITION).write.mode("overwrite")
+    bloom = {"parquet.bloom.filter.enabled#recommendation_row_id": "true", "parquet.bloom.filter.expected.ndv#recommendation_row_id": str(min(max(n, 1), files_of))}
+    writer.options(**bloom, **{"parquet.block.size": str(group_bytes)}).parquet(f"{path}/rows")
+    projects.groupBy(*(c for c in FILTERS if c in projects.columns)).agg(F.count(F.lit(1)).alias("projects")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+@dataclass(frozen=True)
+class CursorPage:
+    """Items after a position; ``after``: the position to go on from, None at the end."""
+
+    items: DataFrame
+    total: int
+    after: int | None
+
+
+def published_page(spark: SparkSession, path: str, after: int = -1, page_size: int = 50, **equal: str | None) -> CursorPage:
+    """The projects of a published table that follow a position (-1: from the start) and pass the filters. Positions are
+    read in ranges, the first of one page's length and each twice as long as the one before, until the page is full, so
+    the cost does not depend on how far the page lies from the start. The total comes from the stored counts."""
+    if not 1 <= page_size <= 1000:
+        raise ValueError("page_size must be within 1 to 1000")
+    rows = filtered(spark.read.parquet(f"{path}/rows"), **equal)
+    counts = spark.read.parquet(f"{path}/counts")
+    whole, total = (c.agg(F.coalesce(F.sum("projects"), F.lit(0))).first()[0] for c in (counts, filtered(counts, **equal)))
+    low, width, found = after, page_size, []
+    while low < whole - 1 and len(found) < page_size and total:
+        within = rows.filter((F.col(POSITION) > low) & (F.col(POSITION) <= low + width))
+        found += [r[0] for r in within.select(POSITION).orderBy(POSITION).limit(page_size - len(found)).collect()]
+        low, width = low + width, 2 * width
+    last = found[-1] if found else after
+    items = rows.filter((F.col(POSITION) > after) & (F.col(POSITION) <= last)).orderBy(POSITION)
+    return CursorPage(items.select(*(c for c in PAGE_FIELDS if c in items.columns)), total, last if len(found) == page_size and last < whole - 1 else None)
+
+
 def project_detail(projects: DataFrame, row_id: str | int) -> DataFrame:
-    """The project of that row id, compared as text; no rows if there is none."""
-    return projects.filter(F.col("recommendation_row_id").cast("string") == str(row_id)).limit(1)
+    """The project of that row id; no rows if there is none. The id is read as the column's type, so that the comparison
+    reaches the files; a text that is not what that type writes names no project."""
+    kind = dict(projects.dtypes)["recommendation_row_id"]
+    text = str(row_id)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        try:
+            fits = str(int(text)) == text and -(1 << 63) <= int(text) < 1 << 63
+        except ValueError:
+            fits = False
+        return projects.filter(F.col("recommendation_row_id") == int(text) if fits else F.lit(False)).limit(1)
+    own = F.col("recommendation_row_id")
+    return projects.filter((own if kind == "string" else own.cast("string")) == text).limit(1)
 
 
 def members_items(members: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
