@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,30 +16,70 @@ KEY = ("review_type", "recommendation_index", "completion_index", "best_candidat
 REASON_VALUES = {"timeline_match_score": "timeline", "description_similarity": "description", "mp_similarity": "mp", "constituency_similarity": "constituency", "state_similarity": "state", "ida_similarity": "ida", "category_similarity": "category", "amount_similarity": "amount", "project_token_overlap": "token_overlap"}
 
 
-def _head(df: DataFrame, order: list[Column], n: int, part: int) -> DataFrame:
-    """The first n rows of an order, numbered. Bounded: n rows reach one task."""
-    first = df.orderBy(*order).limit(n)
-    return first.withColumns({"part": F.lit(part), "turn": F.row_number().over(Window.partitionBy(F.lit(part)).orderBy(*order))})
+def _ascending(column: str) -> Column:
+    return F.struct(F.col(column).isNotNull().alias("given"), F.col(column).cast("double").alias("by"))
+
+
+def _descending(column: str) -> Column:
+    return F.struct(F.col(column).isNull().alias("given"), (-F.col(column).cast("double")).alias("by"))
+
+
+def strata_tops(rows: DataFrame, stratum: str, orders: dict[str, list[tuple[Column, int]]]) -> DataFrame:
+    """(stratum, row: the row's columns, order, place): the first rows of each stratum in each of its orders, which are
+    columns to sort by and how many rows to keep. All strata and orders come from one scan; each task keeps the first
+    rows of its own before anything moves."""
+    kinds = [F.when(F.col(stratum) == value, F.array(*(F.struct(F.lit(i).alias("order"), F.lit(n).alias("most"), key.alias("key")) for i, (key, n) in enumerate(own)))) for value, own in orders.items()]
+    long = rows.select(F.col(stratum).alias("stratum"), F.struct(*rows.columns).alias("row"), F.explode(F.coalesce(*kinds)).alias("by"))
+    place = F.row_number().over(Window.partitionBy("stratum", "by.order").orderBy("by.key"))
+    most = max(n for own in orders.values() for _, n in own)
+    first = long.select("stratum", "row", "by", place.alias("place")).filter(F.col("place") <= most)
+    return first.filter(F.col("place") <= F.col("by.most")).select("stratum", "row", F.col("by.order").alias("order"), "place")
+
+
+def sort_key(first: Column | None = None, second: Column | None = None, code: Column | None = None) -> Column:
+    """What rows are sorted by, in a form that all orders share; recommendation_index decides ties."""
+    nothing = F.struct(F.lit(False).alias("given"), F.lit(0.0).alias("by"))
+    by = [nothing if c is None else c for c in (first, second)]
+    return F.struct(by[0].alias("a"), by[1].alias("b"), (F.lit("").cast("binary") if code is None else code).alias("code"), F.col("recommendation_index").alias("index"))
+
+
+def weakest() -> Column:
+    return sort_key(_ascending("match_score"), _ascending("score_margin"))
+
+
+def strongest() -> Column:
+    return sort_key(_descending("match_score"), _descending("score_margin"))
+
 
+def parts_of(rows: DataFrame, stratum: str, orders: dict[str, list[Column]], takes: tuple[int, ...]) -> DataFrame:
+    """Rows picked part after part in each stratum: the first ``takes[i]`` of its i-th order that the earlier parts left.
+    Adds ``part`` and ``turn`` (from 1). A recommendation has one row.
 
-def parts_of(rows: DataFrame, parts: list[tuple[list[Column], int]]) -> DataFrame:
-    """Rows picked part after part, each part from what the earlier ones left."""
-    picked: list[DataFrame] = []
-    for i, (order, n) in enumerate(parts):
-        left = reduce(lambda df, p: df.join(F.broadcast(p.select("recommendation_index")), "recommendation_index", "left_anti"), picked, rows)
-        picked.append(_head(left, order, n, i))
-    return reduce(DataFrame.unionByName, picked)
+    A part's rows are among the first of its order, as many as it and the parts before it take; so a few rows a stratum,
+    with their places in the orders, decide."""
+    most = [sum(takes[: i + 1]) for i in range(len(takes))]
+    first = strata_tops(rows, stratum, {value: list(zip(keys, most)) for value, keys in orders.items()})
+    places = first.groupBy("stratum", "row.recommendation_index").agg(F.any_value("row").alias("row"), *(F.min(F.when(F.col("order") == i, F.col("place"))).alias(f"place{i}") for i in range(len(takes))))
+    part = F.lit(None).cast("int")
+    for i, n in enumerate(takes):
+        places = places.withColumn("part", part)
+        left = F.when(F.col("part").isNull() & F.col(f"place{i}").isNotNull(), F.col(f"place{i}"))
+        turn = F.row_number().over(Window.partitionBy("stratum").orderBy(left.asc_nulls_last()))
+        places = places.withColumn(f"turn{i}", F.when(left.isNotNull() & (turn <= n), turn))
+        part = F.coalesce("part", F.when(F.col(f"turn{i}").isNotNull(), F.lit(i)))
+    picked = places.withColumn("part", part).filter("part is not null")
+    return picked.select("row.*", "part", F.coalesce(*(f"turn{i}" for i in range(len(takes)))).alias("turn"))
 
 
 def review_picks(matches: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The sampled matches with ``review_id``: per tier 5 by a seeded hash, the 3 weakest and the 2 strongest
     of the rest; of the unmatched 5 by hash, the 3 best and the 2 worst candidates of the rest."""
-    chance = [F.md5(F.concat_ws(":", F.col("recommendation_index").cast("string"), F.lit(str(config.seed))).cast("binary")), F.col("recommendation_index")]
-    low, high = [F.col("match_score"), F.col("score_margin"), F.col("recommendation_index")], [F.desc("match_score"), F.desc("score_margin"), F.col("recommendation_index")]
-    near, far = [F.desc("best_candidate_score"), F.col("recommendation_index")], [F.col("best_candidate_score"), F.col("recommendation_index")]
-    blocks = [parts_of(matches.filter(F.col("match_tier") == tier), parts).withColumn("block", F.lit(b)) for b, (tier, parts) in enumerate((("Tier 1", [(chance, 5), (low, 3), (high, 2)]), ("Tier 2", [(chance, 5), (low, 3), (high, 2)]), ("Unmatched", [(chance, 5), (near, 3), (far, 2)])))]
-    rows = reduce(DataFrame.unionByName, blocks)  # at most 30 rows
-    return rows.withColumn("review_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("block", "part", "turn")).cast("bigint")).drop("block", "part", "turn")
+    chance = sort_key(code=F.md5(F.concat_ws(":", F.col("recommendation_index").cast("string"), F.lit(str(config.seed))).cast("binary")).cast("binary"))
+    near, far = sort_key(_descending("best_candidate_score")), sort_key(_ascending("best_candidate_score"))
+    tiers = {"Tier 1": [chance, weakest(), strongest()], "Tier 2": [chance, weakest(), strongest()], "Unmatched": [chance, near, far]}
+    picked = parts_of(matches, "match_tier", tiers, (5, 3, 2))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.array_position(F.array(*map(F.lit, tiers)), F.col("match_tier")), "part", "turn")  # at most 30 rows
+    return picked.withColumn("review_id", F.row_number().over(order).cast("bigint")).drop("part", "turn")
 
 
 def review_rows(matches: DataFrame, recommendations: DataFrame, completions: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -648,8 +648,7 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CLAIMED}, lo AS (SELECT recommendation_index, match_score, score_margin, 'low' AS part FROM m WHERE match_tier = 'Tier 1' ORDER BY match_score, score_margin, recommendation_index LIMIT 3),
 hi AS (SELECT recommendation_index, match_score, score_margin, 'high' AS part FROM m WHERE match_tier = 'Tier 1' AND recommendation_index NOT IN (SELECT recommendation_index FROM lo) ORDER BY match_score DESC, score_margin DESC, recommendation_index LIMIT 2) SELECT * FROM lo UNION ALL SELECT * FROM hi""")
 def review_borderline_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = [F.col("match_score"), F.col("score_margin"), F.col("recommendation_index")], [F.desc("match_score"), F.desc("score_margin"), F.col("recommendation_index")]
-    picks = review.parts_of(_assigned(spark, sf_dir).filter("match_tier = 'Tier 1'"), [(low, 3), (high, 2)])
+    picks = review.parts_of(_assigned(spark, sf_dir), "match_tier", {"Tier 1": [review.weakest(), review.strongest()]}, (3, 2))
     return picks.select("recommendation_index", "match_score", "score_margin", F.when(F.col("part") == 0, "low").otherwise("high").alias("part"))
 
 
