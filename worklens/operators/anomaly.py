@@ -19,12 +19,12 @@ MODEL_COLUMNS = ("recommended_amount", "final_amount", "positive_amount_differen
 
 def iqr_flags(df: DataFrame, columns: dict[str, str], least: int = 15) -> DataFrame:
     """A flag for each column (as columns[name]): above the third quartile by 1.5 interquartile ranges. No
-    row is flagged where fewer than ``least`` values or no spread exist, or where the value is null."""
+    row is flagged where fewer than ``least`` values or no spread exist, or where the value is null or not a number."""
     joined = df.crossJoin(F.broadcast(quantiles(df, tuple(columns), (0.25, 0.75))))  # one row of statistics
     for c, flag in columns.items():
         low, high = F.col(f"`{c}.q`")[0], F.col(f"`{c}.q`")[1]
         fine = (F.col(f"`{c}.n`") >= least) & (high - low != 0) & (F.abs(high - low) < float("inf"))
-        joined = joined.withColumn(flag, F.coalesce(fine & (F.col(c) > high + 1.5 * (high - low)), F.lit(False)))
+        joined = joined.withColumn(flag, F.coalesce(fine & (F.col(c) > high + 1.5 * (high - low)) & ~F.isnan(F.col(c).cast("double")), F.lit(False)))
     return joined.drop(*(f"{c}.{x}" for c in columns for x in "nq"))
 
 

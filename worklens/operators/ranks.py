@@ -40,8 +40,9 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def melted(df: DataFrame, columns: tuple[str, ...], *kept: Column) -> DataFrame:
-    """A row per row and column: ``kept``, column (its name) and value (a double)."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    """A row per row and column: ``kept``, column (its name) and value (a double; what is not a number is null)."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns))
     return df.select(*kept, F.explode(pairs).alias("_pair")).select("*", "_pair.*").drop("_pair")
 
 

@@ -27,29 +27,62 @@ def rollup_sets(projects: DataFrame) -> DataFrame:
     return sets.agg(level.alias("level"), *_measures())
 
 
+#: Bytes of a value beyond which its SHA-256 stands for it where values are counted.
+LONG = 32
+
+
+def _canonical(column: str, kind: str) -> Column:
+    """A value as text, equal for equal values."""
+    c = F.col(f"`{column}`")
+    if kind in ("double", "float"):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # both zeros are one value
+    if kind == "binary":
+        return F.hex(c)
+    return F.when(c.isNotNull(), F.to_json(F.struct(c))) if kind.startswith(("array", "struct", "map")) else c.cast("string")
+
+
+def _short(value: Column) -> Column:
+    return F.when(F.octet_length(value) > LONG, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(F.concat(F.lit("="), value))
+
+
+def _counted(df: DataFrame, columns: list[tuple[str, str]], rows: bool) -> DataFrame:
+    """(place, n, missing, blank, distinct) of each column, by its place, and of whole rows as place -1.
+
+    Every row gives a pair of place and value for each column. Tasks add up equal pairs before these move, so a frequent
+    value costs a pair a task; the pairs are counted by value and then by column."""
+    values = {c: _canonical(c, kind) for c, kind in columns}
+    blank = lambda c, kind: (F.trim(F.col(f"`{c}`")) == "") if kind == "string" else F.lit(False)
+    pairs = [F.struct(F.lit(i).alias("place"), _short(values[c]).alias("value"), F.coalesce(blank(c, kind), F.lit(False)).alias("blank")) for i, (c, kind) in enumerate(columns)]
+    if rows:
+        whole = F.concat(*(F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for c, kind in df.dtypes for v in [_canonical(c, kind)]))
+        pairs.append(F.struct(F.lit(-1).alias("place"), F.sha2(whole, 256).alias("value"), F.lit(False).alias("blank")))
+    met = df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.place", "p.value").agg(F.count(F.lit(1)).alias("n"), F.bool_or("p.blank").alias("blank"))
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    return met.groupBy("place").agg(F.sum("n").alias("n"), total(F.col("value").isNull()).alias("missing"), total(F.col("blank")).alias("blank"), F.count(F.lit(1)).alias("distinct"))
+
+
 def dataset_summary(frames: dict[str, DataFrame]) -> DataFrame:
     """dataset, rows, columns and duplicate_rows (rows that repeat an earlier one)."""
     parts = []
     for name, df in frames.items():
-        repeats = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-        parts.append(repeats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")).select(F.lit(name).alias("dataset"), "rows", "columns", "duplicate_rows"))
+        n, distinct = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))
+        parts.append(_counted(df, [], True).agg(n.alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"), (n - distinct).alias("duplicate_rows")).select(F.lit(name).alias("dataset"), "rows", "columns", "duplicate_rows"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def quality_report(frames: dict[str, DataFrame]) -> DataFrame:
     """A row per dataset and column: missing, blank_strings, missing_pct (three places), unique_values (null
-    counts as one), dtype, and the dataset's rows, columns and duplicate rows."""
+    counts as one), dtype, and the dataset's rows, columns and duplicate rows. One pass over each dataset."""
     parts = []
     for name, df in frames.items():
         columns = df.dtypes
-        stats = [F.count(F.lit(1)).alias("rows")]
-        for c, kind in columns:
-            blank = F.count_if(F.trim(F.col(c)) == "") if kind == "string" else F.lit(0).cast("bigint")
-            stats += [F.count_if(F.col(c).isNull()).alias(f"{c}.missing"), blank.alias(f"{c}.blank"), F.count_distinct(c).alias(f"{c}.unique")]
-        wide = df.agg(*stats)
-        rows = [F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col(f"`{c}.missing`").alias("missing"), F.col(f"`{c}.blank`").alias("blank_strings"), (F.col(f"`{c}.unique`") + (F.col(f"`{c}.missing`") > 0).cast("bigint")).alias("unique_values")) for c, kind in columns]
-        long = wide.select("rows", F.explode(F.array(*rows)).alias("s")).select(F.lit(name).alias("dataset"), "rows", F.lit(len(columns)).cast("bigint").alias("columns"), "s.*")
-        parts.append(long.withColumn("missing_pct", F.when(F.col("rows") > 0, F.round(F.col("missing") / F.col("rows") * 100, 3)).otherwise(0.0)).join(F.broadcast(dataset_summary({name: df}).select("dataset", F.col("duplicate_rows").alias("duplicate_rows_in_dataset"))), "dataset"))
+        found = _counted(df, columns, True).agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("n", "missing", "blank", "distinct")))).alias("of"))  # a row a column
+        whole = F.col("of")[F.lit(-1)]
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+        rows = [F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), *(zero(F.col("of")[F.lit(i)][field]).alias(out) for field, out in (("missing", "missing"), ("blank", "blank_strings"), ("distinct", "unique_values")))) for i, (c, kind) in enumerate(columns)]
+        long = found.select(zero(whole["n"]).alias("rows"), zero(whole["n"] - whole["distinct"]).alias("duplicate_rows_in_dataset"), F.explode(F.array(*rows)).alias("s"))
+        long = long.select(F.lit(name).alias("dataset"), "rows", F.lit(len(columns)).cast("bigint").alias("columns"), "s.*", "duplicate_rows_in_dataset")
+        parts.append(long.withColumn("missing_pct", F.when(F.col("rows") > 0, F.round(F.col("missing") / F.col("rows") * 100, 3)).otherwise(0.0)))
     return reduce(DataFrame.unionByName, parts)
 
 
