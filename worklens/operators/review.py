@@ -109,6 +109,24 @@ def carried_over(review: DataFrame, previous: DataFrame) -> DataFrame:
     return out.withColumns({"human_verdict": F.coalesce("_verdict", F.lit("")), "human_notes": F.coalesce("_notes", F.lit(""))}).drop("_verdict", "_notes")
 
 
+#: What a reviewer may say.
+VERDICTS = ("ACCEPT", "REJECT", "SKIP")
+
+
+def with_verdicts(review: DataFrame, given: DataFrame) -> DataFrame:
+    """The review rows with the verdicts and notes of ``given`` (review_id, human_verdict, human_notes) in place of their
+    own. Raises ValueError for verdicts other than VERDICTS (in any case), review_ids that no row has, and those given
+    twice."""
+    given = given.select(F.col("review_id").try_cast("bigint").alias("review_id"), F.upper(F.trim("human_verdict")).alias("_verdict"), F.coalesce("human_notes", F.lit("")).alias("_notes"))
+    known = review.select("review_id", F.lit(True).alias("_known")).distinct()
+    wrong = given.join(known, "review_id", "left").withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("review_id")))
+    wrong = wrong.filter(~F.coalesce(F.col("_verdict").isin(*VERDICTS), F.lit(False)) | F.col("_known").isNull() | (F.col("_times") > 1))
+    if rows := wrong.orderBy("review_id").limit(5).collect():
+        raise ValueError("verdicts that cannot be recorded: " + "; ".join(f"review_id {r.review_id}: {r['_verdict']}" for r in rows))
+    out = review.join(given, "review_id", "left")
+    return out.withColumns({"human_verdict": F.coalesce("_verdict", "human_verdict"), "human_notes": F.coalesce("_notes", "human_notes")}).drop("_verdict", "_notes").select(*review.columns)
+
+
 def review_metrics(reviewed: DataFrame) -> DataFrame:
     """Precision of the tiers and recovery among the unmatched, from ACCEPT and REJECT verdicts."""
     verdict = F.upper(F.coalesce("human_verdict", F.lit("")))

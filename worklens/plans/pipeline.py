@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worklens.config import DEFAULT, Config
 from worklens.operators import anomaly, cleaning, features, finance, linkage, reports, review, risk
 from worklens.sources import files
+from worklens.sources.staging import stage
 
 INPUTS = ("recommendations", "completions", "expenditures", "mp_summary")
 
@@ -78,3 +79,16 @@ def missing_outputs(spark: SparkSession, out: str) -> list[str]:
     """Those of a run's outputs that are not there."""
     gone = set(files.missing_inputs(spark, *(f"{out}/{name}" for name in OUTPUTS)))
     return [name for name in OUTPUTS if f"{out}/{name}" in gone]
+
+
+def record_verdicts(spark: SparkSession, out: str, given: DataFrame) -> DataFrame:
+    """Write a reviewer's verdicts (review_id, human_verdict, human_notes) on a run's review sheet to where the next run
+    looks for them, and return the metrics of all that is known. Earlier verdicts stay unless these replace them."""
+    sheet = review.with_verdicts(spark.read.parquet(f"{out}/review/match_review"), given)
+    said = sheet.filter("human_verdict <> ''")
+    verdicts = f"{out}/review/verdicts"
+    if not files.missing_inputs(spark, verdicts):
+        said = said.unionByName(spark.read.parquet(verdicts).join(said.select(*review.KEY), list(review.KEY), "left_anti"), allowMissingColumns=True)
+    said = stage(said, "verdicts")  # what is read above is replaced below
+    files.write_table(said, verdicts)
+    return review.review_metrics(spark.read.parquet(verdicts))
