@@ -105,13 +105,60 @@ def money(text: Column) -> Column:
     return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))$"), bare.try_cast("double"))
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy")
+_MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_DAY, _YEAR, _CUT = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})", "[-/. ]"
+#: Forms of a date, and which group of each is the year, the month and the day (0: there is none).
+DATE_FORMS = (
+    (rf"(\d{{4}}){_CUT}(\d{{1,2}}){_CUT}(\d{{1,2}})", 1, 2, 3),
+    (r"(\d{4})(\d{2})(\d{2})", 1, 2, 3),
+    (rf"(\d{{1,2}}){_CUT}(\d{{1,2}}){_CUT}{_YEAR}", 3, 1, 2),
+    (rf"{_DAY}{_CUT}{{0,2}}(?:of )?{_MONTH}\.?{_CUT}{{0,2}}{_YEAR}", 3, 2, 1),
+    (rf"{_MONTH}\.?{_CUT}?{_DAY}{_CUT}{_YEAR}", 3, 1, 2),
+    (rf"(\d{{4}}){_CUT}?{_MONTH}\.?{_CUT}?{_DAY}", 1, 2, 3),
+    (rf"{_MONTH}\.?{_CUT}?(\d{{4}})", 2, 1, 0),
+    (r"(\d{4})[-/](\d{1,2})", 1, 2, 0),
+    (r"(\d{4})", 1, 0, 0),
+)
+_WEEKDAY = r"^(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\.? "
+_TIME = r"(?:^|[ t])(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)? ?([ap]m|[ap]\.m\.)? ?(z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+
+
+def _stamp(text: Column) -> Column:
+    """The time of a text in lower case with single spaces."""
+    group = lambda source, pattern, i: F.nullif(F.regexp_extract(source, pattern, i), F.lit(""))
+    part = lambda i: group(text, _TIME, i)
+    number = lambda c: c.try_cast("int")
+    timed = text.rlike(_TIME)
+    day = F.trim(F.regexp_replace(F.when(timed, F.regexp_replace(text, _TIME, "")).otherwise(text), _WEEKDAY, ""))
+    hour, half = number(part(1)), F.substring(part(5), 1, 1)
+    hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    second = F.concat(F.coalesce(part(3), F.lit("0")), F.lit("."), F.substring(F.coalesce(part(4), F.lit("0")), 1, 6)).try_cast("decimal(16,6)")
+    zone = F.replace(part(6), F.lit(":"), F.lit(""))
+    ahead = F.when(F.substring(zone, 1, 1).isin("+", "-"), F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (number(F.substring(zone, 2, 2)) * 60 + number(F.substring(zone, 4, 2)))).otherwise(0)
+    months = F.create_map(*(F.lit(x) for i, name in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1) for x in (name, i)))
+    found = []
+    for form, y, m, d in DATE_FORMS:
+        form = f"^{form}$"
+        year = number(group(day, form, y))
+        year = F.when(F.length(group(day, form, y)) > 2, year).otherwise(year + F.when(year < 69, 2000).otherwise(1900))
+        named = F.try_element_at(months, F.substring(group(day, form, m), 1, 3)) if m else F.lit(1)
+        month = F.coalesce(number(group(day, form, m)), named) if m else F.lit(1)
+        date_ = number(group(day, form, d)) if d else F.lit(1)
+        if m and d and "jan" not in form:  # month first, unless only the other can be one
+            month, date_ = F.when(month > 12, date_).otherwise(month), F.when(month > 12, month).otherwise(date_)
+        clock = (F.when(timed, hour).otherwise(0), F.when(timed, number(part(2))).otherwise(0), F.when(timed, second).otherwise(0))
+        found.append(F.when(day.rlike(form), F.struct(year.alias("y"), month.alias("m"), date_.alias("d"), clock[0].alias("h"), clock[1].alias("n"), clock[2].alias("s"))))
+    one = F.coalesce(*found)
+    made = F.element_at(F.transform(F.array(one), lambda x: F.when(x.isNotNull(), F.try_make_timestamp_ntz(x["y"], x["m"], x["d"], x["h"], x["n"], x["s"]))), 1)
+    return made - F.make_dt_interval(F.lit(0), F.lit(0), F.when(timed, F.coalesce(ahead, F.lit(0))).otherwise(0))
 
 
 def date(text: Column) -> Column:
-    """Timestamp without zone, by the first of DATE_FORMATS that fits (month first where both do), or null."""
-    text = F.trim(text.cast("string"))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
+    """Timestamp without zone of a date as people write it, or null: DATE_FORMS with numbers or names of months, after a
+    weekday or not, month first where day and month are both possible, two-digit years from 1969 to 2068, with or without a
+    time of day (of 24 or 12 hours). A time with a zone is given in UTC."""
+    plain = F.regexp_replace(F.lower(F.trim(text.cast("string"))), r"[\s,]+", " ")
+    return F.element_at(F.transform(F.array(plain), _stamp), 1)
 
 
 def one_place(value: Column) -> Column:
