@@ -86,6 +86,19 @@ def test_isolation_forest(spark):
     assert {r.ml_anomaly_score for r in anomaly.isolation_forest(frame.limit(49)).collect()} == {0.0}
 
 
+def test_a_stored_forest_scores_new_rows(spark, tmp_path):
+    frame = spark.createDataFrame([(i, float(i % 7), float(i % 5) if i % 11 else None, float("nan") if i == 3 else 1.0) for i in range(200)] + [(999, 500.0, 90.0, 1.0)], "recommendation_row_id long, recommended_amount double, final_amount double, match_score double")
+    forest = anomaly.fit_forest(frame, trees=40)
+    forest.save(str(tmp_path / "forest"))
+    stored = anomaly.Forest.load(spark, str(tmp_path / "forest"))
+    assert [r.name for r in stored.scale.orderBy("col").collect()] == ["recommended_amount", "final_amount", "match_score"]
+    own = {r.recommendation_row_id: r.ml_anomaly_score for r in anomaly.isolation_forest(frame, trees=40).collect()}
+    assert {r.recommendation_row_id: r.ml_anomaly_score for r in anomaly.forest_flags(frame, stored).collect()} == own
+    new = spark.createDataFrame([(1, 3.0, 2.0, 1.0), (2, 800.0, 95.0, 1.0), (3, None, None, None)], frame.schema)
+    got = {r.recommendation_row_id: r for r in anomaly.forest_flags(new, stored).collect()}
+    assert got[2].ml_anomaly_flag and got[2].ml_anomaly_score > got[1].ml_anomaly_score and len(got) == 3
+
+
 def test_isolation_forest_scores_repeated_keys_row_by_row(spark):
     frame = spark.range(60).selectExpr("id % 30 recommendation_row_id", "cast(id as double) recommended_amount")
     assert anomaly.isolation_forest(frame, trees=5).count() == 60

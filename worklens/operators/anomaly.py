@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, Config
@@ -88,24 +88,75 @@ def _forest_scores(trees: list[list[tuple]], sample: int, x: np.ndarray) -> np.n
     return 2.0 ** -(total / len(trees) / _expected_depth(sample))
 
 
-def isolation_forest(projects: DataFrame, key: str = "recommendation_row_id", trees: int = 300, sample: int = 256, least: int = 50, config: Config = DEFAULT) -> DataFrame:
-    """Adds ml_anomaly_score (isolation score less 0.5) and ml_anomaly_flag (score above 0).
+NODES = "tree int, node int, col int, cut double, l int, r int, drawn int"
+
+
+@dataclass(frozen=True)
+class Forest:
+    """An isolation forest as two tables, which can be stored and read again. nodes: a row a node (``col``: the number of
+    the column it cuts, -1 for a leaf, whose ``cut`` is its depth; l, r: the nodes below and not below the cut; drawn: rows
+    of the tree's sample). scale: a row a column: number, name, what stands for missing values, centre and spread. Both
+    are bounded: by trees and sample rows, and by columns."""
+
+    nodes: DataFrame
+    scale: DataFrame
 
-    Each tree grows from ``sample`` rows drawn by hashes of key, tree and seed, so results depend neither on
+    def save(self, path: str) -> None:
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.scale.write.mode("overwrite").parquet(f"{path}/scale")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forest:
+        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/scale"))
+
+
+def scaling(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(col, name, fill, centre, spread) of the columns: the median of the finite values, or 0 without one, then the median
+    and the interquartile range (1 where it is 0) of the filled ones."""
+    numbers = df.select(*(F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in columns))
+    numbers = stage(numbers, "numbers")
+    fills = stage(quantiles(numbers, columns, (0.5,)).select(*(F.coalesce(F.col(f"`{c}.q`")[0], F.lit(0.0)).alias(c) for c in columns)), "fills")
+    filled = numbers.crossJoin(F.broadcast(fills.select(*(F.col(c).alias(f"_fill_{c}") for c in columns)))).select(*(F.coalesce(c, f"_fill_{c}").alias(c) for c in columns))
+    q = {c: F.col(f"`{c}.q`") for c in columns}
+    row = quantiles(filled, columns, (0.25, 0.5, 0.75)).crossJoin(F.broadcast(fills))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.lit(c).alias("name"), F.col(c).alias("fill"), q[c][1].alias("centre"), F.when(q[c][2] == q[c][0], 1.0).otherwise(q[c][2] - q[c][0]).alias("spread")) for i, c in enumerate(columns)))).alias("s")).select("s.*")
+
+
+def _scaled(df: DataFrame, scale: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds the scaled columns of a forest's scale (a row a column), in its order."""
+    rows = scale.orderBy("col").collect()
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    names = [f"_x_{r.name}" for r in rows]
+    return df.withColumns({n: (F.coalesce(number(r.name), F.lit(r.fill)) - r.centre) / r.spread for n, r in zip(names, rows)}), names
+
+
+def isolation(rows: DataFrame, nodes: DataFrame, features: list[str], name: str) -> DataFrame:
+    """Adds the isolation score (0 to 1) of rows, whose ``features`` are the columns that the nodes count. The nodes, which
+    a forest bounds, are handed to all tasks."""
+    grown: dict[int, list] = {}
+    size = 1
+    for n in nodes.orderBy("tree", "node").collect():
+        grown.setdefault(n.tree, []).append((n.col, n.cut, n.l, n.r))
+        size = max(size, n.drawn)
+    shared = rows.sparkSession.sparkContext.broadcast(list(grown.values()))
+
+    @F.pandas_udf("double")
+    def isolated(*cols: pd.Series) -> pd.Series:
+        return pd.Series(_forest_scores(shared.value, size, np.column_stack([c.to_numpy(float) for c in cols])))
+
+    return rows.withColumn(name, isolated(*features))
+
+
+def fit_forest(projects: DataFrame, key: str = "recommendation_row_id", trees: int = 300, sample: int = 256, config: Config = DEFAULT) -> Forest:
+    """Each tree grows from ``sample`` rows drawn by hashes of key, tree and seed, so results depend neither on
     order nor on partitions. The trees draw from one pool, about as large as all samples together, so that most
-    rows of a large table are passed over by a single hash. A forest is bounded: trees times sample rows at most.
-    Fewer than ``least`` rows: score 0, no flag. Rows of one key are drawn together and scored one by one."""
-    columns = [c for c in MODEL_COLUMNS if c in projects.columns]
-    projects = stage(projects, "projects")  # read for the statistics, the samples and the scores
+    rows of a large table are passed over by a single hash. Rows of one key are drawn together."""
+    columns = tuple(c for c in MODEL_COLUMNS if c in projects.columns)
     n = projects.count()
-    if n < least or not columns:
-        return projects.withColumns({"ml_anomaly_score": F.lit(0.0), "ml_anomaly_flag": F.lit(False)})
-    features = tuple(f"_x_{c}" for c in columns)
-    copies = projects.withColumns({x: F.col(c) for x, c in zip(features, columns)})
-    filled = stage(imputed(copies, features), "imputed")
-    model = robust_scaled(filled, features)
+    scale = stage(scaling(projects, columns), "scale")
+    model, features = _scaled(projects, scale)
     # a row enters a tree's sample with a chance somewhat above sample / n: first the pool, then the tree
-    chance = min(1.0, (sample + 8 * sample**0.5) / n)
+    chance = min(1.0, (sample + 8 * sample**0.5) / max(n, 1))
     pool = min(1.0, chance * trees)
     share = lambda *salt: F.pmod(F.xxhash64(key, *salt, F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
     drawn = model.select(key, *features).filter(share(F.lit("pool")) < pool)
@@ -114,18 +165,25 @@ def isolation_forest(projects: DataFrame, key: str = "recommendation_row_id", tr
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", key, *features]).head(sample)
         t = int(rows["tree"].iloc[0])
-        nodes = grown_tree(rows[list(features)].to_numpy(float), np.random.default_rng([config.seed, t]))
-        c, cut, left, right = map(list, zip(*nodes))
-        return pd.DataFrame({"tree": [t], "size": [len(rows)], "c": [c], "cut": [cut], "l": [left], "r": [right]})
+        nodes = grown_tree(rows[features].to_numpy(float), np.random.default_rng([config.seed, t]))
+        out = pd.DataFrame(nodes, columns=["col", "cut", "l", "r"])
+        return out.assign(tree=t, node=range(len(out)), drawn=len(rows))[["tree", "node", "col", "cut", "l", "r", "drawn"]]
 
-    grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, size int, c array<int>, cut array<double>, l array<int>, r array<int>").collect()
-    forest = [list(zip(g["c"], g["cut"], g["l"], g["r"])) for g in sorted(grown, key=lambda g: g["tree"])]
-    size = max(g["size"] for g in grown)
-    shared = projects.sparkSession.sparkContext.broadcast(forest)
+    return Forest(stage(drawn.groupBy("tree").applyInPandas(grow, NODES), "nodes"), scale)
 
-    @F.pandas_udf("double")
-    def isolated(*cols: pd.Series) -> pd.Series:
-        return pd.Series(_forest_scores(shared.value, size, np.column_stack([c.to_numpy(float) for c in cols])))
 
-    scored = model.withColumn("ml_anomaly_score", F.round(isolated(*features) - 0.5, 4))
+def forest_flags(projects: DataFrame, forest: Forest) -> DataFrame:
+    """Adds ml_anomaly_score (isolation score less 0.5) and ml_anomaly_flag (score above 0) by a forest, grown from these
+    rows or others."""
+    model, features = _scaled(projects, forest.scale)
+    scored = isolation(model, forest.nodes, features, "ml_anomaly_score").withColumn("ml_anomaly_score", F.round(F.col("ml_anomaly_score") - 0.5, 4))
     return scored.withColumn("ml_anomaly_flag", F.col("ml_anomaly_score") > 0).drop(*features)
+
+
+def isolation_forest(projects: DataFrame, key: str = "recommendation_row_id", trees: int = 300, sample: int = 256, least: int = 50, config: Config = DEFAULT) -> DataFrame:
+    """The flags of a forest that the rows themselves grow, see :func:`fit_forest`. Fewer than ``least`` rows: score 0, no
+    flag. Rows of one key are scored one by one."""
+    projects = stage(projects, "projects")  # read for the statistics, the samples and the scores
+    if projects.count() < least or not any(c in projects.columns for c in MODEL_COLUMNS):
+        return projects.withColumns({"ml_anomaly_score": F.lit(0.0), "ml_anomaly_flag": F.lit(False)})
+    return forest_flags(projects, fit_forest(projects, key, trees, sample, config))

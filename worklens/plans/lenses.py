@@ -78,6 +78,13 @@ SELECT o_orderkey AS k, 'W-' || CAST(o_orderkey AS STRING) AS work_id,
   CASE o_orderkey % 4 WHEN 0 THEN {_ISO} WHEN 1 THEN substr({_ISO}, 9, 2) || '/' || substr({_ISO}, 6, 2) || '/' || substr({_ISO}, 1, 4) WHEN 2 THEN replace({_ISO}, '-', '/') ELSE 'soon' END AS day, 'agency ' || CAST(c_custkey % 6 AS STRING) AS ida, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS remarks
 FROM {{orders}} {_PLACES}"""
 
+#: Ten trees of four levels of cuts, by rule, and the four columns that they cut.
+TREES = """
+SELECT CAST(floor(id / 31) AS INT) AS tree, CAST(id % 31 AS INT) AS node, CAST(CASE WHEN id % 31 < 15 THEN (floor(id / 31) + id % 31 * 3) % 4 ELSE -1 END AS INT) AS col,
+  CAST(CASE WHEN id % 31 < 15 THEN (floor(id / 31) * 37 + id % 31 * 53) % 101 / 25e0 - 2e0 ELSE 4e0 + (floor(id / 31) * 7 + id % 31 * 5) % 10 / 10e0 END AS DOUBLE) AS cut,
+  CAST(CASE WHEN id % 31 < 15 THEN id % 31 * 2 + 1 ELSE 0 END AS INT) AS l, CAST(CASE WHEN id % 31 < 15 THEN id % 31 * 2 + 2 ELSE 0 END AS INT) AS r, 256 AS drawn FROM range(310) AS t(id)"""
+CUT_COLUMNS = f"SELECT recommendation_row_id AS id, amount_difference_pct / 100e0 AS x0, days_to_completion / 300e0 - 1e0 AS x1, match_score / 25e0 - 2e0 AS x2, score_margin / 5e0 - 2e0 AS x3 FROM ({PROJECTS}) q"
+
 PARTS = """
 SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS work_description, p_brand AS entity, p_retailprice AS amount, p_size AS size FROM {part}"""
 

@@ -567,6 +567,15 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.isolation_forest(_peers(spark, sf_dir)).select("recommendation_row_id", "ml_anomaly_score", "ml_anomaly_flag")
 
 
+_STEP = ", ".join(f"s{i + 1} AS (SELECT s.*  EXCLUDE (node), CASE WHEN (CASE n.col WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END) < n.cut THEN n.l ELSE n.r END AS node FROM s{i} s JOIN n ON s.tree = n.tree AND s.node = n.node)" for i in range(4))
+
+
+@query(f"WITH n AS ({L.duck(L.TREES)}), x AS ({L.duck(L.CUT_COLUMNS)}), s0 AS (SELECT x.*, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM n)), {_STEP} SELECT id, round(power(2.0, -(avg(n.cut) / {anomaly._expected_depth(256)!r})), 9) AS isolation FROM s4 JOIN n ON s4.tree = n.tree AND s4.node = n.node GROUP BY id")
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anomaly.isolation(L.view(spark, sf_dir, L.CUT_COLUMNS), spark.sql(L.TREES), ["x0", "x1", "x2", "x3"], "isolation")
+    return rows.select("id", F.round("isolation", 9).alias("isolation"))
+
+
 @query(f"WITH {_RISK} SELECT recommendation_row_id, risk_score, risk_level FROM risk")
 def project_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("recommendation_row_id", "risk_score", "risk_level")
