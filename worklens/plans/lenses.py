@@ -85,6 +85,13 @@ SELECT CAST(floor(id / 31) AS INT) AS tree, CAST(id % 31 AS INT) AS node, CAST(C
   CAST(CASE WHEN id % 31 < 15 THEN id % 31 * 2 + 1 ELSE 0 END AS INT) AS l, CAST(CASE WHEN id % 31 < 15 THEN id % 31 * 2 + 2 ELSE 0 END AS INT) AS r, 256 AS drawn FROM range(310) AS t(id)"""
 CUT_COLUMNS = f"SELECT recommendation_row_id AS id, amount_difference_pct / 100e0 AS x0, days_to_completion / 300e0 - 1e0 AS x1, match_score / 25e0 - 2e0 AS x2, score_margin / 5e0 - 2e0 AS x3 FROM ({PROJECTS}) q"
 
+#: Every combination of rules that raise a project's risk, with every tier, none included.
+RISKS = """
+SELECT o_orderkey AS recommendation_row_id, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey * 7 % 240 AS DOUBLE) / 4e0 END AS positive_amount_difference_pct, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey * 11 % 700 AS DOUBLE) END AS days_to_completion,
+  CASE WHEN o_orderkey % 3 > 0 THEN 90e0 + CAST(o_orderkey * 13 % 40 AS DOUBLE) / 4e0 END AS cost_percentile, 91e0 + CAST(o_orderkey * 17 % 36 AS DOUBLE) / 4e0 AS duration_percentile, CAST(o_orderkey * 19 % 25 AS DOUBLE) / 8e0 AS duration_ratio_to_peer_median,
+  CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 2 = 0 END AS amount_difference_pct_iqr_flag, o_orderkey % 3 = 0 AS days_to_completion_iqr_flag, CASE WHEN o_orderkey % 13 > 0 THEN o_custkey % 2 = 0 END AS ml_anomaly_flag, CASE WHEN o_orderkey % 17 > 0 THEN o_custkey % 3 > 0 END AS has_images,
+  CASE o_custkey % 4 WHEN 0 THEN 'Tier 1' WHEN 1 THEN 'Tier 2' WHEN 2 THEN 'Unmatched' END AS match_tier FROM {orders}"""
+
 PARTS = """
 SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS work_description, p_brand AS entity, p_retailprice AS amount, p_size AS size FROM {part}"""
 

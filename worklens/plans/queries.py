@@ -589,6 +589,16 @@ _REASONS = f"""concat_ws(' | ', CASE WHEN positive_amount_difference_pct >= 25 T
   CASE WHEN match_tier = 'Tier 2' THEN 'Project evidence comes from a provisional Tier 2 linkage' END)"""
 
 
+_ALL_REASONS = f"""concat_ws(' | ', nullif({_REASONS.replace("CASE WHEN has_images = false", "CASE WHEN ml_anomaly_flag THEN 'Isolation Forest detected an unusual multi-feature profile' END, CASE WHEN has_images = false")}, ''), CASE WHEN coalesce(match_tier, 'Unmatched') = 'Unmatched' THEN 'Project linkage is not verified' END)"""
+_RULES = """(CASE WHEN positive_amount_difference_pct >= 50 THEN 18 WHEN positive_amount_difference_pct >= 25 THEN 10 ELSE 0 END + CASE WHEN amount_difference_pct_iqr_flag THEN 8 ELSE 0 END + CASE WHEN cost_percentile >= 95 THEN 12 ELSE 0 END + CASE WHEN days_to_completion >= 540 THEN 14 WHEN days_to_completion >= 360 THEN 8 ELSE 0 END + CASE WHEN days_to_completion_iqr_flag THEN 7 ELSE 0 END
+  + CASE WHEN duration_percentile >= 95 THEN 10 ELSE 0 END + CASE WHEN duration_ratio_to_peer_median >= 2 THEN 8 ELSE 0 END + CASE WHEN ml_anomaly_flag THEN 15 ELSE 0 END + CASE WHEN has_images = false THEN 12 ELSE 0 END)"""
+
+
+@query(f"WITH d AS ({L.duck(L.RISKS)}), s AS (SELECT *, least(100e0, {_RULES} * CASE coalesce(match_tier, 'Unmatched') WHEN 'Tier 2' THEN 0.85e0 WHEN 'Unmatched' THEN 0.6e0 ELSE 1e0 END) AS points, {_ALL_REASONS} AS reasons FROM d) SELECT recommendation_row_id, round(points, 2) AS risk_score, CASE WHEN points >= 70 THEN 'HIGH' WHEN points >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN reasons = '' THEN 'No strong project-level anomaly indicators triggered' ELSE reasons END AS risk_reasons FROM s")
+def project_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.project_risk(L.view(spark, sf_dir, L.RISKS)).select("recommendation_row_id", "risk_score", "risk_level", "risk_reasons")
+
+
 @query(f"WITH {_RISK} SELECT recommendation_row_id, CASE WHEN {_REASONS} = '' THEN 'No strong project-level anomaly indicators triggered' ELSE {_REASONS} END AS risk_reasons FROM risk")
 def project_risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("recommendation_row_id", "risk_reasons")
