@@ -10,11 +10,17 @@ ranges of the original text; inside a compressed payload the range is the whole
 
 Defined results: null text counts as empty (no spans, hash of the empty string); a null doc_id is
 passed through; repeated rows are scanned and returned row by row; an empty table gives an empty
-result; other columns are ignored by :func:`scan` and kept by :func:`redact`. Base64 runs are decoded at
-their four alignments and across line ends; decoded bytes are scanned whole, printable or not (``n_layers``
-counts the readable ones), and searched for compressed payloads, of which all members are read. Content
-beyond ``max_inflate`` bytes is scanned in overlapping parts. Payloads of such content, and those that
-cannot be read to their end, count in ``n_oversize``; the latter :func:`redact` masks as a whole.
+result; other columns are ignored by :func:`scan` and kept by :func:`redact`. Base64 runs of 16 characters
+or more (less holds no secret), in one line or joined from lines of any length, are decoded at their four
+alignments; decoded bytes are scanned whole, printable or not (``n_layers`` counts those that are UTF-8 with
+at most a tenth of control characters), and searched for compressed payloads, of which all members are read.
+Payloads written as percent or backslash escapes, with plain characters between, are unpacked as well: their
+range goes from the first to the last character of the payload, or of the escapes where its end is not found.
+Backslash escapes are read with the short ones of string literals, and without. Runs of eight or more characters that alternate with NUL are read as UTF-16, in both byte orders where their
+ends tell neither. Content beyond ``max_inflate`` bytes is scanned
+in overlapping parts. Payloads of such content, and those that cannot be read to their end, count in
+``n_oversize``; the latter :func:`redact` masks as a whole: they are cut short (zlib, whose mark is weak, from
+64 bytes on), broken, or ask for more than 256 MB (xz) or a window of more than 128 MB (zstd).
 """
 
 from __future__ import annotations
@@ -22,11 +28,10 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
-import io
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ KINDS = ("assign", "access", "hex")
 MAX_INFLATE = 32 << 20
 #: Bytes that are inflated at once, and the memory an xz payload may ask for.
 PIECE = 1 << 18
+#: As little as makes a few blocks of zstd, which inflate to 128 KB each.
+ZSTD_PIECE = 128
 MEMORY = 256 << 20
 
 # The patterns of the three kinds of secrets.
@@ -48,12 +55,27 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})")
+BACKSLASH_BYTE = re.compile(r"""\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"/])""")
+SHORT_ESCAPES = dict(zip("abfnrtv0\\'\"/", b"\a\b\f\n\r\t\v\0\\'\"/"))
+SHORT = re.compile(r"""\\[abfnrtv0\\'"/]""")
+BACKSLASH = re.compile(f"(?:{BACKSLASH_BYTE.pattern})+")
+UTF16 = re.compile(r"\x00?(?:[^\x00\xfe\xff]\x00){8,}[^\x00\xfe\xff]?")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+#: Lines of a run wrapped at less than 16 characters, but for the first.
+SHORT_LINES = re.compile(r"\n[\x20\t]*[A-Za-z0-9+/_-]{1,15}+(?![A-Za-z0-9+/_-])(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{1,15}+(?![A-Za-z0-9+/_-]))*+={0,2}")
+SHORT_FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}\r?\Z")
+SHORTEST = 16
+#: A payload whose end is not found ends at the last escape before more than GAP characters of which one in PROSE or
+#: more is white space.
+GAP, PROSE = 32, 12
+SPACE = re.compile(r"\s")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 ZSTD = b"\x28\xb5\x2f\xfd"
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
 #: Bytes without any of these hold no secret and no encoding; runs of INSIDE bytes contain every match of the patterns.
-OF_NOTE = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{16}")
+OF_NOTE = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{16}|(?:[^\x00]\x00){8}|[a-z0-9+/_-]{1,15}\r?\n[\x20\t]*[a-z0-9+/_-]")
 INSIDE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}\r\n\t"
 TO_STANDARD = str.maketrans("-_", "+/")
 
@@ -80,10 +102,11 @@ class Report:
 
 class Inflated:
     """The content of the compressed payload that begins at an offset, through all its members, by pieces.
-    ``end``: where it ends; ``whole``: it was read to its end; ``sure``: it is compressed beyond doubt."""
+    ``end``: where it ends; ``whole``: it was read to its end; ``sure``: it is compressed beyond doubt; ``cut``: the
+    data end before it does."""
 
     def __init__(self, data: bytes, at: int):
-        self.data, self.end, self.whole, self.sure = data, at, False, data[at : at + 1] != b"x"
+        self.data, self.end, self.whole, self.sure, self.cut = data, at, False, data[at : at + 1] != b"x", False
 
     def __iter__(self) -> Iterator[bytes]:
         try:
@@ -97,11 +120,17 @@ class Inflated:
     def _frames(self) -> Iterator[bytes]:
         import zstandard
 
-        source = io.BytesIO(memoryview(self.data)[self.end :])
-        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(source, read_across_frames=True) as src:
-            while piece := src.read(PIECE):
-                yield piece
-        self.whole = True
+        while self.data.startswith(ZSTD, self.end):
+            job = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+            self.whole, at = False, self.end
+            while not job.eof and at < len(self.data):
+                fed = self.data[at : at + ZSTD_PIECE]
+                at += len(fed)
+                yield job.decompress(fed)
+            if not job.eof:
+                self.cut = True
+                return
+            self.whole, self.end = True, at - len(job.unused_data)
 
     def _members(self) -> Iterator[bytes]:
         kind = self.data[self.end : self.end + 1]
@@ -119,6 +148,7 @@ class Inflated:
                     while not job.eof and not job.needs_input:
                         yield job.decompress(b"", PIECE)
             if not job.eof:
+                self.cut = at - self.end >= 64
                 return
             self.whole, self.end = True, at - len(job.unused_data)
             while kind == b"\xfd" and self.data.startswith(bytes(4), self.end):  # padding between streams
@@ -126,24 +156,25 @@ class Inflated:
 
 
 def _readable(data: bytes) -> bool:
-    """UTF-8 text that is mostly printable: what ``n_layers`` counts. Other layers are scanned as well."""
+    """UTF-8 text with few control characters: what ``n_layers`` counts. Other layers are scanned as well."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    odd = sum(not c.isprintable() and c not in "\n\r\t" for c in text[:4096])
-    return bool(text) and odd * 10 <= min(len(text), 4096)
+    return bool(text) and sum(1 for _ in CONTROL.finditer(text)) * 10 <= len(text)
 
 
 class Layer:
     """A decoded text; starts/ends: the original code point range behind each character; whole: one range behind
     all of them (neither: the text itself). data: the bytes that the text shows as Latin-1, if it was decoded,
-    and run: the range of the encoded run that they come from."""
+    and run: the range of the encoded run that they come from. literal: short escapes (as in "\\n") stand for
+    themselves from here on."""
 
-    __slots__ = ("text", "starts", "ends", "whole", "data", "run", "counts")
+    __slots__ = ("text", "starts", "ends", "whole", "data", "run", "counts", "literal")
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple | None = None, data: bytes | None = None, run: tuple | None = None, counts: bool = True):
         self.text, self.starts, self.ends, self.whole, self.data, self.run, self.counts = text, starts, ends, whole, data, run or whole, counts
+        self.literal = False
 
     def root(self, a: int, b: int) -> tuple[int, int]:
         if self.whole is not None:
@@ -197,8 +228,8 @@ def _percent(m: re.Match) -> list:
     return out
 
 
-def _unicode(m: re.Match) -> list:
-    units = [(int(next(g for g in e.groups() if g), 16), m.start() + e.start(), m.start() + e.end()) for e in ESCAPE.finditer(m[0])]
+def _unicode(m: re.Match, escape: re.Pattern = ESCAPE) -> list:
+    units = [(SHORT_ESCAPES[e[5]] if e.lastindex == 5 else int(e[e.lastindex], 16), m.start() + e.start(), m.start() + e.end()) for e in escape.finditer(m[0])]
     out, i = [], 0
     while i < len(units):
         code, a, b = units[i]
@@ -211,12 +242,36 @@ def _unicode(m: re.Match) -> list:
     return out
 
 
+def _utf16(m: re.Match, big: bool) -> list:
+    """The run in one byte order, or as it is where its ends speak for the other one."""
+    first, final = m[0][0] == "\0", m[0][-1] == "\0"
+    if first != final and big != first:
+        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
+    begin = int(first != big)
+    end = begin + (len(m[0]) - begin) // 2 * 2
+    pairs = [(m[0][i + big], m.start() + i, m.start() + i + 2) for i in range(begin, end, 2)]
+    head = [(m[0][0], m.start(), m.start() + 1)] if begin else []
+    return head + pairs + ([(m[0][-1], m.end() - 1, m.end())] if end < len(m[0]) else [])
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where base64 runs begin and end: those with a first line of 16 characters, and those of shorter lines."""
+    for m in BASE64.finditer(text):
+        yield m.span()
+    if "\n" in text:
+        for m in SHORT_LINES.finditer(text):
+            if before := SHORT_FIRST.search(text[max(0, m.start() - 17) : m.start()]):
+                yield m.start() - len(before[0]), m.end()
+
+
 def _blobs(layer: Layer) -> Iterator[Layer]:
     """The bytes of the base64 runs of a layer, each run at its four alignments, as it may follow other text."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
+    for begin, end in _runs(layer.text):
+        run = layer.text[begin:end].rstrip("=")
         broken = "\n" in run
         tight = "".join(run.split()) if broken else run
+        if len(tight) < SHORTEST:
+            continue
         tight = tight.translate(TO_STANDARD)
         for skip in range(4):
             n = len(tight) - skip
@@ -228,7 +283,7 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
             if layer.whole is not None:
                 yield Layer(data.decode("latin-1"), whole=layer.whole, data=data, counts=counts)
                 continue
-            where = np.arange(m.start(), m.start() + len(run))
+            where = np.arange(begin, begin + len(run))
             if broken:
                 where = where[[not c.isspace() for c in run]]
             first = np.arange(len(data)) * 4 // 3 + skip
@@ -238,28 +293,88 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
                 first, final = layer.starts[first], layer.ends[final]
             else:
                 final = final + 1
-            yield Layer(data.decode("latin-1"), first, final, data=data, run=layer.root(m.start(), m.end()), counts=counts)
+            yield Layer(data.decode("latin-1"), first, final, data=data, run=layer.root(begin, end), counts=counts)
+
+
+def _byte(m: re.Match) -> str:
+    """The byte that an escape stands for, as a character; a question mark for what is none."""
+    if m.lastindex == 5:
+        return chr(SHORT_ESCAPES[m[5]])
+    code = int(m[m.lastindex], 16)
+    return chr(code) if code < 256 else "?"
 
 
-def _unpacked(layer: Layer, limit: int, report: Report) -> Iterator[Layer]:
+class Escapes:
+    """The escapes of a text that stand for bytes: where each begins and ends, and the place of its byte."""
+
+    def __init__(self, text: str, pattern: re.Pattern):
+        self.text = text
+        spans = np.fromiter((p for m in pattern.finditer(text) for p in m.span()), np.int64).reshape(-1, 2)
+        self.begins, self.ends = spans[:, 0], spans[:, 1]
+        self.shorter = np.concatenate([[0], np.cumsum(self.ends - self.begins - 1)])
+        self.bytes = self.begins - self.shorter[:-1]
+
+    def origin(self, at: int) -> int:
+        """Where the character or escape begins that gives the byte at a place."""
+        return at + int(self.shorter[np.searchsorted(self.bytes, at)])
+
+    def near(self, at: int, length: int) -> bool:
+        i = np.searchsorted(self.bytes, at)
+        return bool(i < len(self.bytes) and self.bytes[i] < at + length)
+
+    def chain(self, at: int) -> int:
+        """The end of the last escape, from the one at or after the byte at a place, before plain text (see
+        GAP)."""
+        i = int(np.searchsorted(self.bytes, at))
+        for gap in i + np.flatnonzero(self.begins[i + 1 :] - self.ends[i:-1] > GAP):
+            plain = self.text[self.ends[gap] : self.begins[gap + 1]]
+            if len(SPACE.findall(plain)) * PROSE >= len(plain):
+                return int(self.ends[gap])
+        return int(self.ends[-1])
+
+
+def _packed_escapes(layer: Layer, pattern: re.Pattern, limit: int, report: Report) -> Iterator[Layer]:
+    """The content of the compressed payloads that stand as escapes in a layer's text."""
+    data = pattern.sub(_byte, layer.text).encode("latin-1", "replace")
+    if not PACKED.search(data):
+        return
+    escapes = Escapes(layer.text, pattern)
+
+    def place(at: int) -> tuple[int, int] | None:
+        if not escapes.near(at, 2 if data[at : at + 1] == b"x" else 64):
+            return None
+        source = Inflated(data, at)
+        for _ in source:
+            pass
+        return layer.root(escapes.origin(at), escapes.origin(source.end) if source.whole else max(escapes.chain(at), escapes.origin(at + 1)))
+
+    yield from _unpacked(data, place, True, limit, report)
+
+
+def _unpacked(data: bytes, place: Callable[[int], tuple], inner: bool, limit: int, report: Report) -> Iterator[Layer]:
     """The content of the compressed payloads in a layer's bytes, wherever they begin. Content beyond ``limit``
-    bytes comes in parts, which overlap from the last character that no secret and no encoding contains."""
-    data, whole, at = layer.data, layer.run, 0
+    bytes comes in parts, which overlap from the last character that no secret and no encoding contains. ``place``:
+    the original range of the payload that begins at an offset, or None where there is none; ``inner``: a payload of
+    zlib that breaks off counts as one."""
+    at = 0
     while m := PACKED.search(data, at):
+        if (whole := place(m.start())) is None:
+            at = m.start() + 2
+            continue
         source, held, got, big, unread = Inflated(data, m.start()), bytearray(), False, False, False
         for piece in source:
             held += piece
             got = got or bool(piece)
             if len(held) > limit:
                 big = True
-                yield Layer(held.decode("latin-1"), whole=whole, data=bytes(held), counts=_readable(bytes(held[:4096])))
+                yield Layer(held.decode("latin-1"), whole=whole, data=bytes(held), counts=_readable(bytes(held)))
                 cut = len(held.rstrip(INSIDE))
                 if len(held) - cut > limit // 2:
                     cut, unread = len(held) - limit // 2, True
                 del held[:cut]
         if held:
             yield Layer(held.decode("latin-1"), whole=whole, data=bytes(held), counts=_readable(bytes(held)))
-        if not source.whole and (source.sure or got and layer.whole is not None):
+        if not source.whole and (source.sure or source.cut or got and inner):
             unread = True
         if unread:
             report.unread.add(whole)
@@ -270,11 +385,20 @@ def _unpacked(layer: Layer, limit: int, report: Report) -> Iterator[Layer]:
 def _deeper(layer: Layer, limit: int, report: Report) -> Iterator[Layer]:
     if "%" in layer.text and (found := _spliced(layer, PERCENT, _percent)):
         yield found
+        yield from _packed_escapes(layer, PERCENT_BYTE, limit, report)
     if "\\" in layer.text and (found := _spliced(layer, UNICODE, _unicode)):
+        found.literal = True
+        yield found
+        yield from _packed_escapes(layer, BACKSLASH_BYTE, limit, report)
+    if "\\" in layer.text and not layer.literal and SHORT.search(layer.text) and (found := _spliced(layer, BACKSLASH, lambda m: _unicode(m, BACKSLASH_BYTE))):
         yield found
+    if "\0" in layer.text:
+        for big in (False, True):
+            if found := _spliced(layer, UTF16, lambda m, big=big: _utf16(m, big)):
+                yield found
     yield from _blobs(layer)
     if layer.data is not None:
-        yield from _unpacked(layer, limit, report)
+        yield from _unpacked(layer.data, lambda at: layer.run, layer.whole is not None, limit, report)
 
 
 def _scanned(text: str | None, max_inflate: int) -> tuple[list, list, int, Report]:
