@@ -201,10 +201,9 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         parts.append(layer.text[last : m.start()])
         starts.append(own_s[last : m.start()])
         ends.append(own_e[last : m.start()])
-        for text, a, b in pieces:
-            parts.append(text)
-            starts.append(np.full(len(text), own_s[a:b].min()))
-            ends.append(np.full(len(text), own_e[a:b].max()))
+        parts += [text for text, _, _ in pieces]
+        starts.append(own_s[np.array([a for text, a, _ in pieces for _ in text], np.int64)])  # places only grow along a layer
+        ends.append(own_e[np.array([b - 1 for text, _, b in pieces for _ in text], np.int64)])
         last = m.end()
     if not changed:
         return None
