@@ -3,15 +3,17 @@
 import datetime as dt
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from worklens.config import DEFAULT
 from worklens.functions import text as T
 from worklens.operators import anomaly, cleaning, features, finance, ranks, reports, review, risk
 from worklens.plans import pipeline, serving
-from worklens.sources import files
+from worklens.sources import files, runs
 
 
 def values(spark, function, cases, kind="string"):
@@ -187,10 +189,15 @@ def test_whole_run(spark, tmp_path):
     summary = pipeline.run_pipeline(spark, paths, out)
     assert (summary["recommendations"], summary["projects"], summary["members"]) == (6, 5, 1)
     assert pipeline.missing_outputs(spark, out) == []
-    project = spark.read.parquet(f"{out}/project_risk_scores").first()
+    project = runs.table(spark, out, "project_risk_scores").first()
     assert project.amount_difference_pct == 50.0 and project.has_images is False and project.risk_score > 0
-    assert json.loads((tmp_path / "out" / "pipeline_summary.json").read_text())["tier1_matches"] == summary["tier1_matches"]
-    assert "Match review" in (tmp_path / "out" / "review" / "match_review.html").read_text(encoding="utf-8")
+    folder = tmp_path / "out" / "runs" / runs.current(spark, out)["run"]
+    assert json.loads((folder / "pipeline_summary.json").read_text())["tier1_matches"] == summary["tier1_matches"] == runs.current(spark, out)["summary"]["tier1_matches"]
+    assert "Match review" in (folder / "review" / "match_review.html").read_text(encoding="utf-8")
+    with pytest.raises(pipeline.NoMatches):  # stops after some tables
+        pipeline.run_pipeline(spark, paths, out, config=replace(DEFAULT, tier1_score=1e9, tier2_score=1e9))
+    assert runs.current(spark, out)["run"] == folder.name and pipeline.missing_outputs(spark, out) == []
+    assert len(list(folder.parent.iterdir())) == 2
     assert pipeline.run_pipeline(spark, paths, str(tmp_path / "two"), limit=2)["recommendations"] == 2
     with pytest.raises(FileNotFoundError):
         pipeline.run_pipeline(spark, paths | {"completions": "/nowhere.csv"}, out)

@@ -4,6 +4,7 @@ import random
 
 from worklens.config import DEFAULT
 from worklens.operators import review
+from worklens.sources import runs
 
 
 def plain(rows, takes, keys):
@@ -45,13 +46,15 @@ def test_verdicts_are_recorded_and_carried_over(spark, tmp_path, capsys):
     rows = [(i, "matched" if i < 4 else "unmatched", 10 * i, 20 * i, 20 * i, "Tier 1" if i < 4 else "Unmatched", "", "") for i in range(1, 7)]
     columns = "review_id long, review_type string, recommendation_index long, completion_index long, best_candidate_index long, match_tier string, human_verdict string, human_notes string"
     sheet = spark.createDataFrame(rows, columns)
-    sheet.write.parquet(f"{out}/review/match_review")
+    run = runs.Run(spark, out)
+    run.write(sheet, "review/match_review")
+    run.commit()
     (tmp_path / "first.csv").write_text("review_id,human_verdict,human_notes\n1,accept,\"seen, twice\"\n2,REJECT,\n5,skip,\n", encoding="utf-8")
     assert main(["verdicts", "--out", out, "--file", str(tmp_path / "first.csv")]) == 0
     second = spark.createDataFrame([(2, "ACCEPT", None), (6, "REJECT", "no")], "review_id int, human_verdict string, human_notes string")
     metrics = {r.metric_group: r for r in pipeline.record_verdicts(spark, out, second).collect()}
     assert (metrics["Tier 1"].accepted, metrics["Tier 1"].rejected, metrics["Unmatched review"].correctly_unmatched) == (2, 0, 1)
-    kept = {r.review_id: (r.human_verdict, r.human_notes) for r in review.carried_over(sheet, spark.read.parquet(f"{out}/review/verdicts")).collect()}
+    kept = {r.review_id: (r.human_verdict, r.human_notes) for r in review.carried_over(sheet, pipeline.known_verdicts(spark, out)).collect()}
     assert kept == {1: ("ACCEPT", "seen, twice"), 2: ("ACCEPT", ""), 3: ("", ""), 4: ("", ""), 5: ("SKIP", ""), 6: ("REJECT", "no")}
     for wrong in ("9,ACCEPT,", "1,MAYBE,", "1,ACCEPT,\n1,REJECT,", "x,ACCEPT,"):
         (tmp_path / "wrong.csv").write_text(f"review_id,human_verdict,human_notes\n{wrong}\n", encoding="utf-8")

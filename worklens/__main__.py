@@ -1,4 +1,4 @@
-"""Command line: ``python -m worklens run|preflight|check|verdicts``. Paths may lie in any store that Spark reads."""
+"""Command line: ``python -m worklens run|preflight|check|where|forget|verdicts``. Paths may lie in any store that Spark reads."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from worklens.plans import pipeline
-from worklens.sources import files
+from worklens.sources import files, runs
 
 
 def _arguments(given: list[str] | None) -> argparse.Namespace:
@@ -22,6 +22,10 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
             command.add_argument("--limit", type=int, help="only the first recommendations")
             command.add_argument("--out", required=True)
     commands.add_parser("check", help="tell which outputs of a run are missing").add_argument("--out", required=True)
+    commands.add_parser("where", help="tell where the tables of the latest published run lie").add_argument("--out", required=True)
+    forget = commands.add_parser("forget", help="delete earlier runs")
+    forget.add_argument("--out", required=True)
+    forget.add_argument("--keep", type=int, default=2, help="how many published runs stay")
     verdicts = commands.add_parser("verdicts", help="record a reviewer's verdicts, a CSV of review_id, human_verdict, human_notes")
     verdicts.add_argument("--out", required=True)
     verdicts.add_argument("--file", required=True)
@@ -43,6 +47,13 @@ def main(given: list[str] | None = None) -> int:
             print("Missing outputs:", *gone, sep="\n  ")
             return 1
         print("All outputs are there.")
+    elif args.command == "where":
+        if (found := runs.current(spark, args.out)) is None:
+            print("No run is published.")
+            return 1
+        print(*(f"{name}: {args.out}/runs/{found['run']}/{name}" for name in found["outputs"]), sep="\n")
+    elif args.command == "forget":
+        print("Deleted runs:", *runs.forget(spark, args.out, args.keep), sep="\n  ")
     else:
         try:
             metrics = pipeline.record_verdicts(spark, args.out, files.read_extract(spark, args.file))

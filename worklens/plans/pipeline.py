@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, Config
 from worklens.operators import anomaly, cleaning, features, finance, linkage, reports, review, risk
-from worklens.sources import files
-from worklens.sources.staging import stage
+from worklens.sources import files, runs
 
 INPUTS = ("recommendations", "completions", "expenditures", "mp_summary")
 
@@ -25,18 +24,16 @@ def scored_projects(recommendations: DataFrame, completions: DataFrame, matches:
 
 
 def run_pipeline(spark: SparkSession, paths: dict[str, str], out: str, limit: int | None = None, config: Config = DEFAULT) -> dict:
-    """Read the four CSV extracts (``paths`` by the names in INPUTS), write every table under ``out``, and
-    return the summary. ``limit`` keeps the first recommendations only. Tables that several outputs need are
-    written once and read again."""
+    """Read the four CSV extracts (``paths`` by the names in INPUTS), publish every table under ``out`` as one run (see
+    :mod:`worklens.sources.runs`), and return the summary. ``limit`` keeps the first recommendations only. Tables that
+    several outputs need are written once and read again. A run that fails publishes nothing."""
     began = time.time()
     if gone := files.missing_inputs(spark, *(paths[k] for k in INPUTS)):
         raise FileNotFoundError(f"Missing input files: {', '.join(gone)}")
     raw = {k: files.read_extract(spark, paths[k], index={"recommendations": "recommendation_index", "completions": "completion_index"}.get(k), limit=limit if k == "recommendations" else None) for k in INPUTS}
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        files.write_table(df, f"{out}/{name}")
-        return spark.read.parquet(f"{out}/{name}")
-
+    run = runs.Run(spark, out)
+    kept = run.write
     tables = {k: kept(cleaning.standardised(raw[k], k), f"standard/{k}") for k in INPUTS}
     contract = {k: tables[k].select(*(c for c in cleaning.HEADERS[k].values() if c in tables[k].columns)) for k in INPUTS}
     kept(reports.dataset_summary(contract), "dataset_summary")
@@ -46,11 +43,10 @@ def run_pipeline(spark: SparkSession, paths: dict[str, str], out: str, limit: in
     matches = kept(linkage.match_records(rec, comp, config), "match_results")
     kept(reports.validate_matches(matches), "match_validation")
     sheet = review.review_rows(matches, rec, comp, config)
-    verdicts = f"{out}/review/verdicts"
-    if not files.missing_inputs(spark, verdicts):
-        sheet = review.carried_over(sheet, spark.read.parquet(verdicts))
+    if (verdicts := known_verdicts(spark, out)) is not None:
+        sheet = review.carried_over(sheet, verdicts)
     sheet = kept(sheet, "review/match_review")
-    files.write_text(spark, review.review_page(sheet), f"{out}/review/match_review.html")
+    run.write_text(review.review_page(sheet), "review/match_review.html")
 
     if matches.filter("completion_index >= 0").isEmpty():
         raise NoMatches("No accepted matches")
@@ -67,8 +63,8 @@ def run_pipeline(spark: SparkSession, paths: dict[str, str], out: str, limit: in
     reviews = sheet.agg(F.count(F.lit(1)).alias("review_rows"), F.count_if(F.col("match_tier") == "Tier 1").alias("tier1_review_rows"), F.count_if(F.col("match_tier") == "Tier 2").alias("tier2_review_rows"), F.count_if(F.col("review_type") == "unmatched").alias("unmatched_review_rows")).first()
     summary = tiers.asDict() | levels.asDict() | reviews.asDict() | {"members": members.count(), "runtime_seconds": round(time.time() - began, 2), "notes": "Scores are assessments for review, not findings."}
     inputs = [r.asDict() for r in files.input_manifest(spark, *(paths[k] for k in INPUTS)).collect()]
-    files.write_text(spark, files.as_json(summary), f"{out}/pipeline_summary.json")
-    files.write_text(spark, files.as_json({"inputs": inputs, "config": config.__dict__, "summary": summary}), f"{out}/pipeline_manifest.json")
+    run.write_text(files.as_json(summary), "pipeline_summary.json")
+    run.commit(inputs=inputs, config=config.__dict__, summary=summary)
     return summary
 
 
@@ -76,19 +72,28 @@ OUTPUTS = ("dataset_summary", "data_quality_report", "match_results", "match_val
 
 
 def missing_outputs(spark: SparkSession, out: str) -> list[str]:
-    """Those of a run's outputs that are not there."""
-    gone = set(files.missing_inputs(spark, *(f"{out}/{name}" for name in OUTPUTS)))
-    return [name for name in OUTPUTS if f"{out}/{name}" in gone]
+    """Those of a run's outputs that the latest published run lacks, or whose files are not those it wrote."""
+    return runs.damaged(spark, out, *OUTPUTS)
+
+
+def _verdicts_under(out: str) -> str:
+    return f"{out}/verdicts"
+
+
+def known_verdicts(spark: SparkSession, out: str) -> DataFrame | None:
+    """All verdicts recorded so far, of whichever runs; None where there are none."""
+    under = _verdicts_under(out)
+    return runs.table(spark, under, "verdicts") if runs.current(spark, under) else None
 
 
 def record_verdicts(spark: SparkSession, out: str, given: DataFrame) -> DataFrame:
-    """Write a reviewer's verdicts (review_id, human_verdict, human_notes) on a run's review sheet to where the next run
-    looks for them, and return the metrics of all that is known. Earlier verdicts stay unless these replace them."""
-    sheet = review.with_verdicts(spark.read.parquet(f"{out}/review/match_review"), given)
+    """Publish a reviewer's verdicts (review_id, human_verdict, human_notes) on the latest run's review sheet where the next
+    run looks for them, and return the metrics of all that is known. Earlier verdicts stay unless these replace them."""
+    sheet = review.with_verdicts(runs.table(spark, out, "review/match_review"), given)
     said = sheet.filter("human_verdict <> ''")
-    verdicts = f"{out}/review/verdicts"
-    if not files.missing_inputs(spark, verdicts):
-        said = said.unionByName(spark.read.parquet(verdicts).join(said.select(*review.KEY), list(review.KEY), "left_anti"), allowMissingColumns=True)
-    said = stage(said, "verdicts")  # what is read above is replaced below
-    files.write_table(said, verdicts)
-    return review.review_metrics(spark.read.parquet(verdicts))
+    if (before := known_verdicts(spark, out)) is not None:
+        said = said.unionByName(before.join(said.select(*review.KEY), list(review.KEY), "left_anti"), allowMissingColumns=True)
+    run = runs.Run(spark, _verdicts_under(out))
+    kept = run.write(said, "verdicts")
+    run.commit()
+    return review.review_metrics(kept)

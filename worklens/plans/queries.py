@@ -15,7 +15,7 @@ from worklens.operators import anomaly, cleaning, features, finance, linkage, re
 from worklens.operators.similar import most_similar
 from worklens.plans import lenses as L
 from worklens.plans import serving
-from worklens.sources import files
+from worklens.sources import files, runs
 from worklens.sources.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,24 @@ def first_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.standardised(rows, "recommendations").select("recommendation_index", "work_id", "work_norm", "recommended_amount")
 
 
+_BY_STATE = "SELECT state, count(*) AS projects, CAST(sum(CAST(round(final_amount * 100) AS BIGINT)) AS BIGINT) AS cents FROM {p} GROUP BY state"
+
+
+@query(f"WITH p AS ({L.duck(L.PROJECTS)}), s AS ({_BY_STATE.format(p='p')}) SELECT recommendation_row_id, p.state, CAST(round(final_amount * 100) AS BIGINT) AS cents, s.projects AS state_projects, s.cents AS state_cents FROM p JOIN s ON p.state = s.state")
+def published_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs are published, a third stops between its tables; both tables read are the second's."""
+    out, projects = scratch(spark, "published"), L.view(spark, sf_dir, L.PROJECTS).select("recommendation_row_id", "state", "final_amount")
+    for rows, complete in ((projects.withColumn("final_amount", -F.col("final_amount")), True), (projects, True), (projects.withColumn("state", F.upper("recommendation_row_id")), False)):
+        run = runs.Run(spark, out)
+        kept = run.write(rows, "projects")
+        if complete:
+            run.write(spark.sql(_BY_STATE.format(p="{kept}"), kept=kept), "by_state")
+            run.commit()
+    cents = F.round(F.col("final_amount") * 100).cast("bigint").alias("cents")
+    found = runs.table(spark, out, "projects").select("recommendation_row_id", "state", cents)
+    return found.join(runs.table(spark, out, "by_state").select("state", F.col("projects").alias("state_projects"), F.col("cents").alias("state_cents")), "state")
+
+
 # --- text and scalar functions -----------------------------------------------------------------------------
 
 _NORM = "trim(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '&', ' and '), '[^a-z0-9\\x{0900}-\\x{097f}]', ' ', 'g'), ' +', ' ', 'g'))"
