@@ -156,3 +156,12 @@ def test_scores_equal_brute_force(spark):
             assert got[ri].best_candidate_score == pytest.approx(score, abs=1e-3) and got[ri].best_candidate_tier == tier
     taken = [r.completion_index for r in got.values() if r.completion_index >= 0]
     assert len(taken) == len(set(taken))
+
+
+def test_equal_records_are_scored_once(spark, monkeypatch):
+    recs, comps = [record("hand pump at kota", 100.0, on(0))] * 12, [record("hand pump at kota", 90.0, on(10))] * 9 + [record("hand pump at kota", 80.0, on(10))]
+    own, pairs = linkage.scored, []
+    monkeypatch.setattr(linkage, "scored", lambda rows, config: pairs.append(rows.count()) or own(rows, config))
+    got = matched(spark, recs, comps)
+    assert pairs[0] == 3  # two of the nine, and the other
+    assert [got[i].completion_index for i in range(12)] == [-1] * 12 and {(r.best_candidate_index, r.score_margin) for r in got.values()} == {(0, 0.0)}
