@@ -165,3 +165,12 @@ def test_equal_records_are_scored_once(spark, monkeypatch):
     got = matched(spark, recs, comps)
     assert pairs[0] == 3  # two of the nine, and the other
     assert [got[i].completion_index for i in range(12)] == [-1] * 12 and {(r.best_candidate_index, r.score_margin) for r in got.values()} == {(0, 0.0)}
+
+
+def test_equal_texts_look_up_tokens_once(spark, monkeypatch):
+    own, asked = linkage._pools, []
+    monkeypatch.setattr(linkage, "_pools", lambda rows, *args: asked.append(rows.count()) or own(rows, *args))
+    rec, comp = tables(spark, [record("solar pump part", 1.0, on(0), place=p) for p in "aabb"], [record(f"solar {w} pump", 1.0, on(1), place=p) for w in ("x", "y", "z") for p in "ab"])
+    got = linkage.candidates(linkage.recommendations_side(rec), linkage.completions_side(comp), Config(block_limit=1)).select("recommendation_index", "completion_index", "place").collect()
+    assert asked == [1]
+    assert sorted(map(tuple, got)) == sorted((r, c, i + 1) for r, place in enumerate((0, 0, 1, 1)) for i, c in enumerate(range(place, 6, 2)))
