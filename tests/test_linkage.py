@@ -174,3 +174,20 @@ def test_equal_texts_look_up_tokens_once(spark, monkeypatch):
     got = linkage.candidates(linkage.recommendations_side(rec), linkage.completions_side(comp), Config(block_limit=1)).select("recommendation_index", "completion_index", "place").collect()
     assert asked == [1]
     assert sorted(map(tuple, got)) == sorted((r, c, i + 1) for r, place in enumerate((0, 0, 1, 1)) for i, c in enumerate(range(place, 6, 2)))
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10, 100])
+def test_pools_without_sorting_pairs(spark, limit):
+    rng = random.Random(limit)
+    texts = [[rng.sample("abcdefghijklmnopqr", rng.randint(0, 12)) for _ in range(40)] for _ in range(2)]
+    rec = spark.createDataFrame(list(enumerate(texts[0])), "recommendation_index long, r_tokens array<string>")
+    comp = spark.createDataFrame(list(enumerate(texts[1])), "completion_index long, c_tokens array<string>")
+    pool = linkage.token_pool(rec, comp, limit)
+    assert "Window" not in pool._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    df = {t: sum(t in c for c in texts[1]) for t in "abcdefghijklmnopqr"}
+    want = []
+    for r, own in enumerate(texts[0]):
+        rare = sorted((df[t], t) for t in own if df[t])[:8]
+        found = sorted((min(i for i, (_, t) in enumerate(rare) if t in c), k) for k, c in enumerate(texts[1]) if any(t in c for _, t in rare))
+        want += [(r, k, i + 1) for i, (_, k) in enumerate(found[:limit])]
+    assert sorted(map(tuple, pool.collect())) == sorted(want)
