@@ -60,3 +60,25 @@ def test_one_record_over_many_ranges(small_ranges, tmp_path):
     (tmp_path / "x.csv").write_text(f'a,b\n1,"{text}"\n2,end\n')
     got = files.read_extract(small_ranges, str(tmp_path / "x.csv"), index="n").orderBy("n").collect()
     assert [tuple(r) for r in got] == [("1", text, 0), ("2", "end", 1)]
+
+
+def test_digests_of_large_files_take_turns(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from worklens.sources import digests
+
+    rng, before = random.Random(5), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    contents = {"a.parquet": rng.randbytes(300_000), "b.csv": b"\xef\xbb\xbfx,y\n" * 20_000, "c": b"\n\n" + b"\r\n\x00" * 9_000, "d": b"z" * 5_000, "e": b"small\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    monkeypatch.setattr(files, "WHOLE", 1_000)
+    monkeypatch.setattr(digests, "ROUND", 40_000)
+    monkeypatch.setattr(digests, "PIECE", 700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for library in (digests._library, lambda: None):
+            monkeypatch.setattr(digests, "_library", library)
+            assert {r.file: (r.bytes, r.sha256) for r in files.input_manifest(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

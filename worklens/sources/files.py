@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions.text import NA_TOKENS
+from worklens.sources import digests
 from worklens.sources.staging import stage
 
 
@@ -116,10 +117,22 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     out.close()
 
 
+#: Bytes of the largest file that is digested as one row, and endings of files that Spark's readers would decompress.
+WHOLE, COMPRESSED = 128 << 20, r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
+
+
 def input_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """file, bytes and sha256 of every file under the paths. A file's content passes through one row."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """file, bytes and sha256 of every file under the paths. The content of a file of up to WHOLE bytes, or a compressed
+    one, passes through one row; larger ones are read in ranges."""
+    every = lambda *some: spark.read.format("binaryFile").load(list(some))
+    whole = lambda df: df.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = whole(every(*paths).filter(F.col("length") <= WHOLE))
+    big = every(*paths).filter(F.col("length") > WHOLE).select("path", F.col("path").rlike(COMPRESSED).alias("packed")).collect()
+    if packed := [r.path for r in big if r.packed]:
+        files = files.union(whole(every(*packed)))
+    if plain := [r.path for r in big if not r.packed]:
+        files = files.union(digests.large(spark, plain, WHOLE))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
 
 
 def missing_inputs(spark: SparkSession, *paths: str) -> list[str]:
