@@ -244,3 +244,14 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
     with pytest.raises(ValueError):
         staging.shared_dir(far)
     assert staging.stage(spark.range(5), "t").count() == 5
+
+
+def test_few_long_texts_reach_python_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from worklens.functions import text as T
+
+    rows = spark.createDataFrame([("plain",), ("ﬁne ①",), (None,)], "t string").select(T.normalize_text(F.col("t")).alias("n"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred rows at once, and not thousands
+    assert [r.n for r in rows.collect()] == ["plain", "fine 1", ""]
