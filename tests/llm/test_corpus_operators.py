@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -333,6 +334,36 @@ def test_unlikely_segmentations_are_not_lost(spark, path):
         assert math.isclose(m.words["▁children"][2], pieces.log_sum(others), rel_tol=1e-9, abs_tol=1e-9) and abs(lattice.log_other - m.words["▁children"][2]) < 1e-8
 
 
+def test_texts_of_a_batch_are_split_and_checked_together(path):
+    rng = random.Random(3)
+    texts = [None, "", "\n", " ", "\n\n a\n", "a  b", "▁a▁▁\n▁"] + ["".join(rng.choices("ab \n▁é\x00日", k=rng.randint(0, 30))) for _ in range(300)]
+    names, word, ends = pieces.Model.split(texts)
+    for text, a, b in zip(texts, ends, ends[1:]):
+        first, *lines = (text or "").replace("▁", " ").split("\n")
+        words = re.findall("▁[^▁]*", "▁" + first.replace(" ", "▁"))
+        for line in lines:
+            words += ["\n", *re.findall("▁[^▁]*|^[^▁]+", line.replace(" ", "▁"))]
+        assert [names[i] for i in word[a:b]] == words
+    m = pieces.Model(path, 8.0)
+    drawn = [(t, s[3]) for t, found in zip(texts, m.many_samples(texts, [b"%d" % i for i in range(len(texts))], 2)) for s in found]
+    plain = [(t or "").replace("▁", " ").encode() for t, _ in drawn]
+    assert m.spelled([ids for _, ids in drawn], plain) == [True] * len(drawn)
+    assert m.spelled([ids for _, ids in drawn], plain[1:] + [b"x"]) == [a == b for a, b in zip(plain, plain[1:] + [b"x"])]
+
+
+def test_words_given_up_are_found_again(path, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("aehnost", k=rng.randint(1, 9))) for _ in range(40)) for _ in range(30)]
+    keys = [b"%d" % i for i in range(30)]
+    m, small = pieces.Model(path, 2.0), pieces.Model(path, 2.0)
+    want = m.many_samples(texts, keys, 2)
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    got = [found for i in range(0, 30, 3) for found in small.many_samples(texts[i : i + 3], keys[i : i + 3], 2)]
+    assert len(small.words.best) <= 50 + 120 < len(m.words.best)
+    for a, b in zip(chain.from_iterable(want), chain.from_iterable(got)):
+        assert a[3] == b[3] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[:3], b[:3]))
+
+
 def test_sampling_round_trip(spark, path):
     texts = ["Hello there, the weather.\nNext  line", None, "", "日本 😀 \x00\t é", "x" * 3000, "Hello there, the weather.\nNext  line"]
     rows = frame(spark, [(i % 5, t) for i, t in enumerate(texts)])

@@ -28,25 +28,26 @@ import heapq
 from array import array
 from collections.abc import Collection, Generator, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from math import exp, expm1, inf, log
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from worklens.llm.common import text_batches, tidied, trimmed
 from worklens.llm.flat import mix64
 
 MARK = "▁"
-#: Words whose best paths a worker keeps in each of two generations.
-REMEMBERED = 100_000
+#: So many words, and those of one batch, are the most of which a worker keeps the best paths.
+REMEMBERED = 200_000
 
 
 #: Length of the longest words whose best paths are found many at a time.
 WIDE = 40
-CHUNK = 4096
+CHUNK = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_POWERS = np.cumprod(np.array([1] + [int(_BASE)] * (WIDE + 1), np.uint64), dtype=np.uint64)
 
@@ -199,6 +200,47 @@ class Drawn(NamedTuple):
     log_both: float
 
 
+class Known:
+    """The best paths of words: ids, log probability, and that of all other segmentations, by the word's number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.best: list[bytes] = []
+        self.log_best, self.log_other = np.empty(0), np.empty(0)
+
+    def __getitem__(self, word: str) -> tuple[bytes, float, float]:
+        i = self.number[word]
+        return self.best[i], float(self.log_best[i]), float(self.log_other[i])
+
+    def add(self, words: list[str], best: list[bytes], log_best: np.ndarray, log_other: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.best), len(self.best) + len(words))))
+        self.best += best
+        self.log_best, self.log_other = np.concatenate([self.log_best, log_best]), np.concatenate([self.log_other, log_other])
+
+    def only(self, words: Collection[str]) -> Known:
+        """Those of the words that are known."""
+        out, words = Known(), [w for w in words if w in self.number]
+        at = [self.number[w] for w in words]
+        out.add(words, [self.best[i] for i in at], self.log_best[at], self.log_other[at])
+        return out
+
+
+class Tables(NamedTuple):
+    """Of plain words, by offset and word: the length of the best edge (the longest of equal ones), its id, the log share
+    of that edge, and of all others; of what begins there, the log probability of the best path and of all others. Where
+    asked for, also the log mass of what begins with an edge, by offset, length of the edge less one, and word, and ids."""
+
+    size: np.ndarray
+    edge: np.ndarray
+    best: np.ndarray
+    share: np.ndarray
+    rest: np.ndarray
+    log_best: np.ndarray
+    log_other: np.ndarray
+    terms: np.ndarray | None
+    ids: np.ndarray | None
+
+
 def _uniform(seeds: np.ndarray, step: int) -> np.ndarray:
     """Numbers from 0 to 1, one for each seed and step."""
     return (mix64(seeds + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * 2.0**-53
@@ -271,8 +313,8 @@ class Model:
             self.slots.append((np.uint64(factor), slots))
         if len(homeless):
             raise ValueError("pieces of equal hashes")
-        self.words: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.surfaces = pa.array(self.surface, pa.large_binary())
+        self.words = Known()
         self.recent: dict[str, Lattice] = {}
 
     def lattice(self, word: str, best: bytes | None = None) -> Lattice:
@@ -314,85 +356,93 @@ class Model:
 
     def learn(self, words: Collection[str]) -> None:
         """Have the best paths of these words, which are distinct, in ``self.words``."""
-        if len(self.words) >= REMEMBERED:
-            self.older, self.words = self.words, {}
         plain, odd = [], []
         for w in words:
-            if w not in self.words:
-                if w in self.older:
-                    self.words[w] = self.older[w]
-                else:
-                    (plain if len(w) <= WIDE and self.singles.issuperset(w) else odd).append(w)
+            if w not in self.words.number:
+                (plain if len(w) <= WIDE and self.singles.issuperset(w) else odd).append(w)
         plain.sort(key=len)  # so that words of a chunk are of about one length
         for at in range(0, len(plain), CHUNK):
-            self.words.update(zip(plain[at : at + CHUNK], self._best_paths(plain[at : at + CHUNK])))
-        for w in odd:
-            lattice = self.lattice(w)
-            self.words[w] = lattice.best, lattice.log_best, lattice.log_other
+            self.words.add(plain[at : at + CHUNK], *self._best_paths(plain[at : at + CHUNK]))
+        found = [self.lattice(w) for w in odd]
+        self.words.add(odd, [x.best for x in found], np.array([x.log_best for x in found]), np.array([x.log_other for x in found]))
 
     def forget(self) -> None:
         """Drop what was learned of words; a worker that Spark keeps should not hold it through other stages."""
-        self.words, self.older = {}, {}
+        self.words = Known()
         self.recent.clear()
 
-    def _found(self, h: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(those of the places at which the hash is a piece's, the pieces' numbers)."""
-        places, pieces = [], []
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the places at which the hash is a piece's, the pieces' numbers)."""
+        places, pieces, where = [], [], None
         for factor, slots in self.slots:
-            at = slots[h[where] * factor >> np.uint64(44)]
-            taken = at >= 0
-            where, at = where[taken], at[taken]
-            same = self.hashes[at] == h[where]
+            at = slots.take((h * factor >> np.uint64(44)).view(np.int64))
+            taken = np.flatnonzero(at >= 0)
+            h, at, where = h[taken], at[taken], taken if where is None else where[taken]
+            same = self.hashes[at] == h
             places.append(where[same])
             pieces.append(at[same])
-            where = where[~same]
+            h, where = h[~same], where[~same]
             if not len(where):
                 break
         return np.concatenate(places), np.concatenate(pieces)
 
-    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of plain words: their lengths; by offset, length of the edge less one, and word, the log mass of what begins
-        with that edge; and the edges' ids. Substrings are looked up by rolling hashes, for all words together."""
+    def _tables(self, words: list[str], whole: bool = False) -> Tables:
+        """Substrings are looked up by rolling hashes, for all words together. ``whole``: with all edges."""
         n, wide = len(words), max(map(len, words))
         size = np.fromiter(map(len, words), np.int64, n)
         letters = np.array(words, dtype=f"U{wide}").view(np.uint32).reshape(n, wide).T
         hashed = np.zeros((wide + 1, n), np.uint64)
         for i in range(wide):
             hashed[i + 1] = hashed[i] * _BASE + letters[i] + np.uint64(1)
-        beta = np.zeros((wide + 1, n))
-        reach = min(self.longest, wide)
-        terms = np.full((wide, reach, n), -np.inf)
-        ids = np.zeros((wide, reach, n), np.uint16)
+        reach, shortest, column = min(self.longest, wide), size.min(), np.arange(n)
+        beta, log_best, log_other = np.zeros((wide + 1, n)), np.zeros((wide + 1, n)), np.full((wide + 1, n), -np.inf)
+        edge, best = np.zeros((wide, n), np.int64), np.zeros((wide, n), np.uint16)
+        share, rest = np.zeros((wide, n)), np.full((wide, n), -np.inf)
+        terms = np.full((wide, reach, n), -np.inf) if whole else None
+        ids = np.zeros((wide, reach, n), np.uint16) if whole else None
+        steps = np.arange(1, reach + 1, dtype=np.uint8)[:, None]
         for i in range(wide - 1, -1, -1):
-            for j in range(min(reach, wide - i)):
-                at, piece = self._found(hashed[i + j + 1] - hashed[i] * _BASE_POWERS[j + 1], np.flatnonzero(i + j < size))
-                terms[i, j, at] = self.hash_weights[piece] + beta[i + j + 1, at]
-                ids[i, j, at] = self.hash_ids[piece]
-            with np.errstate(invalid="ignore"):
-                top = terms[i].max(axis=0)
-                beta[i] = np.where(i < size, top + np.log(np.exp(terms[i] - top).sum(axis=0)), 0.0)
-        return size, terms, ids
-
-    def _best_paths(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
+            w = min(reach, wide - i)
+            at, piece = self._found((hashed[i + 1 : i + w + 1] - hashed[i] * _BASE_POWERS[1 : w + 1, None]).ravel())
+            if i + w > shortest:
+                inside = at // n + i < size[at % n]
+                at, piece = at[inside], piece[inside]
+            mass, name = np.full((w, n), -np.inf), np.zeros((w, n), np.uint16)
+            mass.ravel()[at] = self.hash_weights[piece] + beta[i + 1 : i + w + 1].ravel()[at]
+            name.ravel()[at] = self.hash_ids[piece]
+            if whole:
+                terms[i, :w], ids[i, :w] = mass, name
+            top = mass.max(axis=0)
+            length = ((mass == top) * steps[:w]).max(axis=0).astype(np.int64)
+            best[i] = name[length - 1, column]
+            mass[length - 1, column] = -np.inf
+            peak = mass.max(axis=0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                others = np.where(peak > -np.inf, peak + np.log(np.exp(mass - peak).sum(axis=0)), -np.inf)
+                more = np.log1p(np.exp(others - top))
+            on = i < size
+            edge[i] = length
+            beta[i] = np.where(on, top + more, 0.0)
+            share[i] = np.where(on, -more, 0.0)
+            rest[i] = np.where(on, others - beta[i], -np.inf)
+            log_best[i] = share[i] + np.where(on, log_best[i + length, column], 0.0)
+            log_other[i] = np.where(on, np.logaddexp(rest[i], share[i] + log_other[i + length, column]), -np.inf)
+        return Tables(size, edge, best, share, rest, log_best, log_other, terms, ids)
+
+    def _best_paths(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """As :meth:`lattice` finds them, for many words at once."""
-        size, terms, ids = self._tables(words)
-        wide, reach, n = terms.shape
-        at, lp, other, count = np.zeros(n, np.int64), np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
-        paths = np.zeros((n, wide), np.uint16)
+        own = self._tables(words)
+        wide, n = own.edge.shape
+        at, count, paths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, wide), np.uint16)
         on, t = np.arange(n), 0
-        while len(on := on[at[on] < size[on]]):
-            weights = terms[at[on], :, on]
-            edge = reach - 1 - weights[:, ::-1].argmax(axis=1)  # of equal ones the longest, as in a lattice's sorted edges
-            share, rest = _shares(weights, edge)
-            other[on] = np.logaddexp(other[on], lp[on] + rest)
-            lp[on] += share
-            paths[on, t] = ids[at[on], edge, on]
-            at[on] += edge + 1
+        while len(on := on[at[on] < own.size[on]]):
+            here = at[on]
+            paths[on, t] = own.best[here, on]
+            at[on] += own.edge[here, on]
             t += 1
             count[on] = t
         packed, width = paths.tobytes(), 2 * wide
-        for i, (c, p, o) in enumerate(zip(count.tolist(), lp.tolist(), other.tolist())):
-            yield packed[i * width : i * width + 2 * c], p, o
+        return [packed[a : a + 2 * c] for a, c in zip(range(0, n * width, width), count.tolist())], own.log_best[0], own.log_other[0]
 
     def drawn_others(self, asked: list[tuple[str, int]]) -> list[Drawn]:
         """For each word and seed a segmentation other than the word's best one, drawn by its probability."""
@@ -418,18 +468,17 @@ class Model:
     def _drawn(self, names: list[str], word: np.ndarray, seeds: np.ndarray) -> Iterator[Drawn]:
         """A segmentation of ``names[word]`` for each seed: it follows the best one up to a step drawn by the mass that
         leaves the best one there, takes another edge, and goes on freely."""
-        size, terms, ids = self._tables(names)
+        own = self._tables(names, whole=True)
+        size, terms, ids, best = own.size, own.terms, own.ids, own.edge - 1
         wide, reach, n = terms.shape
-        best = reach - 1 - terms[:, ::-1].argmax(axis=1)
         # what leaves the best path at each of its steps
         leaves, at, lp = np.full((wide, n), -np.inf), np.zeros(n, np.int64), np.zeros(n)
         on, t = np.arange(n), 0
         while len(on := on[at[on] < size[on]]):
-            here = best[at[on], on]
-            share, rest = _shares(terms[at[on], :, on], here)
-            leaves[t, on] = lp[on] + rest
-            lp[on] += share
-            at[on] += here + 1
+            here = at[on]
+            leaves[t, on] = lp[on] + own.rest[here, on]
+            lp[on] += own.share[here, on]
+            at[on] += own.edge[here, on]
             t += 1
         mine = leaves[:, word]
         odds = np.cumsum(np.exp(mine - mine.max(axis=0)), axis=0)
@@ -439,21 +488,23 @@ class Model:
         on, t = np.arange(len(word)), 0
         while len(on := on[at[on] < size[word[on]]]):
             here, w = at[on], word[on]
-            weights, top = terms[here, :, w], best[here, w]
-            open_to = weights.copy()
-            turning = np.flatnonzero(turn[on] == t)
-            open_to[turning, top[turning]] = -np.inf
-            odds = np.cumsum(np.exp(open_to - open_to.max(axis=1, keepdims=True)), axis=1)
-            edge = (odds <= (_uniform(seeds[on], t + 1) * odds[:, -1])[:, None]).sum(axis=1)
-            edge = np.where(turn[on] > t, top, np.minimum(edge, reach - 1))
-            share, rest = _shares(weights, edge)
+            edge, share, rest = best[here, w], own.share[here, w], own.rest[here, w]
             apart = rest.copy()
-            if len(turning):
-                open_to[turning, edge[turning]] = -np.inf
-                peak = open_to[turning].max(axis=1)
-                total = _log_total(weights[turning])
+            free = np.flatnonzero(turn[on] <= t)  # the others follow the best one
+            if len(free):
+                weights = terms[here[free], :, w[free]]
+                open_to = weights.copy()
+                turning = np.flatnonzero(turn[on[free]] == t)
+                open_to[turning, edge[free[turning]]] = -np.inf
+                odds = np.cumsum(np.exp(open_to - open_to.max(axis=1, keepdims=True)), axis=1)
+                chosen = np.minimum((odds <= (_uniform(seeds[on[free]], t + 1) * odds[:, -1])[:, None]).sum(axis=1), reach - 1)
+                edge[free] = chosen
+                share[free], rest[free] = _shares(weights, chosen)
+                apart[free] = rest[free]
+                open_to[turning, chosen[turning]] = -np.inf
+                peak, total = open_to[turning].max(axis=1), _log_total(weights[turning])
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    apart[turning] = np.where(peak > -np.inf, peak + np.log(np.exp(open_to[turning] - peak[:, None]).sum(axis=1)) - total, -np.inf)
+                    apart[free[turning]] = np.where(peak > -np.inf, peak + np.log(np.exp(open_to[turning] - peak[:, None]).sum(axis=1)) - total, -np.inf)
             other[on] = np.logaddexp(other[on], lp[on] + rest)
             both[on] = np.logaddexp(both[on], lp[on] + apart)
             both[on] = np.logaddexp(both[on], np.where(turn[on] < t, mine[t, on], -np.inf))
@@ -470,17 +521,16 @@ class Model:
             yield Drawn(packed[i * width : i * width + 2 * c], *rest)
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Words of the normalised text, each with its space mark; a line end, which no piece contains, is one too."""
-        words: list[str] = []
-        for i, line in enumerate(text.replace(MARK, " ").split("\n")):
-            first, *rest = line.split(" ")
-            if i:
-                words.append("\n")
-            if first or not i:
-                words.append(first if i else MARK + first)
-            words += [MARK + w for w in rest]
-        return words
+    def split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words of the normalised texts, each with its space mark; the words of all texts by their numbers
+        there; where each text begins among these, and the end). A line end, which no piece contains, is a word too."""
+        found = pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), MARK, " ")
+        found = pc.replace_substring(pc.replace_substring(found, "\n", f"\n{MARK}{MARK}\n"), " ", "\n" + MARK)  # two marks: a line end
+        found = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), found, pa.scalar("", pa.large_string())), "\n")
+        words = found.flatten().dictionary_encode()
+        at, names = words.indices.to_numpy(), ["\n" if w == MARK + MARK else w for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        full = at != names.index("") if "" in names else np.ones(len(at), bool)  # none follows a line end
+        return names, at[full], np.concatenate([[0], np.cumsum(full)])[found.offsets.to_numpy()]
 
     def samples(self, text: str | None, key: bytes, k: int) -> list[tuple[float, float, float, bytes]]:
         """Up to k of (perturbed, log probability, inclusion, ids), in the order in which they were drawn."""
@@ -488,19 +538,19 @@ class Model:
 
     def many_samples(self, texts: list[str | None], keys: list[bytes], k: int) -> list[list[tuple[float, float, float, bytes]]]:
         """:meth:`samples` of each text by its own key; the draws that the texts' searches ask for are made together."""
-        split = [self.split(t or "") for t in texts]
-        names = list(set().union(*split))
-        self.learn(names)
-        known = list(map(self.words.__getitem__, names))
-        number = {w: i for i, w in enumerate(names)}
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        best, log_best, log_other = [x[0] for x in known], np.array([x[1] for x in known])[at], np.array([x[2] for x in known])[at]
+        names, word, ends = self.split(texts)
+        if len(self.words.best) > REMEMBERED:
+            self.words = self.words.only(names)
+        self.learn([w for w in names if w])
+        number = self.words.number
+        at = np.fromiter(map(number.get, names, repeat(-1)), np.int64, len(names))[word]
+        log_best, log_other = self.words.log_best[at], self.words.log_other[at]
         results: list = [None] * len(texts)
-        waiting, a = [], 0
-        for i, (words, key) in enumerate(zip(split, keys)):
-            b = a + len(words)
-            waiting.append((i, self._search(words, list(map(best.__getitem__, at[a:b].tolist())), log_best[a:b], log_other[a:b], key, k), None))
-            a = b
+        waiting = []
+        for i, key in enumerate(keys):
+            own = slice(ends[i], ends[i + 1])
+            best = list(map(self.words.best.__getitem__, at[own].tolist()))
+            waiting.append((i, self._search(names, word[own], best, log_best[own], log_other[own], key, k), None))
         while waiting:
             asked, going = [], []
             for i, search, answer in waiting:
@@ -515,18 +565,18 @@ class Model:
             waiting = [(i, search, found[a:b]) for i, search, a, b in going]
         return results
 
-    def _search(self, words: list[str], base: list[bytes], log_best: np.ndarray, log_other: np.ndarray, key: bytes, k: int) -> Generator[list[tuple[str, int]], list[Drawn], list]:
-        """The search of one text. It yields (word, seed) pairs, is sent their :class:`Drawn`, and returns the samples."""
+    def _search(self, names: list[str], word: np.ndarray, base: list[bytes], log_best: np.ndarray, log_other: np.ndarray, key: bytes, k: int) -> Generator[list[tuple[str, int]], list[Drawn], list]:
+        """The search of one text, of the words ``names[word]``. It yields (word, seed) pairs, is sent their :class:`Drawn`, and returns the samples."""
         seed = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.uint64)
         rng = np.random.Generator(np.random.Philox(key=seed))
         chance = np.exp(log_other)
 
         def lattice(i: int) -> Lattice:
-            found = self.recent.get(words[i])
+            found = self.recent.get(names[word[i]])
             if found is None:
                 if len(self.recent) >= 10_000:
                     self.recent.clear()
-                found = self.recent[words[i]] = self.lattice(words[i], base[i])
+                found = self.recent[names[word[i]]] = self.lattice(names[word[i]], base[i])
             return found
 
         # an entry: (-maximum, tie, emitted path, log mass of the subsets by word, first word, banned there)
@@ -557,9 +607,9 @@ class Model:
                 left = own.log_without((*banned, ids), self.lengths)
                 if ids != base[first]:
                     path[first] = Drawn(ids, own.log_probability(ids, self.lengths), own.log_without((ids,), self.lengths), 0.0)
-            places += (np.flatnonzero(rng.random(len(words) - start) < chance[start:]) + start).tolist()
+            places += (np.flatnonzero(rng.random(len(word) - start) < chance[start:]) + start).tolist()
             seeds = rng.integers(1 << 64, size=len(places), dtype=np.uint64).tolist()
-            path.update(zip(places, (yield [(words[i], seed) for i, seed in zip(places, seeds)])))
+            path.update(zip(places, (yield [(names[i], seed) for i, seed in zip(word[places].tolist(), seeds)])))
             each, other = log_best.copy(), log_other.copy()
             for i, own in path.items():
                 each[i], other[i] = own.log_probability, own.log_other
@@ -593,6 +643,14 @@ class Model:
             results.append((value, lp, inclusion, b"".join(ids)))
         return results
 
+    def spelled(self, packed: list[bytes], texts: list[bytes]) -> list[bool]:
+        """Whether each row of ids spells its text, in UTF-8."""
+        ids = np.frombuffer(b"".join(packed), np.uint16)
+        found = self.surfaces.take(pa.array(ids))
+        offsets, data = np.frombuffer(found.buffers()[1], np.int64, len(ids) + 1), found.buffers()[2].to_pybytes()
+        ends = offsets[np.cumsum([0] + [len(p) // 2 for p in packed])].tolist()
+        return [data[a + 1 : b] == text for a, b, text in zip(ends, ends[1:], texts)]
+
     def decoded(self, ids: bytes) -> str:
         """The text that the ids spell, without the dummy prefix."""
         return b"".join(map(self.surface.__getitem__, array("H", ids)))[1:].decode("utf-8", "replace")
@@ -615,18 +673,19 @@ def sample(docs: DataFrame, path: str, k: int = 2, alpha: float = 8.0, seed: int
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, texts, doc_ids = [], part.column(1).to_pylist(), part.column(0).to_pylist()
+                rows, plain, texts, doc_ids = [], [], part.column(1).to_pylist(), part.column(0).to_pylist()
                 found = own.many_samples(texts, [f"{seed}:{d}".encode() for d in doc_ids], k)
                 for doc_id, text, drawn in zip(doc_ids, texts, found):
-                    plain = (text or "").replace(MARK, " ")
+                    plain += [(text or "").replace(MARK, " ").encode()] * len(drawn)
                     for i, (value, lp, inclusion, packed) in enumerate(drawn):
-                        rows.append((doc_id, i + 1, len(packed) // 2, lp, value, inclusion, hashlib.sha256(packed).hexdigest(), own.decoded(packed) == plain, packed))
-                cols = list(zip(*rows))
+                        rows.append((doc_id, i + 1, len(packed) // 2, lp, value, inclusion, hashlib.sha256(packed).hexdigest(), packed))
+                *cols, packed = zip(*rows)
+                cols.append(own.spelled(packed, plain))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
                 arrays = [pa.array(c, t) for c, t in zip(cols, types)]
                 if ids:
-                    ends = np.cumsum([0] + [len(p) // 2 for p in cols[8]]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cols[8]), np.uint16).astype(np.int32))))
+                    ends = np.cumsum([0] + [len(p) // 2 for p in packed]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.uint16).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
             trimmed()
         own.forget()
