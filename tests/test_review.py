@@ -38,6 +38,26 @@ def test_sample_scans_the_matches_once(spark, tmp_path):
     assert len(got) == 30 and sorted(r.review_id for r in got) == list(range(1, 31)) and len({r.recommendation_index for r in got}) == 30
 
 
+def test_only_rows_within_the_cuts_are_sorted(spark, tmp_path):
+    rows = [(i, [None, 50.0, 70.5][i % 3], [1.0, None][i % 2], "abc"[i % 3 % 2]) for i in range(3000)]
+    spark.createDataFrame(rows, "recommendation_index long, match_score double, score_margin double, tier string").write.parquet(str(tmp_path / "m"))
+    frame = spark.read.parquet(str(tmp_path / "m"))
+    first = review.strata_tops(frame, "tier", {"a": [(review.weakest(), 4), (review.strongest(), 6)], "b": [(review.strongest(), 5)], "z": [(review.weakest(), 3)]})
+    assert len(first.collect()) == 15
+    nodes, sorted_rows = [first._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Generate":
+            sorted_rows.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert sorted_rows == [15]
+
+
 def test_verdicts_are_recorded_and_carried_over(spark, tmp_path, capsys):
     from worklens.__main__ import main
     from worklens.plans import pipeline

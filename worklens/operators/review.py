@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from worklens.config import DEFAULT, Config
 from worklens.functions import text as T
+from worklens.sources.staging import stage
 
 KEY = ("review_type", "recommendation_index", "completion_index", "best_candidate_index")
 #: Evidence columns of a review row and the names they have in a match reason.
@@ -24,12 +25,23 @@ def _descending(column: str) -> Column:
     return F.struct(F.col(column).isNull().alias("given"), (-F.col(column).cast("double")).alias("by"))
 
 
+def _cuts(rows: DataFrame, stratum: str, orders: dict[str, list[tuple[Column, int]]]) -> DataFrame:
+    """(stratum, cuts: by order, what its last row to keep is sorted by), a local table. A task holds the first rows of
+    an order, as many as are kept, and sorts no others."""
+    tops = [rows.filter(F.col(stratum) == value).select(F.col(stratum).alias("stratum"), F.lit(i).alias("order"), key.alias("key")).orderBy("key").limit(n) for value, own in orders.items() for i, (key, n) in enumerate(own)]
+    last = reduce(DataFrame.union, tops).groupBy("stratum", "order").agg(F.max("key").alias("key"))
+    cuts = last.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("order", "key"))).alias("cuts"))
+    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # a row a stratum
+
+
 def strata_tops(rows: DataFrame, stratum: str, orders: dict[str, list[tuple[Column, int]]]) -> DataFrame:
     """(stratum, row: the row's columns, order, place): the first rows of each stratum in each of its orders, which are
-    columns to sort by and how many rows to keep. All strata and orders come from one scan; each task keeps the first
-    rows of its own before anything moves."""
+    columns to sort by and how many rows to keep. Where the orders end is found first; then all strata and orders come
+    from one scan, and only rows up to there are sorted or moved. ``rows`` should be stored."""
     kinds = [F.when(F.col(stratum) == value, F.array(*(F.struct(F.lit(i).alias("order"), F.lit(n).alias("most"), key.alias("key")) for i, (key, n) in enumerate(own)))) for value, own in orders.items()]
-    long = rows.select(F.col(stratum).alias("stratum"), F.struct(*rows.columns).alias("row"), F.explode(F.coalesce(*kinds)).alias("by"))
+    within = F.filter(F.coalesce(*kinds), lambda x: x["key"] <= F.element_at("cuts", x["order"]))
+    cuts = _cuts(rows, stratum, orders).withColumnsRenamed({"stratum": "_stratum"})
+    long = rows.join(F.broadcast(cuts), F.col(stratum) == F.col("_stratum")).select(F.col(stratum).alias("stratum"), F.struct(*(rows[c] for c in rows.columns)).alias("row"), F.explode(within).alias("by"))
     place = F.row_number().over(Window.partitionBy("stratum", "by.order").orderBy("by.key"))
     most = max(n for own in orders.values() for _, n in own)
     first = long.select("stratum", "row", "by", place.alias("place")).filter(F.col("place") <= most)
@@ -58,7 +70,7 @@ def parts_of(rows: DataFrame, stratum: str, orders: dict[str, list[Column]], tak
     A part's rows are among the first of its order, as many as it and the parts before it take; so a few rows a stratum,
     with their places in the orders, decide."""
     most = [sum(takes[: i + 1]) for i in range(len(takes))]
-    first = strata_tops(rows, stratum, {value: list(zip(keys, most)) for value, keys in orders.items()})
+    first = strata_tops(stage(rows, "strata"), stratum, {value: list(zip(keys, most)) for value, keys in orders.items()})
     places = first.groupBy("stratum", "row.recommendation_index").agg(F.any_value("row").alias("row"), *(F.min(F.when(F.col("order") == i, F.col("place"))).alias(f"place{i}") for i in range(len(takes))))
     part = F.lit(None).cast("int")
     for i, n in enumerate(takes):
