@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from worklens.functions import text as T
 
 SAME = """2024-04-03|2024/04/03|2024.04.03|2024 04 03|20240403|2024-4-3|4/3/2024|04/03/2024|04-03-2024|04.03.2024|4-3-24|04/03/24|3 April 2024|3 Apr 2024|03-Apr-2024|03-apr-24|3rd April 2024|3rd of April 2024|3. April 2024|
@@ -25,3 +27,10 @@ def test_spellings(spark):
     got = {r.s: r.d for r in rows.select("s", T.date(rows.s).alias("d")).collect()}
     assert {s: d for s, d in got.items() if d != want[s]} == {}
     assert dict(rows.select(T.date(rows.s).alias("d")).dtypes)["d"] == "timestamp_ntz"
+
+
+def test_white_space_is_that_of_unicode(spark):
+    rows = spark.range(1, 0x10000).filter("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') c")
+    rows = rows.selectExpr("id", "concat(c, 'a', c, 'b', c, c) s")
+    wrong = rows.filter(T.trimmed(rows.s) != F.regexp_replace(rows.s, r"(?U)^\s+|\s+$", ""))
+    assert [r.id for r in wrong.collect()] == []
