@@ -191,3 +191,16 @@ def test_pools_without_sorting_pairs(spark, limit):
         found = sorted((min(i for i, (_, t) in enumerate(rare) if t in c), k) for k, c in enumerate(texts[1]) if any(t in c for _, t in rare))
         want += [(r, k, i + 1) for i, (_, k) in enumerate(found[:limit])]
     assert sorted(map(tuple, pool.collect())) == sorted(want)
+
+
+def test_best_of_many_equal_descriptions_without_scoring_all(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [record("hand pump at kota", rng.choice([None, 0.0, 80.0, 90.0, 100.0 + rng.random()]), None if rng.random() < 0.1 else on(rng.randint(0, 60)), ida=rng.choice("ij")) for _ in range(n)]
+    recs, comps = some(25), some(40)
+    own, pairs = linkage.scored, []
+    monkeypatch.setattr(linkage, "scored", lambda rows, config: pairs.append(rows.count()) or own(rows, config))
+    monkeypatch.setattr(linkage, "TILE", 7)
+    got = matched(spark, recs, comps, Config(date_window=20, early_days=-5), ida_key=True)
+    assert pairs.pop(0) <= 2 * len(recs)
+    monkeypatch.setattr(linkage, "FEW", 100)
+    assert got == matched(spark, recs, comps, Config(date_window=20, early_days=-5), ida_key=True)
