@@ -204,3 +204,18 @@ def test_best_of_many_equal_descriptions_without_scoring_all(spark, monkeypatch)
     assert pairs.pop(0) <= 2 * len(recs)
     monkeypatch.setattr(linkage, "FEW", 100)
     assert got == matched(spark, recs, comps, Config(date_window=20, early_days=-5), ida_key=True)
+
+
+def test_large_sides_are_not_sent_through_the_driver(spark):
+    rec, comp = tables(spark, [record("hand pump at kota", 1.0, on(0), place=p) for p in "ab"], [record("hand pump at kota", 1.0, on(d), place=p) for p in "bc" for d in (1, -40)])
+    got = linkage.candidates(*(linkage.stage(s, "side") for s in (linkage.recommendations_side(rec), linkage.completions_side(comp))), Config(block_limit=1))
+    assert sorted((r.recommendation_index, r.completion_index, r.stage) for r in got.collect()) == [(0, 0, 3), (0, 2, 3), (1, 0, 1)]
+    depth, sent = None, []
+    for line in got._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = next((i for i, c in enumerate(line) if c.isalpha()), 0)
+        depth = None if depth is not None and at <= depth else depth
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        elif depth is not None and "FileScan" in line:
+            sent.append(line)
+    assert not [line for line in sent if "recommendation_index" in line or "completion_index" in line]
